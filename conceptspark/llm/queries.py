@@ -6,18 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from conceptspark.llm.ann import op1_neighbours
 from conceptspark.llm.bpe import op5_bpe
+from conceptspark.llm.flac import op4_flac
+from conceptspark.llm.html_crf import op8_html
 from conceptspark.llm.langid import op10_language_id
 from conceptspark.llm.licenses import op9_license_scan
 from conceptspark.llm.mixing import OP6_SQL, op6_mix
 from conceptspark.llm.pfor import op7_token_files
+from conceptspark.llm.quality import op3_quality
 from conceptspark.llm.simhash import op2_simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_neighbours": op1_neighbours,
     "op2_simhash": op2_simhash,
+    "op3_quality": op3_quality,
+    "op4_flac": op4_flac,
     "op5_bpe": op5_bpe,
     "op6_mix": op6_mix,
     "op7_token_files": op7_token_files,
+    "op8_html": op8_html,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }

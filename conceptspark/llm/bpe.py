@@ -31,6 +31,9 @@ from conceptspark.runtime import others, stored
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+#: The characters of Unicode's White_Space property.
+SPACES = "\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Code points of a chunk's core, and of the overlap on its right.
 CHUNK = 32768
 OVERLAP = 1024
@@ -47,7 +50,9 @@ def encoder(ranks: str, pattern: str) -> tiktoken.Encoding:
 
 @lru_cache(4)
 def splitter(pattern: str):
-    return regex.compile(pattern)
+    """The pattern for the regex module, with white space as tiktoken's Rust regex has it."""
+    spelled = pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]")
+    return regex.compile(spelled)
 
 
 def boundaries(text: str, pattern: str = PATTERN) -> list[int]:
@@ -91,16 +96,19 @@ def stitched_chunks(docs: DataFrame, key: str, text: str, ranks=RANKS, pattern=P
     pieces = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(cut, "key string, i int, start long, length long, chunk string")
     pieces = pieces.repartition(F.col("key"), F.col("i"))
 
-    @F.pandas_udf("array<int>")
-    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda t: boundaries(t, pattern))
-
-    # A cut inside a contraction ('l|l) makes a false boundary in a chunk's last places.
-    solid = F.filter("b", lambda x: x < F.length("chunk") - UNSURE)
-    edges = pieces.withColumn("b", starts("chunk")).withColumn("b", F.transform(solid, lambda x: x + F.col("start")))
-    edges = edges.withColumn("heads", F.filter("b", lambda x: x < F.col("start") + overlap)).withColumn("tails", F.filter("b", lambda x: x >= F.col("start") + chunk))
-    edges = stored(edges.drop("b", "length"), "bpe-chunks")
+    @F.pandas_udf("heads array<long>, tails array<long>")
+    def edges_of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        """A chunk's boundaries in the overlaps with its left and its right neighbour."""
+        for texts, begins in batches:
+            rows = []
+            for t, at in zip(texts, begins):
+                # A cut inside a contraction ('l|l) makes a false boundary in a chunk's last places.
+                b = [x for x in boundaries(t, pattern) if x < len(t) - UNSURE]
+                rows.append(([at + x for x in b if x < overlap], [at + x for x in b if x >= chunk]))
+            yield pd.DataFrame(rows, columns=["heads", "tails"])
+
+    edges = pieces.withColumn("e", edges_of("chunk", "start"))
+    edges = stored(edges.select("key", "i", "start", "chunk", "e.heads", "e.tails"), "bpe-chunks")
     order = W.partitionBy("key").orderBy("i")
     small = edges.select("key", "i", "tails", F.lead("heads").over(order).alias("next_heads"))
     # The first boundary that both sides have; null at the end of a text or where there is none.
@@ -116,8 +124,14 @@ def stitched_chunks(docs: DataFrame, key: str, text: str, ranks=RANKS, pattern=P
         first, end = pdf.iloc[0], pdf.iloc[-1]
         start = int(first["start"])
         whole = "".join([*(c[:chunk] for c in pdf["chunk"].iloc[:-1]), end["chunk"]])
-        upto = None if end["last"] else int(end["sync"]) - start
-        ids = enc.encode_ordinary(whole[int(first["from"]) - start : upto])
+        upto = len(whole) if end["last"] else int(end["sync"]) - start
+        # How trailing white space splits depends on what follows, so it is split in its place.
+        head = whole[int(first["from"]) - start : upto].rstrip(SPACES)
+        ids = enc.encode_ordinary(head)
+        for m in splitter(pattern).finditer(whole, int(first["from"]) - start + len(head)):
+            if m.start() >= upto:
+                break
+            ids += enc.encode_ordinary(m[0])
         return pd.DataFrame({"key": [k[0]], "start": [int(first["from"])], "n": [len(ids)], "ids": [" ".join(map(str, ids))], "raw": [enc.decode_bytes(ids)]})
 
     return split.groupBy("key", "run").applyInPandas(encode, "key string, start long, n long, ids string, raw binary")

@@ -1,4 +1,8 @@
 """All queries of the library with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from conceptspark.plans import analytics, encoding
+
+QUERIES = encoding.QUERIES | analytics.QUERIES
+ORACLE_SQL = encoding.ORACLE_SQL | analytics.ORACLE_SQL

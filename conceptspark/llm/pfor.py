@@ -8,14 +8,16 @@ A file is a row of binary segments: each holds one or more documents' ids, its o
 directory, and the document lengths; segments are sorted by document id over all files.
 Layout of a segment, all little-endian:
 
-    magic 'PFR1' | n_ids u32 | n_blocks u32
+    magic 'PFR1' | n_ids u32 | n_blocks u32 | block size u32
     directory, one entry a block: offset u32 | minimum u32 | count u16 | width u8 | - u8 | exceptions u16
-    blocks: packed low bits | exception places u16[] | exception high parts u32[]
+    blocks: packed low bits (the last block filled up) | exception places u16[] | exception high parts u32[]
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -33,71 +35,93 @@ END_ID = 0
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
-#: Words whose ids a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 300_000
+#: Pieces of a generation that a worker remembers (two are kept), and characters split at once.
+CACHE_PIECES = 400_000
+GROUP_CHARS = 2_000_000
+#: The public pattern in terms of ``re``; letters are \w without digits and underscore.
+PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
+#: Characters outside the blocks where that holds (superscripts, fractions, separators, ...).
+UNCOMMON = re.compile("[^\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a9\u03b1-\u03c9\u0400-\u045f\u0620-\u064a\u2010-\u2027\u20ac\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
 _HEAD = np.dtype([("offset", "<u4"), ("minimum", "<u4"), ("count", "<u2"), ("width", "u1"), ("pad", "u1"), ("exceptions", "<u2")])
 
 
+def _pack(x: np.ndarray, width: int) -> np.ndarray:
+    """Low ``width`` bits of every number of (blocks, n), n a multiple of 8, as bytes per block."""
+    bits = np.unpackbits(np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=max(width, 1))
+    return np.packbits(bits.ravel(), bitorder="little").reshape(len(x), -1) if width else np.zeros((len(x), 0), dtype=np.uint8)
+
+
+def _unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The numbers of (blocks, bytes) packed at ``width`` bits."""
+    wide = np.zeros((len(data) * n, 32), dtype=np.uint8)
+    wide[:, :width] = np.unpackbits(data.ravel(), bitorder="little").reshape(-1, width)
+    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(len(data), n)
+
+
 def encode_segment(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
+    """Blocks of one width are packed together; the last block is filled up with its minimum."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     n_blocks = -(-len(ids) // block)
     heads = np.zeros(n_blocks, dtype=_HEAD)
-    body: list[bytes] = []
-    at = 0
-    for b in range(n_blocks):
-        x = ids[b * block : (b + 1) * block]
-        low = x.min()
-        x = x - low
-        ranked = np.partition(x, (len(x) - 1) * percentile // 100)
-        width = int(ranked[(len(x) - 1) * percentile // 100]).bit_length()
-        places = np.flatnonzero(x >> np.uint32(width)) if width < 32 else np.zeros(0, dtype=np.int64)
-        high = (x[places] >> np.uint32(width)).astype("<u4")
-        bits = np.unpackbits(x.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-        parts = [np.packbits(bits.ravel(), bitorder="little").tobytes(), places.astype("<u2").tobytes(), high.tobytes()]
-        heads[b] = (at, low, len(x), width, 0, len(places))
-        body += parts
-        at += sum(map(len, parts))
-    return b"PFR1" + np.array([len(ids), n_blocks], dtype="<u4").tobytes() + heads.tobytes() + b"".join(body)
+    heads["count"] = np.minimum(block, len(ids) - block * np.arange(n_blocks))
+    full = np.concatenate([ids, np.full(n_blocks * block - len(ids), ids[(n_blocks - 1) * block :].min() if n_blocks else 0, dtype=np.uint32)]).reshape(n_blocks, block)
+    heads["minimum"] = full.min(axis=1)
+    x = full - heads["minimum"][:, None]
+    at = (block - 1) * percentile // 100
+    ranked = np.partition(x, at, axis=1)[:, at] if n_blocks else np.zeros(0, dtype=np.uint32)
+    heads["width"] = np.where(ranked > 0, np.floor(np.log2(np.maximum(ranked, 1))) + 1, 0)
+    width = heads["width"].astype(np.uint64)[:, None]
+    high = (x.astype(np.uint64) >> width).astype("<u4")
+    row, place = np.nonzero(high)
+    heads["exceptions"] = np.bincount(row, minlength=n_blocks)
+    packed: list[bytes] = [b""] * n_blocks
+    for w in np.unique(heads["width"]):
+        own = np.flatnonzero(heads["width"] == w)
+        for b, data in zip(own, _pack(x[own], int(w))):
+            packed[b] = data.tobytes()
+    ends = np.cumsum(heads["exceptions"], dtype=np.int64)
+    places, tops = place.astype("<u2"), high[row, place]
+    body = [p + places[e - n : e].tobytes() + tops[e - n : e].tobytes() for p, e, n in zip(packed, ends, heads["exceptions"].astype(np.int64))]
+    sizes = np.array([len(x) for x in body], dtype=np.int64)
+    heads["offset"] = np.cumsum(sizes) - sizes
+    return b"PFR1" + np.array([len(ids), n_blocks, block], dtype="<u4").tobytes() + heads.tobytes() + b"".join(body)
 
 
 def decode_segment(data: bytes, first: int = 0, upto: int | None = None) -> np.ndarray:
-    """Ids of a segment; only the blocks that hold ids first..upto are unpacked."""
+    """Ids first .. upto - 1 of a segment; only the blocks that hold them are unpacked."""
     if data[:4] != b"PFR1":
         raise ValueError("not a segment")
-    n, n_blocks = np.frombuffer(data, "<u4", 2, 4)
-    heads = np.frombuffer(data, _HEAD, n_blocks, 12)
-    base = 12 + n_blocks * _HEAD.itemsize
-    ends = np.cumsum(heads["count"], dtype=np.int64)
-    upto = int(n) if upto is None else min(upto, int(n))
+    n, n_blocks, block = (int(v) for v in np.frombuffer(data, "<u4", 3, 4))
+    upto = n if upto is None else min(upto, n)
     if first >= upto:
         return np.zeros(0, dtype=np.uint32)
-    out = []
-    b0, b1 = np.searchsorted(ends, first, "right"), np.searchsorted(ends, upto - 1, "right")
-    for h in heads[b0 : b1 + 1]:
-        count, width, n_ex = int(h["count"]), int(h["width"]), int(h["exceptions"])
-        at = int(base + h["offset"])
-        size = (count * width + 7) // 8
-        x = np.zeros(count, dtype=np.uint32)
-        if width:
-            bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little")[: count * width].reshape(count, width)
-            wide = np.zeros((count, 32), dtype=np.uint8)
-            wide[:, :width] = bits
-            x = np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel().copy()
-        if n_ex:
-            places = np.frombuffer(data, "<u2", n_ex, at + size)
-            x[places] |= np.frombuffer(data, "<u4", n_ex, at + size + 2 * n_ex) << np.uint32(width)
-        out.append(x + h["minimum"])
-    start = int(ends[b0] - heads["count"][b0])
-    return np.concatenate(out)[first - start : upto - start]
+    b0, b1 = first // block, (upto - 1) // block
+    heads = np.frombuffer(data, _HEAD, n_blocks, 16)[b0 : b1 + 1]
+    begin = 16 + n_blocks * _HEAD.itemsize + heads["offset"].astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)
+    out = np.zeros((len(heads), block), dtype=np.uint32)
+    for w in np.unique(heads["width"]):
+        own = np.flatnonzero(heads["width"] == w)
+        if w:
+            size = block * int(w) // 8
+            out[own] = _unpack(raw[begin[own][:, None] + np.arange(size)], int(w), block)
+    for i in np.flatnonzero(heads["exceptions"]):
+        k, w = int(heads["exceptions"][i]), int(heads["width"][i])
+        at = int(begin[i]) + block * w // 8
+        out[i, np.frombuffer(data, "<u2", k, at)] |= (np.frombuffer(data, "<u4", k, at + 2 * k).astype(np.uint64) << np.uint64(w)).astype(np.uint32)
+    out += heads["minimum"][:, None]
+    return out.ravel()[first - b0 * block : upto - b0 * block]
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library.
-
-    No pre-token holds a blank that stands between two other characters except as its
-    first character.  A text whose words are parted by single blanks is therefore the
-    sequence of its words' own encodings, and those are remembered.  Any other text is
-    encoded as a whole.
+    """Ids of texts by the tokenizers library, whose pieces' ids are remembered.
+
+    The library splits a text into pieces by the public pattern and encodes each on its
+    own, so a text's ids are its pieces' ids in order.  Texts of common characters, for
+    which Python's ``re`` and the pattern's classes agree, are split here and only pieces
+    not met before go to the library; any other text goes to it as a whole.  Two
+    generations of pieces are kept: a full young one becomes the old one, and pieces met
+    again move back, so frequent ones stay and memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -106,26 +130,44 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        first, *rest = text.split(" ")
-        if not first or first[-1].isspace() or not all(rest) or any(w[0].isspace() or w[-1].isspace() for w in rest):
-            return self._plain([text])[0]
-        known = self.words
-        new = [w for w in dict.fromkeys(rest) if w not in known]
-        if len(known) + len(new) > CACHE_WORDS:
-            known.clear()
-            new = list(dict.fromkeys(rest))
-        if new:
-            known.update(zip(new, self._plain([" " + w for w in new])))
-        return self._plain([first])[0] + b"".join([known[w] for w in rest])
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Bring pieces to the young generation."""
+        young, old = self.young, self.old
+        missing = pieces.difference(young)
+        back = missing.intersection(old)
+        young.update(zip(back, map(old.__getitem__, back)))
+        new = list(missing - back)
+        young.update(zip(new, self._plain(new)))
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = [b""] * len(texts)
+        at = 0
+        while at < len(texts):
+            end, chars = at, 0
+            while end < len(texts) and (end == at or chars < GROUP_CHARS):
+                chars += len(texts[end])
+                end += 1
+            if len(self.young) > CACHE_PIECES:
+                self.old, self.young = self.young, {}
+            plain = [i for i in range(at, end) if UNCOMMON.search(texts[i])]
+            for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
+                out[i] = ids
+            rest = sorted(set(range(at, end)).difference(plain))
+            split = [PIECES.findall(texts[i]) for i in rest]
+            self._learn(set().union(*split))
+            get = self.young.__getitem__
+            for i, s in zip(rest, split):
+                out[i] = b"".join(map(get, s))
+            at = end
+        return out
 
 
 @lru_cache(2)
@@ -150,8 +192,8 @@ def write(docs: DataFrame, key="doc_id", text="text", tokenizer=TOKENIZER, end_i
         end = np.array([end_id], dtype="<u4").tobytes()
         keys, parts, n = [], [], 0
         for pdf in batches:
-            for k, t in zip(pdf["key"], pdf["text"]):
-                parts.append(enc(t) + end)
+            for k, ids in zip(pdf["key"], enc(list(pdf["text"]))):
+                parts.append(ids + end)
                 keys.append(k)
                 n += len(parts[-1]) // 4
                 if n >= segment_ids:

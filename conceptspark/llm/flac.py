@@ -19,17 +19,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from conceptspark.runtime import others
+from conceptspark.llm.arrow import with_columns
 
 UNIT = 64
 BLOCK = 1024
 RATE = 8000
 #: Samples that are encoded or decoded in step at most (more where one stream is longer).
-AT_ONCE = 2_000_000
+AT_ONCE = 1_000_000
 LPC_ORDER, LPC_BITS, PARTITION_ORDER = 4, 12, 2
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
 BLOCKS = "array<struct<block:int,sample_offset:long,media_offset:long,pcm:binary>>"
@@ -445,24 +446,21 @@ def with_media(docs: DataFrame, text="text", block=BLOCK) -> DataFrame:
     A null text counts as empty: 64 samples of byte 0.
     """
 
-    @F.pandas_udf("binary")
-    def flac(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series(encode([pad(b) for b in s], block), dtype=object)
+    def flac(raw: list[bytes]) -> list[pa.Array]:
+        return [pa.array([len(b) for b in raw], pa.int64()), pa.array(encode([pad(b) for b in raw], block), pa.binary())]
 
-    raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    return docs.select(*others(docs, text, "n_bytes", "media"), F.octet_length(raw).cast("long").alias("n_bytes"), flac(raw).alias("media"))
+    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
+    return with_columns(docs, F.coalesce(F.col(text), F.lit("")).cast("binary"), flac, fields, (text,))
 
 
 def with_blocks(rows: DataFrame, media="media") -> DataFrame:
     """Add ``blocks``: the decoded PCM blocks of the stream, in order."""
 
-    @F.pandas_udf(BLOCKS)
-    def pcm(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([[{"block": k, "sample_offset": o, "media_offset": m, "pcm": p} for k, o, m, p in b] for b in decode(list(s))])
+    def pcm(streams: list[bytes]) -> list[pa.Array]:
+        found = [[{"block": k, "sample_offset": o, "media_offset": m, "pcm": p} for k, o, m, p in b] for b in decode(streams)]
+        return [pa.array(found, pa.list_(pa.struct([("block", pa.int32()), ("sample_offset", pa.int64()), ("media_offset", pa.int64()), ("pcm", pa.binary())])))]
 
-    return rows.select(*others(rows, "blocks"), pcm(media).alias("blocks"))
+    return with_columns(rows, media, pcm, T.StructType.fromDDL(f"blocks {BLOCKS}").fields)
 
 
 def pcm_table(rows: DataFrame, key="doc_id", media="media") -> DataFrame:
@@ -476,27 +474,32 @@ def seek(table: DataFrame, first: int, n: int) -> DataFrame:
     return table.where((F.col("sample_offset") < first + n) & (F.col("sample_offset") + F.octet_length("pcm") > first))
 
 
-def digests(blocks) -> tuple[int, str, int, str]:
+def digests(blocks: list[tuple[int, int, int, bytes]]) -> tuple[int, str, int, str]:
     """(bytes, sha256, crc32 of the last 64, feature) of blocks read back.
 
     The feature holds mean and deviation of the samples, the mean step between neighbours
     and the share of steps that cross the mean.
     """
-    data = b"".join(b["pcm"] for b in blocks)
+    data = b"".join(b[3] for b in blocks)
     x = np.frombuffer(data, np.uint8).astype(np.float64) - 128
     above = x > x.mean()
     feature = f"mean={x.mean():.4f};std={x.std():.4f};step={np.abs(np.diff(x)).mean():.4f};cross={(above[1:] != above[:-1]).mean():.4f}"
     return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), feature
 
 
-def op4_flac(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+def with_digests(rows: DataFrame, media="media") -> DataFrame:
+    """Add ``digests`` of the decoded blocks; the PCM itself stays in the task."""
+
+    def read_back(streams: list[bytes]) -> list[pa.Array]:
+        cols = zip(*(digests(b) for b in decode(streams)))
+        return [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string()))]
 
-    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
-    def read_back(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([digests(b) for b in s], columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+    fields = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType())]
+    return with_columns(rows, media, read_back, fields)
 
-    rows = with_blocks(with_media(docs)).withColumn("r", read_back("blocks"))
-    return rows.select(
-        "doc_id", "n_bytes", "r.payload_bytes", "r.payload_sha256", "r.tail_crc32",
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "r.feature")
+
+def op4_flac(spark, sf_dir) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    rows = with_media(docs)
+    rows = rows.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    return with_digests(rows).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -36,6 +36,8 @@ def chordal(atoms: DataFrame, chunk: int = CHUNK) -> DataFrame:
     top = F.lit(b.agg(F.max("c")).first()[0] or 0)
     left = b.withColumn("c2", F.explode(F.sequence(F.col("c"), top))).withColumnRenamed("c", "c1")
     right = b.withColumn("c1", F.explode(F.sequence(F.lit(0), F.col("c")))).withColumnRenamed("c", "c2")
+    # Columns of the two sides must not share their identity, or pruning one prunes the other.
+    right = right.select(*[F.col(c).alias(f"{c}_right") for c in right.columns]).toDF(*right.columns)
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):

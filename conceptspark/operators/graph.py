@@ -36,60 +36,53 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return components(edges).groupBy("component").agg(F.count("*").alias("size"))
 
 
-def spectral_layout(edges: DataFrame, concepts: DataFrame, rounds: int = 60, seed: int = 0) -> DataFrame:
+def spectral_layout(edges: DataFrame, concepts: DataFrame, rounds: int = 25, seed: int = 0) -> DataFrame:
     """(g, x, y, component) of every concept.
 
     The giant component is laid out by the second and third eigenvectors of
-    half (I + D^-1/2 A D^-1/2), by orthogonal iteration with the known first one deflated;
-    each product with the matrix is a join and a sum.  Coordinates are scaled by their
-    98th percentile and clipped at 1.5.  Other concepts stand on a ring of radius 2 to
-    2.25, or on the unit circle where there are no edges.
+    half (I + D^-1/2 A D^-1/2), by orthogonal iteration with the known first one deflated.
+    Each product with the matrix is a Spark job over the edges; the two vectors, of one
+    number per concept, stand on the driver as a model's parameters do.  Coordinates are
+    scaled by their 98th percentile and clipped at 1.5.  Other concepts stand on a ring of
+    radius 2 to 2.25, or on the unit circle where there are no edges.
     """
+    spark = edges.sparkSession
     links = stored(both_ways(edges), "layout-links")
     every = concepts.select("g").distinct()
-    unit = lambda salt: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(salt), F.col("g").cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+    def unit(salt):
+        key = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(salt), F.col("g").cast("string")).cast("binary"))
+        return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
     angle = unit("angle") * (2 * math.pi)
     if links.limit(1).count() == 0:
         return every.select("g", F.cos(angle).alias("x"), F.sin(angle).alias("y"), F.lit(None).cast("int").alias("component"))
     parts = stored(components(edges), "layout-parts")
     giant = parts.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "component").first()
-    inside = parts.where(F.col("component") == giant["component"]).select("g", "component")
-    deg = links.groupBy("g").agg(F.sum("w").alias("deg")).join(inside, "g")
-    own = links.join(inside.select("g"), "g", "left_semi")
-    deg = stored(deg, "layout-degrees")
-    vec = stored(deg.select("g", "deg", (unit("x") - 0.5).alias("a"), (unit("y") - 0.5).alias("b")), "layout-vectors")
+    inside = parts.where(F.col("component") == giant["component"]).select("g")
+    own = links.join(inside, "g", "left_semi")
+    nodes = own.groupBy("g").agg(F.sum("w").alias("deg"), F.max(unit("x") - 0.5).alias("a"), F.max(unit("y") - 0.5).alias("b")).orderBy("g").toPandas()
+    ids = [int(g) for g in nodes["g"]]
+    root = np.sqrt(nodes["deg"].to_numpy())
+    first = root / np.linalg.norm(root)
+    xy = np.zeros((len(ids), 2))
     if giant["size"] >= 3:
-        matrix = stored(own.join(deg.select("g", F.col("deg").alias("dg")), "g").join(deg.select(F.col("g").alias("other"), F.col("deg").alias("do")), "other").select("g", "other", (F.col("w") / F.sqrt(F.col("dg") * F.col("do"))).alias("m")), "layout-matrix")
-        vec = _orthonormal(vec)
-        for k in range(rounds):
-            prod = matrix.join(vec.select(F.col("g").alias("other"), "a", "b"), "other").groupBy("g").agg(F.sum(F.col("m") * F.col("a")).alias("ma"), F.sum(F.col("m") * F.col("b")).alias("mb"))
-            vec = vec.join(prod, "g").select("g", "deg", ((F.col("a") + F.col("ma")) / 2).alias("a"), ((F.col("b") + F.col("mb")) / 2).alias("b"))
-            vec = _orthonormal(vec)
-            if k % 5 == 4:
-                vec = stored(vec, "layout-vectors")
-        flat = vec.select("g", (F.col("a") / F.sqrt("deg")).alias("x"), (F.col("b") / F.sqrt("deg")).alias("y"))
-        caps = flat.agg(*[F.greatest(F.percentile(F.abs(F.col(c)), F.lit(0.98)), F.lit(1e-12)).alias(c) for c in ("x", "y")]).first()
-        flat = flat.select("g", *[F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.col(c) / caps[c])).alias(c) for c in ("x", "y")])
-    else:
-        flat = vec.select("g", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+        deg = spark.createDataFrame([(g, float(r)) for g, r in zip(ids, root)], "g int, r double")
+        matrix = stored(own.join(deg, "g").join(deg.select(F.col("g").alias("other"), F.col("r").alias("o")), "other").select("g", "other", (F.col("w") / F.col("r") / F.col("o")).alias("m")), "layout-matrix")
+        v = nodes[["a", "b"]].to_numpy()
+        for _ in range(rounds):
+            v = np.linalg.qr(v - np.outer(first, first @ v))[0]
+            now = spark.createDataFrame([(g, float(a), float(b)) for g, (a, b) in zip(ids, v)], "other int, a double, b double")
+            prod = matrix.join(F.broadcast(now), "other").groupBy("g").agg(F.sum(F.col("m") * F.col("a")).alias("a"), F.sum(F.col("m") * F.col("b")).alias("b")).orderBy("g").toPandas()
+            v = (v + prod[["a", "b"]].to_numpy()) / 2
+        v = np.linalg.qr(v - np.outer(first, first @ v))[0] / root[:, None]
+        xy = np.clip(v / np.maximum(np.percentile(np.abs(v), 98, axis=0), 1e-12), -1.5, 1.5)
+    flat = spark.createDataFrame([(g, float(x), float(y)) for g, (x, y) in zip(ids, xy)], "g int, x double, y double")
     radius = 2 + 0.25 * unit("radius")
-    rest = every.join(flat.select("g"), "g", "left_anti").select("g", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
+    rest = every.join(inside, "g", "left_anti").select("g", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
     return flat.unionByName(rest).join(parts, "g", "left").select("g", "x", "y", "component")
 
 
-def _orthonormal(vec: DataFrame) -> DataFrame:
-    """a and b made orthogonal to sqrt(deg) and to each other, of unit length; ten sums decide."""
-    s = F.sqrt("deg")
-    d = vec.agg(F.sum("deg").alias("ss"), *[F.sum(x * y).alias(n) for n, x, y in (("sa", s, F.col("a")), ("sb", s, F.col("b")), ("aa", F.col("a"), F.col("a")), ("bb", F.col("b"), F.col("b")), ("ab", F.col("a"), F.col("b")))]).first()
-    pa, pb = d["sa"] / d["ss"], d["sb"] / d["ss"]
-    aa, bb, ab = d["aa"] - pa * d["sa"], d["bb"] - pb * d["sb"], d["ab"] - pa * d["sb"]
-    t = ab / max(aa, 1e-300)
-    na, nb = math.sqrt(max(aa, 1e-300)), math.sqrt(max(bb - t * ab, 1e-300))
-    a = F.col("a") - pa * s
-    b = F.col("b") - pb * s - t * a
-    return vec.select("g", "deg", (a / na).alias("a"), (b / nb).alias("b"))
-
-
 def double_centred(distances: DataFrame) -> DataFrame:
     """(i, j, b) of -1/2 (d2 - row mean - column mean + grand mean), d2 squared distances of all ordered pairs."""
     d2 = distances.select("i", "j", (F.col("d") * F.col("d")).alias("d2"))

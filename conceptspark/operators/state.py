@@ -10,16 +10,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def tokens_since_fired(firings: DataFrame, order: str = "ts", tie: str = "token_id") -> DataFrame:
+def tokens_since_fired(firings: DataFrame, order: str = "ts", tie: str = "token_id", buckets: int = 1024) -> DataFrame:
     """(g, since): tokens seen after the last one on which the concept fired.
 
-    Only the last firing of each concept is needed, and how many tokens come after it.
+    Tokens are counted in buckets of the order column.  Of a concept's last bucket only the
+    tokens themselves are compared (an equi-join), later buckets add their counts.
     """
-    last = firings.groupBy("g").agg(F.max(F.struct(F.col(order), F.col(tie))).alias("last"))
-    every = firings.select(F.struct(F.col(order), F.col(tie)).alias("at")).distinct()
-    # One row per concept meets each token once: concepts are few, so they are counted in one pass.
-    after = every.join(F.broadcast(last), F.col("at") > F.col("last")).groupBy("g").agg(F.count("*").alias("since"))
-    return last.select("g").join(after, "g", "left").select("g", F.coalesce("since", F.lit(0)).alias("since"))
+    is_time = dict(firings.dtypes)[order].startswith("timestamp")
+    at = F.unix_micros(F.col(order).cast("timestamp_ltz")) if is_time else F.col(order).cast("long")
+    rows = firings.select("g", at.alias("at"), F.col(tie).alias("tie"))
+    span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    width = max(1, ((span["hi"] or 0) - (span["lo"] or 0)) // buckets + 1)
+    bucket = F.floor((F.col("at") - (span["lo"] or 0)) / width)
+    last = rows.groupBy("g").agg(F.max(F.struct("at", "tie")).alias("last")).select("g", "last", F.floor((F.col("last.at") - (span["lo"] or 0)) / width).alias("b"))
+    tokens = rows.select("at", "tie").distinct().withColumn("b", bucket)
+    counts = tokens.groupBy("b").agg(F.count("*").alias("n"))
+    later = counts.select("b", F.coalesce(F.sum("n").over(W.orderBy(F.col("b").desc()).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("later"))
+    near = tokens.join(last, "b").where(F.struct("at", "tie") > F.col("last")).groupBy("g").agg(F.count("*").alias("near"))
+    return last.join(later, "b").join(near, "g", "left").select("g", (F.col("later") + F.coalesce("near", F.lit(0))).alias("since"))
 
 
 def dead_mask(since: DataFrame, dead_after: int) -> DataFrame:

@@ -377,7 +377,9 @@ def _decode_frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> list
     coef = np.zeros((most, len(own)), dtype=np.int64)
     shift = np.zeros(len(own), dtype=np.int64)
     for o, c in enumerate(FIXED):
-        coef[:o, np.flatnonzero(~lpc & (order == o))] = np.array(c, dtype=np.int64)[:, None]
+        on = np.flatnonzero(~lpc & (order == o))
+        if len(on):
+            coef[:o, on] = np.array(c, dtype=np.int64)[:, None]
     on = np.flatnonzero(lpc)
     if len(on):
         precision = bits.get(p[on], 4) + 1

@@ -343,7 +343,10 @@ def labelled(page: str) -> tuple[list[list[int]], list[int]]:
 def fit(pages: DataFrame, column="html", sample_pages=SAMPLE_PAGES, training_pages=TRAINING_PAGES, seed=SEED) -> Chain:
     """Train on templates filled with words of at most ``sample_pages`` pages, taken by a hash."""
     text = F.coalesce(F.col(column), F.lit(""))
-    rows = pages.select(F.xxhash64(text).alias("h"), F.substring(text, 1, 4000).alias("t")).orderBy("h").limit(sample_pages).collect()
+    hashed = pages.select(F.xxhash64(text).alias("h"), F.substring(text, 1, 4000).alias("t"))
+    # Only about the sample leaves the tasks, however many tasks there are.
+    share = min(1.0, 1.5 * sample_pages / max(1, pages.count()))
+    rows = hashed.where(F.pmod("h", F.lit(1_000_003)) <= int(1_000_003 * share)).orderBy("h").limit(sample_pages).collect()
     words = [w for r in rows for b in leaf_blocks(r["t"]) for w in b.text.split()]
     rng = np.random.default_rng(seed)
     if len(words) < 50:

@@ -56,7 +56,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs=MAX_EPOCHS) -> DataF
     return out.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def mix(docs: DataFrame, text="text", source="source", key="doc_id", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed="mix", rows_per_range=20000, carry=False) -> DataFrame:
+def mix(docs: DataFrame, text="text", source="source", key="doc_id", weights=WEIGHTS, max_epochs=MAX_EPOCHS, seed="mix", rows_per_range=4000, carry=False) -> DataFrame:
     """How many words of each document the mix takes.
 
     Returns one row per input row: ``key``, source, size, source_size, target, taken.

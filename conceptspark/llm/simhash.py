@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from conceptspark.runtime import others, stored
 
 RADIUS = 4
-PARTITIONS = 3
+#: Partition counts to choose from by estimated cost: 3 up to some 10^7 distinct fingerprints, 2 beyond.
+PARTITIONS = (2, 3)
 SHINGLE = 4
 SAMPLE = 4096
 SMALL_RUN = 24
@@ -65,7 +66,7 @@ def fingerprints(docs: DataFrame, text="text", shingle=SHINGLE) -> DataFrame:
     return docs.select(*others(docs, text, "fp"), fp(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("fp"))
 
 
-def group_bits(sample: np.ndarray, partitions: int = PARTITIONS) -> list[list[int]]:
+def group_bits(sample: np.ndarray, partitions: int = 3) -> list[list[int]]:
     """Partition the 64 bits: each partition grows by the bit most correlated with it."""
     bits = np.unpackbits(sample.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
     if len(bits) < 2:
@@ -90,8 +91,8 @@ def group_bits(sample: np.ndarray, partitions: int = PARTITIONS) -> list[list[in
     return out
 
 
-def allocate(costs: list[list[float]], radius: int = RADIUS) -> list[int]:
-    """Thresholds of least total cost; ``costs[i][t + 1]`` is that of threshold t in partition i."""
+def allocate(costs: list[list[float]], radius: int = RADIUS) -> tuple[float, list[int]]:
+    """Least total cost and its thresholds; ``costs[i][t + 1]`` is that of threshold t in partition i."""
     m = len(costs)
     total = radius - m + 1
     best = {0: (0.0, [])}  # sum of (t + 1) so far
@@ -103,11 +104,19 @@ def allocate(costs: list[list[float]], radius: int = RADIUS) -> list[int]:
                 if k <= total + m and (k not in step or cost + c[t + 1] < step[k][0]):
                     step[k] = (cost + c[t + 1], [*chosen, t])
         best = step
-    return best[total + m][1]
+    return best[total + m]
 
 
-def plan(sample: np.ndarray, n: int, partitions: int = PARTITIONS, radius: int = RADIUS) -> tuple[list[list[int]], list[int]]:
+def plan(sample: np.ndarray, n: int, partitions=PARTITIONS, radius: int = RADIUS) -> tuple[list[list[int]], list[int]]:
     """Bit groups and thresholds for ``n`` distinct fingerprints, judged by a sample of them."""
+    counts = (partitions,) if isinstance(partitions, int) else partitions
+    # How many partitions is judged by even bits: clusters of near copies cost the same under any.
+    m = min(counts, key=lambda k: (allocate(_costs(sample[:0], n, k, radius)[1], radius)[0], k))
+    groups, costs = _costs(sample, n, m, radius)
+    return groups, allocate(costs, radius)[1]
+
+
+def _costs(sample: np.ndarray, n: int, partitions: int, radius: int) -> tuple[list[list[int]], list[list[float]]]:
     groups = group_bits(sample, partitions)
     rng = np.random.default_rng(0)
     costs = []
@@ -124,7 +133,7 @@ def plan(sample: np.ndarray, n: int, partitions: int = PARTITIONS, radius: int =
         # At least what even bits would give: a sample holds few pairs as near as that.
         expected = np.maximum(near / max(pairs, 1), balls / 2.0 ** len(g)) * n * n / 2
         costs.append([0.0, *(expected + n * balls)])
-    return groups, allocate(costs, radius)
+    return groups, costs
 
 
 def _choose(n: int, k: int) -> int:
@@ -189,7 +198,9 @@ def links(nodes: DataFrame, radius=RADIUS, partitions=PARTITIONS, sample=SAMPLE)
     ``nodes`` has one column ``fp``.
     """
     n = nodes.count()
-    rows = nodes.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+    share = min(1.0, 1.5 * sample / max(1, n))
+    some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) <= int(1_000_003 * share))
+    rows = some.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     groups, thresholds = plan(np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64), n, partitions, radius)
     sides = []
     for i, (g, t) in enumerate(zip(groups, thresholds)):

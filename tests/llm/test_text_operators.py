@@ -106,7 +106,8 @@ def test_links_keep_all_components(spark, seed, partitions):
 def test_thresholds_add_up():
     for m in (1, 2, 3, 4, 5):
         costs = [[0.0, *(10.0 ** (t + i % 2) for t in range(5))] for i in range(m)]
-        assert sum(simhash.allocate(costs, 4)) == 4 - m + 1
+        assert sum(simhash.allocate(costs, 4)[1]) == 4 - m + 1
+    assert len(simhash.plan(np.array(_fingerprints(0), dtype=np.uint64), 10**6)[0]) == 3 and len(simhash.plan(np.array(_fingerprints(0), dtype=np.uint64), 10**10)[0]) == 2
     groups = simhash.group_bits(np.array(_fingerprints(0), dtype=np.uint64))
     assert sorted(b for g in groups for b in g) == list(range(64))
 

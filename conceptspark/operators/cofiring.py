@@ -46,7 +46,7 @@ def partners(firings: DataFrame, n: int = 8) -> DataFrame:
 def edges(firings: DataFrame, threshold: float = 0.1, max_edges: int = 200_000) -> DataFrame:
     """(i, j, w): pairs at or above the threshold, strongest first, cut at ``max_edges``.
 
-    The cut is the reference semantics of the graph; ``edges_found`` counts all of them.
+    The cut is part of the graph's definition; ``edges_found`` counts all of them.
     """
     found = jaccard(firings).where(F.col("jaccard") >= threshold).select("i", "j", F.col("jaccard").alias("w"))
     return found.orderBy(F.col("w").desc(), "i", "j").limit(max_edges)

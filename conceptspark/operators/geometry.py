@@ -85,6 +85,27 @@ def pca3(clouds: DataFrame) -> DataFrame:
     return clouds.select("g", "rank", "code").groupBy("g").applyInPandas(fit, "g int, rank int, x double, y double, z double")
 
 
+def main_axes(clouds: DataFrame) -> DataFrame:
+    """(g, mean, axes) of clouds (g, rank, code): up to three principal axes, end to end."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.vstack(pdf["code"])
+        v = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3]
+        v = v * np.where(v[np.arange(len(v)), np.abs(v).argmax(axis=1)] < 0, -1, 1)[:, None]
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "mean": [x.mean(axis=0)], "axes": [v.ravel()]})
+
+    return clouds.select("g", "code").groupBy("g").applyInPandas(fit, "g int, mean array<double>, axes array<double>")
+
+
+def overlay(firings: DataFrame, axes: DataFrame) -> DataFrame:
+    """(g, unit, pos, act, p): every firing's code on its concept's main axes, in DataFrame functions."""
+    rows = firings.join(F.broadcast(axes), "g").withColumn("c", F.zip_with("code", "mean", lambda a, m: a - m))
+    k = F.size("code")
+    n = (F.size("axes") / k).cast("int")
+    dot = lambda i: F.aggregate(F.zip_with("c", F.slice("axes", i * k + 1, k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    return rows.select("g", "unit", "pos", "act", F.transform(F.sequence(F.lit(0), n - 1), dot).alias("p"))
+
+
 def cloud_through_atoms(clouds: DataFrame, atoms: DataFrame) -> DataFrame:
     """``pca3`` of the d-dimensional cloud codes @ atoms, computed in k dimensions.
 

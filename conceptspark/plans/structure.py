@@ -159,6 +159,25 @@ def cloud_pca3(spark, sf):
     return geometry.cloud_through_atoms(cloud, b.atoms(spark, sf))
 
 
+def overlay_values(spark, sf):
+    fr = b.firings(spark, sf)
+    out = geometry.overlay(fr, geometry.main_axes(concepts.cloud_sample(fr, 8, 200)))
+    return out.select("g", "unit", "pos", r6("act").alias("act"), *[r6(F.get("p", F.lit(i))).alias(f"p{i}") for i in range(2)])
+
+
+def embedding_quality(spark, sf):
+    share, half = graph.embedding_quality(_all_pairs(spark, sf))
+    return spark.createDataFrame([(share, half)], "share_in_two double, dims_for_half int")
+
+
+def map_nodes(spark, sf):
+    fr = b.firings(spark, sf)
+    place = graph.spectral_layout(cofiring.edges(fr, 0.1), b.atoms(spark, sf).select("g").distinct(), rounds=5)
+    first = concepts.top_examples(fr, 1).select("g", F.concat_ws(":", "unit", "pos").alias("top_token"))
+    n = b.acts(spark, sf).count()
+    return place.join(concepts.fire_stats(fr, n), "g", "left").join(first, "g", "left").select("g", "x", "y", "component", "fire_rate", F.log10(F.greatest("fire_rate", F.lit(1e-6))).alias("log_rate"), "top_token")
+
+
 def sphere_fit(spark, sf):
     return shapes.sphere_fit(geometry.sphere_points(_points(spark, sf).select("g", "rank", F.col("p").alias("code"))))
 
@@ -236,7 +255,7 @@ QUERIES = {
     f.__name__: f
     for f in (theta_init, window_occupancy, dead_topk, tokens_since_fired, dead_concepts_by_silence, ema_scale, l0_controller, sparsity_flags, block_basis_k2, chordal_topn, chordal_summary, shape_participation,
               shape_planar, shape_antipodal, shape_counts, shape_gallery, radial_clip, direction_color, intensity, lat_lon, quantile_violations, edge_violations, coverage_violations, spectral_layout, classical_mds,
-              double_centred, cloud_pca3, sphere_fit, sphere_grid, train_free, train_tied, train_threshold, train_soft, stream_fire_counts, stream_scale, stream_silence)
+              double_centred, cloud_pca3, overlay_values, embedding_quality, map_nodes, sphere_fit, sphere_grid, train_free, train_tied, train_threshold, train_soft, stream_fire_counts, stream_scale, stream_silence)
 }
 
 _W = b.with_("acts", "atoms", "proj", "norms")

@@ -121,3 +121,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_codes_and_census_sinks(spark, tmp_path):
+    codes = spark.createDataFrame([(g, i, [float(g), float(i)]) for g in range(5) for i in range(4)], "g int, rank int, code array<double>")
+    artifact.save_codes(codes, str(tmp_path / "codes"), 3)
+    assert spark.read.parquet(str(tmp_path / "codes")).count() == 20
+    artifact.save_census(codes.groupBy("g").count(), str(tmp_path / "census"))
+    assert spark.read.json(str(tmp_path / "census")).count() == 5
+    s = normalize.norm_stats(spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 5.0])], "token_id long, x array<double>"))
+    for drop in (0, 1, 1):
+        artifact.stats_table(s, 8, "resid", drop, None, str(tmp_path / "stats"))
+    assert spark.read.parquet(str(tmp_path / "stats")).count() == 2
+
+
+def test_overlay_is_the_cloud_itself(spark):
+    rng = np.random.default_rng(0)
+    cloud = spark.createDataFrame([(0, "u", i, i, 1.0, v.tolist()) for i, v in enumerate(rng.standard_normal((20, 4)))], "g int, unit string, pos int, rank int, act double, code array<double>")
+    p = np.vstack([r["p"] for r in geometry.overlay(cloud, geometry.main_axes(cloud)).orderBy("pos").collect()])
+    q = geometry.pca3(cloud).orderBy("rank").toPandas()[["x", "y", "z"]].to_numpy()
+    np.testing.assert_allclose(p, q, atol=1e-9)

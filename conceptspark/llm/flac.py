@@ -271,10 +271,11 @@ def _frames(data: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
         h = _header(data, at)
         if h is not None and h[0] == len(found):
             found.append((at, h[2], h[1]))
-            at += h[2]
+            at += h[2] - 1
         elif not found:
             raise ValueError("no frame where the first should start")
-        at = data.find(b"\xff\xf8", at + 1 if h is None else at)
+        # Coded samples may look like a header; one with another number is passed over.
+        at = data.find(b"\xff\xf8", at + 1)
     ends = [*(f[0] for f in found[1:]), len(data)]
     return total, info[18:34], [(s, e - s, h, b) for (s, h, b), e in zip(found, ends)]
 

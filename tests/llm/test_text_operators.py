@@ -384,3 +384,13 @@ def test_flac_constant_and_verbatim():
     media = flac._stream_header(64, 96, hashlib.md5(pcm).digest()) + body
     blocks = flac.decode([media])[0]
     assert b"".join(b[3] for b in blocks) == bytes(x ^ 0x80 for x in pcm) and [b[1] for b in blocks] == [0, 64]
+
+
+def test_flac_passes_over_what_looks_like_a_header():
+    def frame(sub, n, number):
+        f = flac._frame_header(number, n) + sub
+        return f + int(flac.crc16(np.frombuffer(f + b"\0", np.uint8), np.array([0]), np.array([len(f)]))[0]).to_bytes(2, "big")
+
+    samples = (flac._frame_header(7, 64) + bytes(64))[:64]  # verbatim samples that begin like frame 7
+    media = flac._stream_header(64, 128, bytes(16)) + frame(b"\x02" + samples, 64, 0) + frame(b"\x00\x05", 64, 1)
+    assert b"".join(b[3] for b in flac.decode([media])[0]) == bytes(x ^ 0x80 for x in samples + b"\x05" * 64)

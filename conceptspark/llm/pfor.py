@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +35,11 @@ END_ID = 0
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
-#: Pieces of a generation that a worker remembers (two are kept), and characters split at once.
-CACHE_PIECES = 400_000
-GROUP_CHARS = 2_000_000
+#: Units, and pieces, of a generation that a worker remembers (two are kept), and characters split at once.
+CACHE_PIECES = 300_000
+GROUP_CHARS = 3_000_000
+#: Stands for a text's first unit; no unit holds a blank.
+HEAD = " head"
 #: The public pattern in terms of ``re``; letters are \w without digits and underscore.
 PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: Characters outside the blocks where that holds (superscripts, fractions, separators, ...).
@@ -46,16 +48,32 @@ _HEAD = np.dtype([("offset", "<u4"), ("minimum", "<u4"), ("count", "<u2"), ("wid
 
 
 def _pack(x: np.ndarray, width: int) -> np.ndarray:
-    """Low ``width`` bits of every number of (blocks, n), n a multiple of 8, as bytes per block."""
-    bits = np.unpackbits(np.ascontiguousarray(x, dtype="<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=max(width, 1))
-    return np.packbits(bits.ravel(), bitorder="little").reshape(len(x), -1) if width else np.zeros((len(x), 0), dtype=np.uint8)
+    """Low ``width`` bits of every number of (blocks, n), n a multiple of 64, as bytes per block.
 
+    64 numbers fill ``width`` words of 64 bits; the j-th numbers of all groups move together.
+    """
+    lanes = (x & np.uint32((1 << width) - 1)).astype(np.uint64).reshape(-1, 64).T.copy()
+    out = np.zeros((width, lanes.shape[1]), dtype=np.uint64)
+    for j in range(64 if width else 0):
+        word, shift = divmod(j * width, 64)
+        out[word] |= lanes[j] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= lanes[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).astype("<u8").view(np.uint8).reshape(len(x), -1)
+
+
+@lru_cache(64)
+def _places(width: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte offsets and shifts of ``n`` numbers packed at ``width`` bits."""
+    at = np.arange(n, dtype=np.int64) * width
+    return at >> 3, (at & 7).astype(np.uint64)
 
-def _unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
-    """The numbers of (blocks, bytes) packed at ``width`` bits."""
-    wide = np.zeros((len(data) * n, 32), dtype=np.uint8)
-    wide[:, :width] = np.unpackbits(data.ravel(), bitorder="little").reshape(-1, width)
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(len(data), n)
+
+def _unpack(raw: np.ndarray, begin: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The numbers of blocks that begin at the bytes ``begin``, packed at ``width`` bits."""
+    offsets, shifts = _places(width, n)
+    words = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    return ((words[begin[:, None] + offsets] >> shifts) & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
 def encode_segment(ids: np.ndarray, block: int = BLOCK, percentile: int = PERCENTILE) -> bytes:
@@ -98,13 +116,12 @@ def decode_segment(data: bytes, first: int = 0, upto: int | None = None) -> np.n
     b0, b1 = first // block, (upto - 1) // block
     heads = np.frombuffer(data, _HEAD, n_blocks, 16)[b0 : b1 + 1]
     begin = 16 + n_blocks * _HEAD.itemsize + heads["offset"].astype(np.int64)
-    raw = np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(data + bytes(8), np.uint8)  # the last words may reach past the end
     out = np.zeros((len(heads), block), dtype=np.uint32)
     for w in np.unique(heads["width"]):
         own = np.flatnonzero(heads["width"] == w)
         if w:
-            size = block * int(w) // 8
-            out[own] = _unpack(raw[begin[own][:, None] + np.arange(size)], int(w), block)
+            out[own] = _unpack(raw, begin[own], int(w), block)
     for i in np.flatnonzero(heads["exceptions"]):
         k, w = int(heads["exceptions"][i]), int(heads["width"][i])
         at = int(begin[i]) + block * w // 8
@@ -113,15 +130,39 @@ def decode_segment(data: bytes, first: int = 0, upto: int | None = None) -> np.n
     return out.ravel()[first - b0 * block : upto - b0 * block]
 
 
+class _Memory:
+    """What a worker remembers of its pieces, in two generations.
+
+    A full young one becomes the old one, and what is met again moves back, so frequent
+    entries stay and memory is bounded.
+    """
+
+    def __init__(self):
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that are not known; known ones are young afterwards."""
+        if len(self.young) > CACHE_PIECES:
+            self.old, self.young = self.young, {}
+        old, young, new = self.old, self.young, []
+        for x in wanted.difference(young):
+            if x in old:
+                young[x] = old[x]
+            else:
+                new.append(x)
+        return new
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, whose pieces' ids are remembered.
 
     The library splits a text into pieces by the public pattern and encodes each on its
-    own, so a text's ids are its pieces' ids in order.  Texts of common characters, for
-    which Python's ``re`` and the pattern's classes agree, are split here and only pieces
-    not met before go to the library; any other text goes to it as a whole.  Two
-    generations of pieces are kept: a full young one becomes the old one, and pieces met
-    again move back, so frequent ones stay and memory is bounded.
+    own, so a text's ids are its pieces' ids in order.  A blank between two characters that
+    are no white space always begins a piece, so a text parted at its blanks is a row of
+    units that split on their own.  In texts of common characters, for which Python's
+    ``re`` and the pattern's classes agree, new units are split here and only pieces not
+    met before go to the library.  Any other text goes to it as a whole.
     """
 
     def __init__(self, path: str):
@@ -130,21 +171,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.units, self.pieces = _Memory(), _Memory()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [struct.pack(f"<{len(e)}I", *e.ids) for e in found]
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Bring pieces to the young generation."""
-        young, old = self.young, self.old
-        missing = pieces.difference(young)
-        back = missing.intersection(old)
-        young.update(zip(back, map(old.__getitem__, back)))
-        new = list(missing - back)
-        young.update(zip(new, self._plain(new)))
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _split(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of common characters, by their pieces."""
+        split = list(map(PIECES.findall, texts))
+        new = self.pieces.missing(set().union(*split))
+        self.pieces.young.update(zip(new, self._plain(new)))
+        get = self.pieces.young.__getitem__
+        return [b"".join(map(get, s)) for s in split]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -155,17 +193,40 @@ class Encoder:
             while end < len(texts) and (end == at or chars < GROUP_CHARS):
                 chars += len(texts[end])
                 end += 1
-            if len(self.young) > CACHE_PIECES:
-                self.old, self.young = self.young, {}
             plain = [i for i in range(at, end) if UNCOMMON.search(texts[i])]
             for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
                 out[i] = ids
             rest = sorted(set(range(at, end)).difference(plain))
-            split = [PIECES.findall(texts[i]) for i in rest]
-            self._learn(set().union(*split))
-            get = self.young.__getitem__
-            for i, s in zip(rest, split):
-                out[i] = b"".join(map(get, s))
+            parted = [texts[i].split(" ") for i in rest]
+            heads = [p[0] for p in parted]
+            wanted: set[str] = set()
+            for p in parted:
+                p[0] = HEAD
+                wanted.update(p)
+            wanted -= {HEAD, ""}
+            new = self.units.missing(wanted)
+            known = self.units.young
+            # A unit that is empty or begins or ends with white space does not stand on its own.
+            sound = [u for u in new if not (u[0].isspace() or u[-1].isspace())]
+            if len(sound) < len(new):
+                known.update(dict.fromkeys(new))
+            known.update(zip(sound, self._split([" " + u for u in sound])))
+            known[HEAD], known[""] = b"", None
+            get = known.__getitem__
+            whole, first = [], []
+            for i, p, head in zip(rest, parted, heads):
+                if not head or head[-1].isspace():
+                    whole.append(i)
+                    continue
+                try:
+                    out[i] = b"".join(map(get, p))
+                    first.append((i, head))
+                except TypeError:  # a unit without ids of its own
+                    whole.append(i)
+            for (i, _), ids in zip(first, self._split([h for _, h in first])):
+                out[i] = ids + out[i]
+            for i, ids in zip(whole, self._split([texts[i] for i in whole])):
+                out[i] = ids
             at = end
         return out
 

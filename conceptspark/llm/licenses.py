@@ -14,6 +14,7 @@ shuffled is index hits, never texts.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 
@@ -87,10 +88,14 @@ class Index:
         return hit
 
     def posting_map(self) -> Column:
-        def posting(p):
-            return F.struct(F.lit(p[0]).alias("t"), F.lit(p[1]).alias("p"), F.lit(int(p[2])).alias("rare"), F.lit(int(p[3])).alias("key"))
+        """The postings as one constant: word to (template, place, rare, in key phrase)."""
+        rows = {w: [{"t": t, "p": p, "rare": int(r), "key": int(k)} for t, p, r, k in ps] for w, ps in sorted(self.postings.items())}
+        return F.from_json(F.lit(json.dumps(rows)), "map<string,array<struct<t:int,p:int,rare:int,key:int>>>")
 
-        return F.create_map(*[x for w, ps in sorted(self.postings.items()) for x in (F.lit(w), F.array(*[posting(p) for p in ps]))])
+    def needs(self) -> Column:
+        """What each template asks for, as one constant array."""
+        rows = [{"rare": r, "in_key": k, "n": n, "label": label} for (r, k, n), (label, _, _) in zip(self.need, self.templates)]
+        return F.from_json(F.lit(json.dumps(rows)), "array<struct<rare:int,in_key:int,n:int,label:string>>")
 
 
 def _places(words: Column, phrase: list[str]) -> Column:
@@ -160,8 +165,7 @@ def scan(docs: DataFrame, text="text", key="doc_id", index: Index | None = None,
     bit = lambda c: F.bit_or(F.when(F.col(c) == 1, here).otherwise(F.lit(0).cast("long")))
     votes = hits.groupBy("h_key", "h_hash", "t", "start").agg(
         F.bit_count(bit("rare")).alias("n_rare"), F.bit_count(bit("in_key")).alias("n_key"), F.bit_count(F.bit_or(here)).alias("n_all"))
-    need = F.array(*[F.struct(F.lit(r).alias("rare"), F.lit(k).alias("in_key"), F.lit(n).alias("n"), F.lit(label).alias("label")) for (r, k, n), (label, _, _) in zip(index.need, index.templates)])
-    votes = votes.withColumn("need", F.get(need, F.col("t"))).withColumn("coverage", F.col("n_all") / F.col("need.n"))
+    votes = votes.withColumn("need", F.get(index.needs(), F.col("t"))).withColumn("coverage", F.col("n_all") / F.col("need.n"))
     accepted = votes.where((F.col("n_rare") == F.col("need.rare")) & (F.col("n_key") == F.col("need.in_key")) & (F.col("coverage") >= min_coverage))
     accepted = accepted.groupBy("h_key", "h_hash").agg(F.collect_set("need.label").alias("__more"), F.max("coverage").alias("__coverage"))
     joined = found.join(accepted, F.col(key).eqNullSafe(F.col("h_key")) & (F.col("__hash") == F.col("h_hash")), "left")

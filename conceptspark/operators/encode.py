@@ -162,7 +162,9 @@ def dot(a, b):
 
 
 def projections(acts: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(token_id, unit, pos, g, act, code) of all blocks, in DataFrame functions (small dictionaries)."""
+    """(token_id, unit, pos, g, act, code) of all blocks, in DataFrame functions; small dictionaries only (checked)."""
+    if (atoms.agg(F.sum(F.size("dec"))).first()[0] or 0) > MAX_NUMBERS // 100:
+        raise ValueError("use firings() for a dictionary of this size")
     blocks = atoms.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "dec"))), lambda s: s["dec"]).alias("block"))
     rows = acts.crossJoin(F.broadcast(blocks))
     rows = rows.withColumn("code", F.transform("block", lambda d: dot(F.col("x"), d)))
@@ -173,7 +175,7 @@ def projections(acts: DataFrame, atoms: DataFrame) -> DataFrame:
 def decode_table(firings_: DataFrame, atoms: DataFrame) -> DataFrame:
     """(token_id, dim, value): sums of codes times atoms, as joins."""
     z = firings_.select("token_id", "g", F.posexplode("code").alias("j", "z"))
-    parts = z.join(F.broadcast(atoms.select("g", "j", F.posexplode("dec").alias("dim", "d"))), ["g", "j"])
+    parts = z.join(atoms.select("g", "j", F.posexplode("dec").alias("dim", "d")), ["g", "j"])
     return parts.groupBy("token_id", "dim").agg(F.sum(F.col("z") * F.col("d")).alias("value"))
 
 

@@ -99,7 +99,7 @@ def main_axes(clouds: DataFrame) -> DataFrame:
 
 def overlay(firings: DataFrame, axes: DataFrame) -> DataFrame:
     """(g, unit, pos, act, p): every firing's code on its concept's main axes, in DataFrame functions."""
-    rows = firings.join(F.broadcast(axes), "g").withColumn("c", F.zip_with("code", "mean", lambda a, m: a - m))
+    rows = firings.join(axes, "g").withColumn("c", F.zip_with("code", "mean", lambda a, m: a - m))
     k = F.size("code")
     n = (F.size("axes") / k).cast("int")
     dot = lambda i: F.aggregate(F.zip_with("c", F.slice("axes", i * k + 1, k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

@@ -162,7 +162,8 @@ class Encoder:
     are no white space always begins a piece, so a text parted at its blanks is a row of
     units that split on their own.  In texts of common characters, for which Python's
     ``re`` and the pattern's classes agree, new units are split here and only pieces not
-    met before go to the library.  Any other text goes to it as a whole.
+    met before go to the library.  Any other text goes to it as a whole, and so does a text
+    that holds an added token (``<|endoftext|>``), which is one id and no piece.
     """
 
     def __init__(self, path: str):
@@ -170,7 +171,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.units, self.pieces = _Memory(), _Memory()
 
     def _plain(self, texts: list[str]) -> list[bytes]:
@@ -193,7 +194,7 @@ class Encoder:
             while end < len(texts) and (end == at or chars < GROUP_CHARS):
                 chars += len(texts[end])
                 end += 1
-            plain = [i for i in range(at, end) if UNCOMMON.search(texts[i])]
+            plain = [i for i in range(at, end) if UNCOMMON.search(texts[i]) or any(a in texts[i] for a in self.added)]
             for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
                 out[i] = ids
             rest = sorted(set(range(at, end)).difference(plain))

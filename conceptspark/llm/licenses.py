@@ -53,8 +53,9 @@ TEMPLATES = (
 )
 #: Rare words that a template is indexed by.
 RARE_WORDS = 3
-#: Words of a template that must match at the candidate start, as a share.
-MIN_COVERAGE = 0.75
+#: Words of a template that must match at the candidate start, as a share, besides its key
+#: phrase.  None: the key phrase in place decides, and the share is the score alone.
+MIN_COVERAGE = 0.0
 
 
 class Index:

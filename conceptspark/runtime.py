@@ -26,10 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and return the table read back."""
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write ``df`` as Parquet under the shared folder and return the table read back.
+
+    ``options`` are those of the writer, such as ``compression``.
+    """
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

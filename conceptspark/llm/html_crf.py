@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,6 +31,10 @@ from conceptspark.runtime import others
 #: Pages of the given table whose words fill the templates, and templates made of them, at most.
 SAMPLE_PAGES = 200
 TRAINING_PAGES = 500
+#: Distinct words of those pages that templates are made of, at most (by smallest hash).
+SAMPLE_WORDS = 20_000
+#: Nearest ancestors, and words of one's attributes, that a block's features look at.
+ANCESTORS = 64
 SLOTS = 1 << 13
 EPOCHS = 10
 RATE = 0.5
@@ -46,17 +51,42 @@ HIDDEN_TAGS = frozenset("script style title noscript iframe template head textar
 ENDS_P = BLOCK_TAGS - {"button", "caption", "optgroup", "option", "tbody", "td", "tfoot", "th", "thead", "tr", "legend", "summary", "noscript", "iframe", "template", "video", "audio", "object", "canvas"}
 SELF_END = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Attributes as the tokeniser's states read them: a name, and after "=" a quoted or a bare value.
+#: A quote inside a bare value or a name is part of it; one that never closes counts as a name.
+ATTRIBUTES = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?=>)|[^\s>"'][^\s>]*+))?+)*+"""
+TOKEN = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)(" + ATTRIBUTES + r")(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?+""")
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
+class Node:
+    """An open element.  What blocks need of its ancestors is kept here once, not in every block."""
+
+    __slots__ = ("parent", "tag", "words", "is_block", "inside", "scope", "inline", "slots")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...]):
+        self.parent, self.tag, self.words = parent, tag, words
+        self.is_block = parent is None or tag in BLOCK_TAGS
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
+        #: The nearest block-level element, itself included, and the inline elements open in it.
+        self.scope: Node = self if self.is_block else parent.scope
+        self.inline: dict[str, int] = {}
+        self.slots: list[int] | None = None
+
+    def path(self, most: int) -> Iterator[Node]:
+        """Itself and its ancestors, the nearest ``most``."""
+        node: Node | None = self
+        while node is not None and node.parent is not None and most:
+            yield node
+            node, most = node.parent, most - 1
+
+
 @dataclass
 class Block:
-    """A leaf block: its text, the text inside links, and its ancestors (tag, attribute words)."""
+    """A leaf block: the element it stands in, its text, and how much of that is in links."""
 
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    node: Node
     text: str = ""
     linked: int = 0
 
@@ -73,6 +103,8 @@ def _attribute_words(raw: str) -> tuple[str, ...]:
     out = []
     for m in ATTRIBUTE.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in ("class", "id", "role", "hidden", "aria-hidden", "itemprop", "style"):
+            continue
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
             out.append("hidden")
         elif name in ("class", "id", "role", "itemprop"):
@@ -88,7 +120,8 @@ def leaf_blocks(page: str) -> list[Block]:
     shown (scripts, styles, titles, ...) makes no block.
     """
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    top = Node(None, "", ())
+    opened: Counter[str] = Counter()
     now = _Open()
     hidden = links = 0
 
@@ -97,7 +130,7 @@ def leaf_blocks(page: str) -> list[Block]:
         if now.parts:
             text = SPACE.sub(" ", html.unescape("".join(now.parts))).strip()
             if text:
-                blocks.append(Block(tuple(x for x in stack), text, min(now.linked, len(text))))
+                blocks.append(Block(top, text, min(now.linked, len(text))))
             now = _Open()
 
     def add(text):
@@ -106,12 +139,21 @@ def leaf_blocks(page: str) -> list[Block]:
             if links:
                 now.linked += len(text)
 
-    def pop(to):
-        nonlocal hidden, links
-        while len(stack) > to:
-            tag = stack.pop()[0]
-            hidden -= tag in HIDDEN_TAGS
-            links -= tag == "a"
+    def pop():
+        nonlocal hidden, links, top
+        tag = top.tag
+        opened[tag] -= 1
+        if not top.is_block:
+            top.scope.inline[tag] -= 1
+        hidden -= tag in HIDDEN_TAGS
+        links -= tag == "a"
+        top = top.parent
+
+    def close(tag):
+        # Every element is popped once, so closing is linear however deep elements nest.
+        while top.tag != tag:
+            pop()
+        pop()
 
     at = 0
     while True:
@@ -129,32 +171,34 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK_TAGS:
                 end_block()
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                if opened[tag]:
+                    close(tag)
             # An inline end tag does not reach out of the block it stands in.
-            if where is not None and (tag in BLOCK_TAGS or not any(t in BLOCK_TAGS for t, _ in stack[where + 1 :])):
-                pop(where)
+            elif top.scope.inline.get(tag):
+                close(tag)
             continue
         if tag == "br" or tag in BLOCK_TAGS:
             end_block()
-        if tag in ENDS_P:
-            where = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if where is not None and all(t not in BLOCK_TAGS for t, _ in stack[where + 1 :]):
-                pop(where)
+        if tag in ENDS_P and top.scope.tag == "p":
+            close("p")
         if tag in SELF_END:
-            while stack and stack[-1][0] not in BLOCK_TAGS:
-                pop(len(stack) - 1)
-            if stack and stack[-1][0] in SELF_END[tag]:
-                pop(len(stack) - 1)
+            while not top.is_block:
+                pop()
+            if top.tag in SELF_END[tag]:
+                pop()
         if tag in VOID_TAGS:
             continue
         if tag in RAW_TAGS:
             # Raw text ends at its own end tag alone, whatever stands between.
-            close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
             continue
         if m[3].endswith("/") and tag not in BLOCK_TAGS:
             continue
-        stack.append((tag, _attribute_words(m[3])))
+        top = Node(top, tag, _attribute_words(m[3]))
+        opened[tag] += 1
+        if not top.is_block:
+            top.scope.inline[tag] = top.scope.inline.get(tag, 0) + 1
         hidden += tag in HIDDEN_TAGS
         links += tag == "a"
     end_block()
@@ -173,21 +217,18 @@ NOTICE = ("cookie", "subscribe", "sign up", "log in", "sign in", "copyright", "
 def features(blocks: list[Block]) -> list[list[int]]:
     """Slots of the features of each block of a page."""
     n = len(blocks)
-    seen: dict[tuple, list[int]] = {}
-    main = any(t in ("article", "main") for b in blocks for t, _ in b.path)
+    main = any(b.node.inside for b in blocks)
     out = []
     for i, b in enumerate(blocks):
-        tags = seen.get(b.path)
+        tags = b.node.slots
         if tags is None:
-            names = set()
-            block_tags = [t for t, _ in b.path if t in BLOCK_TAGS]
-            names.add("leaf:" + (block_tags[-1] if block_tags else "-"))
-            for t, words in b.path:
-                names.add("in:" + t)
-                names.update("mark:" + w for w in words)
-            inside = any(t in ("article", "main") for t, _ in b.path)
-            names.add("main:" + ("in" if inside else "out" if main else "none"))
-            tags = seen[b.path] = sorted(_slot(x) for x in names)
+            path = list(b.node.path(ANCESTORS))
+            names = {"leaf:" + next((x.tag for x in path if x.is_block), "-")}
+            for x in path:
+                names.add("in:" + x.tag)
+                names.update("mark:" + w for w in x.words[:ANCESTORS])
+            names.add("main:" + ("in" if b.node.inside else "out" if main else "none"))
+            tags = b.node.slots = sorted(_slot(x) for x in names)
         words = b.text.count(" ") + 1
         own = [f"words:{min(9, words.bit_length())}", f"links:{min(4, 5 * b.linked // max(1, len(b.text)))}", f"stops:{min(3, sum(map(b.text.count, ENDS)))}"]
         own.append(f"place:{10 * i // n}")
@@ -341,13 +382,20 @@ def labelled(page: str) -> tuple[list[list[int]], list[int]]:
 
 
 def fit(pages: DataFrame, column="html", sample_pages=SAMPLE_PAGES, training_pages=TRAINING_PAGES, seed=SEED) -> Chain:
-    """Train on templates filled with words of at most ``sample_pages`` pages, taken by a hash."""
-    text = F.coalesce(F.col(column), F.lit(""))
-    hashed = pages.select(F.xxhash64(text).alias("h"), F.substring(text, 1, 4000).alias("t"))
-    # Only about the sample leaves the tasks, however many tasks there are.
-    share = min(1.0, 1.5 * sample_pages / max(1, pages.count()))
-    rows = hashed.where(F.pmod("h", F.lit(1_000_003)) <= int(1_000_003 * share)).orderBy("h").limit(sample_pages).collect()
-    words = [w for r in rows for b in leaf_blocks(r["t"]) for w in b.text.split()]
+    """Train on templates filled with the words of about ``sample_pages`` pages, taken by a hash.
+
+    The pages are read whole; of their distinct words at most ``SAMPLE_WORDS`` reach the driver.
+    """
+
+    @F.pandas_udf("array<string>")
+    def words_of(s: pd.Series) -> pd.Series:
+        return pd.Series([sorted({w for b in leaf_blocks(p) for w in b.text.split()}) for p in s])
+
+    hashed = pages.select(F.coalesce(F.col(column), F.lit("")).alias("t"))
+    n = max(1, pages.count())
+    some = hashed.where(F.shiftrightunsigned(F.xxhash64("t"), 1) <= F.lit((2**63 - 1) * min(sample_pages, n) // n))
+    words = some.select(F.explode(words_of("t")).alias("w")).distinct().orderBy(F.xxhash64("w"), "w").limit(SAMPLE_WORDS).collect()
+    words = [r["w"] for r in words]
     rng = np.random.default_rng(seed)
     if len(words) < 50:
         words = [*words, *(f"word{i}" for i in range(50))]
@@ -367,8 +415,9 @@ def main_text(page: str, chain: Chain) -> str:
 def extract(pages: DataFrame, chain: Chain, column="html") -> DataFrame:
     """Replace ``column`` by text and n_chars (code points).
 
-    A null or empty page, and one without text blocks, gives an empty text.  Columns of
-    these names are replaced.  Pages are taken one by one, so repeated rows agree.
+    A null or empty page, and one without text blocks, gives an empty text; an empty table an
+    empty one.  Pages are taken one by one and whole, in time linear in their length, so
+    repeated rows agree.  Columns of these names are replaced.
     """
 
     @F.pandas_udf("text string, n_chars long")

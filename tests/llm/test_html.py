@@ -66,6 +66,44 @@ def test_blocks():
     assert texts("<p>cut <") == ["cut <"] and texts("<style>a") == []
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p class=a"b>Hello</p>', ["Hello"]),
+        ("<p title=it's>Hello</p><p>Don't</p><p>more</p>", ["Hello", "Don't", "more"]),
+        ('<a href="x"">L</a>', ["L"]),
+        ("<p title='a > b' x=\"c'>d\">e</p>", ["e"]),
+        ("<p a = 'x>y' b=/c>d</p>", ["d"]),
+        ("<p class=>d</p><p =x>e</p>", ["d", "e"]),
+        ('<p title="never closed>Hello</p><p>more</p>', ["Hello", "more"]),
+        ("<!-->a<!--->b<!-- x --!>c</>d</ 1>e", ["abcde"]),
+        ("<b><p>x</b>y</p>z", ["xy", "z"]),
+        ("<i><div>a</i>b</div>c", ["ab", "c"]),
+    ],
+)
+def test_tags_end_where_a_browser_ends_them(page, want):
+    assert [b.text for b in crf.leaf_blocks(page)] == want
+
+
+def test_work_is_linear_in_the_page():
+    import time
+
+    def seconds(page):
+        at = time.process_time()
+        crf.features(crf.leaf_blocks(page))
+        return time.process_time() - at
+
+    for unit in ('<div class="a b">x', "<i><b>x", "</i></div>x", "<i>x</b>", "<p title='", '<p a="', "<!--", "<li><b>x"):
+        small, large = seconds(unit * 4000), seconds(unit * 32000)
+        assert large < 24 * max(small, 0.05), unit
+
+
+def test_deep_and_hidden_attributes():
+    deep = crf.leaf_blocks("<article>" + "<div>" * 200 + "x")
+    assert deep[0].node.inside and len(crf.features(deep)[0]) < 20
+    assert crf._attribute_words(' data-class="no" CLASS="Foo-bar" hidden') == ("foo", "bar", "hidden")
+
+
 def test_viterbi_is_the_best_sequence():
     rng = np.random.default_rng(0)
     chain = crf.Chain(rng.standard_normal((crf.SLOTS, 2)), rng.standard_normal((2, 2)))

@@ -1,22 +1,29 @@
 """Nearest neighbours by collision-counting hashing.
 
 Every vector is projected on ``projections`` random directions; each direction is one
-sorted array.  A query opens a window around its own projection in every array.  All
-windows grow together (virtual rehashing: the width is multiplied, nothing is hashed
-anew), and a vector that lies in at least ``threshold`` of the windows is verified by its
-exact cosine.  A query stops at the first width at which enough vectors are verified.
-
-Vectors are unit length for hashing, where the nearest by cosine is the nearest by
-distance.  Rows are dealt out to blocks by a hash, queries likewise; each pair of a row
-block and a query block is one task group of bounded size, and the k best per block are
-merged by a window per query.  Every row is indexed.  Equal vectors are one entry with its
-k + 1 smallest ids, which is all that a list of k can show, so a vector that fills a third
-of the table costs no more than any other.
+sorted array of a block.  A query opens a window around its own projection in every array.
+The windows widen together (virtual rehashing: the width grows, nothing is hashed anew):
+each step walks outward from the old windows' edges and counts one collision for every row
+it passes, so only rows inside windows are touched, each once per array.  A row whose count
+reaches the threshold is verified by its exact cosine.
+
+A query stops by distance and k.  The projections of two unit vectors at distance d differ
+by a normal variable of deviation d, so at half-width w a row as near as the k-th verified
+one collides in Binomial(projections, 2 Phi(w / d) - 1) arrays; the search ends at the first
+width at which this reaches the threshold with the asked confidence.
+
+Rows are dealt out to blocks by a hash, each row to one block, and every query goes to every
+block once.  A task builds a block's arrays when the block's rows have come, then takes its
+queries in batches, so it holds one block and one batch.  The k best per block are merged by
+a window per query.  Every row is indexed.  Equal vectors are one entry with its k + 1
+smallest ids, which is all that a list of k can show, so a vector that fills a third of the
+table costs no more than any other.
 """
 
 from __future__ import annotations
 
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -28,12 +35,14 @@ from conceptspark.runtime import stored
 
 PROJECTIONS = 128
 #: Windows, as a share of the projections, that a vector must lie in.
-THRESHOLD = 0.75
-FIRST_WIDTH = 0.05
-RATIO = 1.1
-#: Share of a block that a query may verify before it stops.
-VERIFIED = 0.1
-ROW_BLOCK, QUERY_BLOCK = 8192, 512
+THRESHOLD = 0.7
+#: Half-width of the first windows, and by how much they grow at most in a step.
+FIRST_WIDTH = 0.25
+RATIO = 1.25
+#: Chance that a row as near as the k-th is verified before the search stops, by the model above.
+CONFIDENCE = 0.9
+#: Rows of a block, and queries that one task takes through it (more are dealt to copies of it).
+ROW_BLOCK, QUERY_BLOCK = 16384, 65536
 SEED = 5
 
 
@@ -42,60 +51,68 @@ def _cosine(rows: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -
     return (rows * q).sum(axis=1) / (norms * q_norm)
 
 
+def stop_ratio(projections: int, threshold: float, confidence: float) -> float:
+    """Half-width over distance at which a row at that distance has collided often enough."""
+    need, z = math.ceil(threshold * projections), NormalDist().inv_cdf(confidence)
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        p = (low + high) / 2
+        sure = projections * p - z * math.sqrt(projections * p * (1 - p)) >= need
+        low, high = (low, p) if sure else (p, high)
+    return NormalDist().inv_cdf(min((1 + high) / 2, 1 - 1e-15))
+
+
 class BlockIndex:
-    """Sorted projections of a block of vectors, and every vector's place in each."""
+    """Sorted projections of a block of vectors."""
 
     def __init__(self, vectors: np.ndarray, projections=PROJECTIONS, seed=SEED):
         self.vectors = vectors.astype(np.float64)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
         h = (self.vectors / self.norms[:, None]) @ self.directions
-        order = np.argsort(h, axis=0, kind="stable")
-        n = len(h)
+        self.order = np.ascontiguousarray(np.argsort(h, axis=0, kind="stable").T.astype(np.int32))
         # The arrays stand end to end, shifted apart, so that one search serves all of them.
         self.shift = 1000.0 * np.arange(projections)
-        self.sorted = (np.take_along_axis(h, order, axis=0) + self.shift).T.ravel()
-        self.begin = n * np.arange(projections)
-        self.places = np.empty((projections, n), dtype=np.uint16 if n < 65536 else np.uint32)
-        np.put_along_axis(self.places, order.T, np.arange(n, dtype=self.places.dtype)[None, :], axis=1)
-
-    def _colliding(self, h: np.ndarray, width: float, need: int) -> np.ndarray:
-        """Vectors within ``width`` of ``h`` in at least ``need`` of the arrays.
-
-        A window is a stretch of places; a place below its start wraps round to a large
-        number, so one comparison tells who is inside.
-        """
-        n = self.places.shape[1]
-        at = self.sorted.searchsorted(np.stack([h - width, h + width]) + self.shift) - self.begin
-        start, end = np.clip(at, 0, n)[:, :, None]
-        length = end - start
-        inside = (self.places - start.astype(self.places.dtype)) < length.astype(self.places.dtype)
-        count = np.uint8 if len(inside) < 256 else np.uint32
-        return np.flatnonzero(np.add.reduce(inside.view(np.uint8), axis=0, dtype=count) >= need)
-
-    def search(self, queries: np.ndarray, k: int, threshold=THRESHOLD, verified=VERIFIED, width=FIRST_WIDTH, ratio=RATIO):
-        """For each query the verified rows and their cosines.
-
-        The windows' widths are ``width * ratio ** t``.  Counts only grow with t, so the
-        first t with enough vectors is found by trying t's near the last query's.
-        """
+        self.sorted = (np.take_along_axis(h.T, self.order, axis=1) + self.shift[:, None]).ravel()
+        self.begin = len(h) * np.arange(projections)
+
+    def search(self, queries: np.ndarray, k: int, threshold=THRESHOLD, width=FIRST_WIDTH, ratio=RATIO, confidence=CONFIDENCE):
+        """For each query the verified rows and their cosines."""
         queries = queries.astype(np.float64)
         q_norm = np.sqrt((queries * queries).sum(axis=1))
         h = (queries / q_norm[:, None]) @ self.directions
-        m, n = self.places.shape
-        need, enough = max(1, math.ceil(threshold * m)), min(n, k + math.ceil(verified * n))
-        out, t = [], 0
-        for q in range(len(queries)):
-            rows = self._colliding(h[q], width * ratio**t, need)
-            while len(rows) < enough:
-                t += 1
-                rows = self._colliding(h[q], width * ratio**t, need)
-            while t > 0:
-                fewer = self._colliding(h[q], width * ratio ** (t - 1), need)
-                if len(fewer) < enough:
+        m, n = self.order.shape
+        need, enough = max(1, math.ceil(threshold * m)), stop_ratio(m, threshold, confidence)
+        flat, out = self.order.ravel(), []
+        for q, centre in enumerate(h + self.shift):
+            low = high = self.sorted.searchsorted(centre)
+            low = high = np.clip(low, self.begin, self.begin + n)
+            counts = np.zeros(n, dtype=np.int64)
+            done = np.zeros(n, dtype=bool)
+            rows, cosines, w = [], [], width
+            while True:
+                a = np.maximum(self.sorted.searchsorted(centre - w), self.begin)
+                b = np.minimum(self.sorted.searchsorted(centre + w, side="right"), self.begin + n)
+                passed = [flat[x:y] for x, y in zip(a.tolist(), low.tolist())] + [flat[x:y] for x, y in zip(high.tolist(), b.tolist())]
+                low, high = a, b
+                counts += np.bincount(np.concatenate(passed), minlength=n)
+                new = np.flatnonzero((counts >= need) & ~done)
+                if len(new):
+                    done[new] = True
+                    rows.append(new)
+                    cosines.append(_cosine(self.vectors[new], self.norms[new], queries[q], q_norm[q]))
+                found = np.concatenate(cosines) if cosines else np.zeros(0)
+                if len(found) == n:
                     break
-                rows, t = fewer, t - 1
-            out.append((rows, _cosine(self.vectors[rows], self.norms[rows], queries[q], q_norm[q])))
+                if len(found) >= k:
+                    kth = np.partition(found, len(found) - k)[len(found) - k]
+                    far = enough * math.sqrt(max(0.0, 2 - 2 * kth))
+                    if w >= far:
+                        break
+                    w = min(w * ratio, far)
+                else:
+                    w *= ratio
+            out.append((np.concatenate(rows), found))
         return out
 
 
@@ -112,7 +129,8 @@ def search(rows: DataFrame, queries: DataFrame, k=5, key="vec_id", vec="embeddin
     Vectors that are null, empty, zero or not finite take no part on either side; vectors
     of different lengths never meet.  Equal scores rank by smaller id.  A query with fewer
     than k candidates gets all of them; an empty table gives no rows.  Rows that repeat an
-    id count as one row if they repeat the vector too.
+    id count as one row if they repeat the vector too.  Other columns are left out, whatever
+    their names.
     """
     own = rows.select(F.col(key).cast("long").alias("vec_id"), F.col(vec).alias("vec")).where(usable(F.col("vec"))).where("vec_id is not null").distinct()
     first = W.partitionBy("vec").orderBy("vec_id")
@@ -121,30 +139,44 @@ def search(rows: DataFrame, queries: DataFrame, k=5, key="vec_id", vec="embeddin
     asked = queries.select(F.col(key).cast("long").alias("query_id"), F.col(vec).alias("vec")).where(usable(F.col("vec"))).where("query_id is not null").distinct()
     asked = stored(asked, "ann-queries")
     n_blocks = max(1, math.ceil(entries.count() / row_block))
-    q_blocks = max(1, math.ceil(asked.count() / query_block))
+    copies = max(1, math.ceil(asked.count() / query_block))
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = entries.withColumn("b", F.pmod(F.xxhash64("vec"), F.lit(n_blocks)).cast("int")).withColumn("q", every(q_blocks))
-    right = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int")).withColumn("b", every(n_blocks))
-    left = left.withColumn("d", F.size("vec"))
-    right = right.withColumn("d", F.size("vec"))
+    left = entries.select(F.pmod(F.xxhash64("vec"), F.lit(n_blocks)).cast("int").alias("b"), every(copies).alias("c"), F.lit(None).cast("long").alias("query_id"), "ids", "vec")
+    right = asked.select(every(n_blocks).alias("b"), F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int").alias("c"), "query_id", F.lit(None).cast("array<long>").alias("ids"), "vec")
+    both = left.unionByName(right).withColumn("d", F.size("vec"))
+    # Rows of a block come before its queries: a null query id sorts first.
+    both = both.repartition(n_blocks * copies, "b", "c", "d").sortWithinPartitions("b", "c", "d", F.col("query_id").asc_nulls_first())
 
-    def cell(data: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
+    def answers(index, ids, ask):
         out = []
-        if len(data) and len(ask):
-            index = BlockIndex(np.vstack(data["vec"]))
-            ids = list(data["ids"])
-            # One more than k: the query's own vector may be among them.
-            found = index.search(np.vstack(ask["vec"]), k + 1, **options)
-            for query, (hit, cos) in zip(ask["query_id"], found):
-                top = np.sort(cos)[::-1][: k + 1][-1] if len(cos) else 0.0
-                mine = [(-c, int(i)) for r, c in zip(hit, cos) if c >= top for i in ids[r] if i != query]
-                out += [(query, i, -c) for c, i in sorted(mine)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    near = left.groupBy("b", "q", "d").cogroup(right.groupBy("b", "q", "d")).applyInPandas(cell, "query_id long, vec_id long, score double")
+        # One more than k: the query's own vector may be among them.
+        for query, (hit, cos) in zip(ask["query_id"], index.search(np.vstack(ask["vec"]), k + 1, **options)):
+            top = np.sort(cos)[::-1][: k + 1][-1]
+            mine = [(-c, int(i)) for r, c in zip(hit, cos) if c >= top for i in ids[r] if i != query]
+            out += [(int(query), i, -c) for c, i in sorted(mine)[:k]]
+        return out
+
+    def meet(batches):
+        held, group, index, ids = [], None, None, []
+        for pdf in batches:
+            out = []
+            for g, part in pdf.groupby(["b", "c", "d"], sort=True):
+                if g != group:
+                    held, group, index = [], g, None
+                data, ask = part[part["query_id"].isna()], part[part["query_id"].notna()]
+                if len(data):
+                    held.append(data[["ids", "vec"]])
+                if len(ask) and index is None and held:
+                    whole = pd.concat(held)
+                    index, ids, held = BlockIndex(np.vstack(whole["vec"])), list(whole["ids"]), []
+                if len(ask) and index is not None:
+                    out += answers(index, ids, ask)
+            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    near = both.mapInPandas(meet, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -50,7 +50,30 @@ def test_awkward_vectors(spark):
 
 def test_blocks_agree_with_one_block(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
-    small = ann.search(rows, rows.where("vec_id % 50 = 0"), row_block=60, query_block=3, verified=1.0)
-    whole = ann.search(rows, rows.where("vec_id % 50 = 0"), verified=1.0)
+    small = ann.search(rows, rows.where("vec_id % 50 = 0"), row_block=60, query_block=3, confidence=1 - 1e-12)
+    whole = ann.search(rows, rows.where("vec_id % 50 = 0"), confidence=1 - 1e-12)
     key = lambda r: (r["query_id"], r["rank"], r["vec_id"], r["score"])
     assert sorted(map(key, small.collect())) == sorted(map(key, whole.collect()))
+
+
+def test_windows_count_what_lies_in_them():
+    """A row is verified when, and only when, it lies in enough windows; few rows are."""
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((3000, 32))
+    v[1:8] = v[0] + 0.4 * rng.standard_normal((7, 32))
+    index = ann.BlockIndex(v)
+    hit, cos = index.search(v[:1], 6)[0]
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    h = u @ index.directions
+    inside = np.sort(np.abs(h - h[0]), axis=1)[:, int(np.ceil(ann.THRESHOLD * ann.PROJECTIONS)) - 1]
+    # The width at which each row reaches the threshold: those verified are the nearest by it.
+    assert set(hit) == set(np.argsort(inside, kind="stable")[: len(hit)])
+    assert len(set(range(8)) & set(hit)) >= 6 and len(hit) < 60
+    np.testing.assert_allclose(cos, u[hit] @ u[0])
+
+
+def test_stop_ratio_is_the_models():
+    rng = np.random.default_rng(0)
+    ratio = ann.stop_ratio(128, 0.7, 0.9)
+    collided = (np.abs(rng.standard_normal((20000, 128))) <= ratio).sum(axis=1)
+    assert 0.87 < (collided >= np.ceil(0.7 * 128)).mean() < 0.95

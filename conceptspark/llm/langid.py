@@ -27,7 +27,9 @@ SYMBOLS = 128
 #: Documents that the prototypes are fitted on at most (a hash sample of the labelled rows).
 MAX_TRAINING = 20000
 UNKNOWN = "und"
+#: Characters, texts and distinct trigrams that are counted at once.
 CHARS_AT_ONCE = 400_000
+ROWS_AT_ONCE = 1000
 COLUMNS_AT_ONCE = 4096
 
 
@@ -63,31 +65,55 @@ def _symbols(text: str) -> np.ndarray:
     return _table()[cp]
 
 
+def _trigrams(text: str, at_once: int) -> Iterator[np.ndarray]:
+    """Codes of a text's trigrams, in parts of about ``at_once`` characters."""
+    text = f" {text} "
+    last = np.zeros(0, dtype=np.int32)
+    for at in range(0, len(text), at_once):
+        s = np.concatenate([last, _symbols(text[at : at + at_once])])
+        s = s[(s != 0) | np.concatenate(([True], s[:-1] != 0))]
+        if len(s) > 2:
+            yield (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
+        last = s[-2:]
+
+
 def bundles(texts: list[str], dim: int = DIM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The bundled vectors of some texts, and which of them have a letter."""
+    """The bundled vectors of some texts, and which of them have a letter.
+
+    Trigrams are counted for at most ``ROWS_AT_ONCE`` texts, ``CHARS_AT_ONCE`` characters and
+    ``COLUMNS_AT_ONCE`` distinct trigrams at a time, whatever the texts' lengths.
+    """
     out = np.zeros((len(texts), dim), dtype=np.float32)
     lettered = np.zeros(len(texts), dtype=bool)
-    at = 0
-    while at < len(texts):
-        end, chars = at, 0
-        while end < len(texts) and (end == at or chars + len(texts[end]) <= CHARS_AT_ONCE):
-            chars += len(texts[end]) + 2
-            end += 1
-        codes, rows = [], []
-        for i in range(at, end):
-            s = _symbols(f" {texts[i]} ")
-            s = s[(s != 0) | np.concatenate(([True], s[:-1] != 0))]
-            lettered[i] = bool(s.any())
-            codes.append((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:])
-            rows.append(len(codes[-1]))
-        flat = np.concatenate(codes)
-        if len(flat):
-            seen, where = np.unique(flat, return_inverse=True)
-            row = np.repeat(np.arange(end - at), rows)
-            counts = np.bincount(row * len(seen) + where, minlength=(end - at) * len(seen)).reshape(end - at, len(seen)).astype(np.float32)
-            for c in range(0, len(seen), COLUMNS_AT_ONCE):
-                out[at:end] += counts[:, c : c + COLUMNS_AT_ONCE] @ trigram_vectors(seen[c : c + COLUMNS_AT_ONCE], dim, seed)
-        at = end
+    codes: list[np.ndarray] = []
+    rows: list[int] = []
+
+    def add():
+        if not codes:
+            return
+        low, n = rows[0], rows[-1] - rows[0] + 1
+        seen, where = np.unique(np.concatenate(codes), return_inverse=True)
+        row = np.repeat(np.array(rows) - low, [len(c) for c in codes])
+        for c in range(0, len(seen), COLUMNS_AT_ONCE):
+            vectors = trigram_vectors(seen[c : c + COLUMNS_AT_ONCE], dim, seed)
+            own = (where >= c) & (where < c + len(vectors)) if len(seen) > COLUMNS_AT_ONCE else slice(None)
+            counts = np.bincount(row[own] * len(vectors) + where[own] - c, minlength=n * len(vectors))
+            out[low : low + n] += counts.reshape(n, -1).astype(np.float32) @ vectors
+        codes.clear()
+        rows.clear()
+
+    chars = 0
+    for i, text in enumerate(texts):
+        for c in _trigrams(text, CHARS_AT_ONCE):
+            if codes and (chars + len(c) > CHARS_AT_ONCE or i - rows[0] >= ROWS_AT_ONCE):
+                add()
+                chars = 0
+            # A text's trigrams always hold its letters; only blanks give the code 0.
+            lettered[i] |= bool(c.any())
+            codes.append(c)
+            rows.append(i)
+            chars += len(c)
+    add()
     return out, lettered
 
 
@@ -109,7 +135,7 @@ def fit(docs: DataFrame, text="text", lang="lang", key="doc_id", dim=DIM, seed=S
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     n = rows.count()
     if n > max_training:
-        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * max_training / n))
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("key"), 1) <= F.lit((2**63 - 1) * max_training // n))
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}
@@ -133,7 +159,9 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], text="text", di
     """Add lang_pred and score (the cosine with the prototype, 0 where negative).
 
     A null text, a text without letters, or a model without languages gives ``und`` and 0.
-    Equal cosines go to the language that sorts first.  Columns of these names are replaced.
+    Equal cosines go to the language that sorts first.  Texts are taken one by one: repeated
+    rows agree, and of a very long text only a part is worked on at a time.  An empty table
+    gives an empty one.  Columns of these names are replaced.
     """
     names = sorted(prototypes)
     unit = _unit(np.array([prototypes[k] for k in names], dtype=np.float32)) if names else np.zeros((0, dim), dtype=np.float32)

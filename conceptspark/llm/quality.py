@@ -103,7 +103,7 @@ def fit(rows: DataFrame, label="label", max_training=MAX_TRAINING) -> Model | No
     rows = rows.where(F.col(label).isin(0, 1))
     n = rows.count()
     if n > max_training:
-        rows = rows.where(F.pmod(F.xxhash64("key", F.lit("take")), F.lit(1_000_000)) < int(1_000_000 * max_training / n))
+        rows = rows.where(F.shiftrightunsigned(F.xxhash64("key", F.lit("take")), 1) <= F.lit((2**63 - 1) * max_training // n))
     rows = rows.select("key", "stats", F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64("key"), F.lit(2)).cast("int").alias("fold"))
     rows = stored(rows.repartition(16, "key").drop("key"), "quality-training")
     at = F.posexplode("stats").alias("i", "x")
@@ -182,12 +182,13 @@ def fold_of(key: str, n: int) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", teaching: Column | None = None) -> tuple[DataFrame, Model | None]:
     """(statistics of all rows as (key, stats), model) from ``labels`` of (key, label 0/1).
 
-    ``teaching`` restricts the rows that are learned from.  Several labels of one key are
-    averaged and a tie teaches nothing; null labels and null keys are left out.
+    ``teaching`` restricts the rows that are learned from.  Of several labels of one key the
+    more frequent counts and a tie teaches nothing; null labels and null keys are left out.
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = stored(with_statistics(rows, "text"), "quality-statistics")
-    teach = labels.select("key", "label").where("label is not null and key is not null").groupBy("key").agg(F.avg("label").alias("label"))
+    teach = labels.select("key", "label").where("label in (0, 1) and key is not null").groupBy("key").agg(F.avg("label").alias("a"))
+    teach = teach.where("a <> 0.5").select("key", (F.col("a") > 0.5).cast("int").alias("label"))
     known = rows if teaching is None else rows.where(teaching)
     return rows, fit(known.join(teach, "key"))
 
@@ -195,8 +196,10 @@ def learn(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", teachin
 def classify(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", teaching: Column | None = None) -> DataFrame:
     """(key, score) for every row of ``docs``.
 
-    Null and empty texts have zero statistics and are scored like others.  Repeated rows
-    get equal scores.  Without labels of both kinds every score is 0.5.
+    Null and empty texts have zero statistics and are scored like others; a very long text is
+    read whole, alone in its turn.  Repeated rows get equal scores.  Without labels of both
+    kinds every score is 0.5.  An empty table gives an empty one.  Only key and score come
+    back, so other columns' names don't matter.
     """
     return score(*learn(docs, labels, key, text, teaching))
 

@@ -19,12 +19,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conceptspark.llm.arrow import with_columns
+from conceptspark.runtime import others, stored
 
 UNIT = 64
 BLOCK = 1024
@@ -250,8 +252,19 @@ def _header(data: bytes, at: int) -> tuple[int, int, int] | None:
     return number, block, n + 1
 
 
-def _frames(data: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
-    """(samples, md5, frames) of a stream; a frame is (start, length, header length, block size)."""
+def _crc16_from(crc: int, data: bytes) -> int:
+    one = _crc_tables()[1]
+    for b in data:
+        crc = (crc << 8 & 0xFF00) ^ int(one[crc >> 8 ^ b])
+    return crc
+
+
+def _frames(data: bytes, careful: bool = False) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
+    """(samples, md5, frames) of a stream; a frame is (start, length, header length, block size).
+
+    Coded samples may look like a frame header.  One with another number is passed over; with
+    ``careful``, so is one before which the current frame's CRC-16 does not hold.
+    """
     if data[:4] != b"fLaC":
         raise ValueError("not a FLAC stream")
     at, info = 4, b""
@@ -267,14 +280,19 @@ def _frames(data: bytes) -> tuple[int, bytes, list[tuple[int, int, int, int]]]:
         raise ValueError("only 8-bit mono streams are read")
     total = packed & ((1 << 36) - 1)
     found: list[tuple[int, int, int]] = []
+    seen, crc = at, 0  # the CRC-16 of the current frame up to ``seen``
     while 0 <= at < len(data):
         h = _header(data, at)
-        if h is not None and h[0] == len(found):
+        sound = h is not None and h[0] == len(found)
+        if sound and careful and found:
+            crc, seen = _crc16_from(crc, data[seen : at - 2]), max(seen, at - 2)
+            sound = crc == int.from_bytes(data[at - 2 : at], "big")
+        if sound:
             found.append((at, h[2], h[1]))
+            seen, crc = at, 0
             at += h[2] - 1
         elif not found:
             raise ValueError("no frame where the first should start")
-        # Coded samples may look like a header; one with another number is passed over.
         at = data.find(b"\xff\xf8", at + 1)
     ends = [*(f[0] for f in found[1:]), len(data)]
     return total, info[18:34], [(s, e - s, h, b) for (s, h, b), e in zip(found, ends)]
@@ -318,6 +336,7 @@ def _rice(bits: _Bits, pos: np.ndarray, count: np.ndarray, first: np.ndarray, pe
     lead = _leading()
     k = np.zeros(len(pos), dtype=np.int64)
     due = np.zeros(len(pos), dtype=np.int64)
+    raw = np.full(len(pos), -1, dtype=np.int64)  # bits of a residual in an escaped partition
     nxt = first.copy()
     turns = {0, *np.unique(np.concatenate([f + np.arange(c // p + 1) * p for f, c, p in {*zip(first.tolist(), count.tolist(), per.tolist())}])).tolist()}
     one, top = np.uint64(1), np.uint64(48)
@@ -326,9 +345,11 @@ def _rice(bits: _Bits, pos: np.ndarray, count: np.ndarray, first: np.ndarray, pe
         if j in turns:
             new = np.flatnonzero(due[:m] == j)
             k[new] = bits.get(p[new], width[new])
-            if (k[new] == (1 << width[new]) - 1).any():
-                raise ValueError("escaped partitions are not read")
             p[new] += width[new]
+            plain = k[new] == (1 << width[new]) - 1
+            raw[new] = np.where(plain, bits.get(p[new], 5), -1)
+            k[new[plain]] = 0
+            p[new[plain]] += 5
             due[new] = nxt[new]
             nxt[new] += per[new]
         # Views between signed and unsigned cost nothing; all values here are below 2^63.
@@ -338,12 +359,18 @@ def _rice(bits: _Bits, pos: np.ndarray, count: np.ndarray, first: np.ndarray, pe
         q1 = q + 1
         low = (((w << q1.view(np.uint64)) >> one) >> (63 - km).view(np.uint64)).view(np.int64)
         if q.max() == 16:
-            far = np.flatnonzero(q == 16)
+            far = np.flatnonzero((q == 16) & (raw[:m] < 0))
             q[far] = [bits.zeros(int(x)) for x in p[far]]
             q1 = q + 1
             low[far] = bits.get(p[far] + q1[far], km[far])
         np.bitwise_or(q << km, low, out=out[j, :m])
         q1 += km
+        plain = np.flatnonzero(raw[:m] >= 0)
+        if len(plain):
+            n = raw[plain]
+            x = np.where(n > 0, bits.signed(p[plain], np.maximum(n, 1)), 0)
+            out[j, plain] = (x << 1) ^ (x >> 63)
+            q1[plain] = n
         p += q1
     return (out >> 1) ^ -(out & 1)
 
@@ -412,15 +439,20 @@ def _decode_frames(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> list
     return out
 
 
-def _decode_batch(streams: list[bytes]) -> list[list[tuple[int, int, int, bytes]]]:
-    parsed = [_frames(s) for s in streams]
+def _decode_batch(streams: list[bytes], careful: set[int] = frozenset()) -> list[list[tuple[int, int, int, bytes]]]:
+    parsed = [_frames(s, i in careful) for i, s in enumerate(streams)]
     base = np.cumsum([0, *(len(s) for s in streams)])
     buf = np.frombuffer(b"".join(streams) + bytes(16), np.uint8)
     flat = [(b + s, n, h, size) for b, (_, _, fs) in zip(base, parsed) for s, n, h, size in fs]
     if flat:
         start, length, head, size = (np.array(c, dtype=np.int64) for c in zip(*flat))
         kept = buf[start + length - 2].astype(np.int64) << 8 | buf[start + length - 1]
-        if (crc16(buf, start, length - 2) != kept).any():
+        broken = np.flatnonzero(crc16(buf, start, length - 2) != kept)
+        if len(broken) and not careful:
+            # Streams whose coded samples look like the next frame's header are parsed again.
+            again = set(np.searchsorted(base, start[broken], side="right") - 1)
+            return _decode_batch(streams, again)
+        if len(broken):
             raise ValueError("a frame's checksum does not hold")
         samples = _decode_frames(buf, start + head, size)
     out, c = [], 0
@@ -446,7 +478,9 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, int, int, bytes]]]:
 def with_media(docs: DataFrame, text="text", block=BLOCK) -> DataFrame:
     """Replace ``text`` by ``n_bytes`` and ``media``, the FLAC stream of its padded UTF-8 bytes.
 
-    A null text counts as empty: 64 samples of byte 0.
+    A null or empty text gives 64 samples of byte 0.  Texts are taken one by one, so repeated
+    rows agree; a very long one is coded alone.  An empty table gives an empty one.  Columns
+    named n_bytes or media are replaced, all others stay.
     """
 
     def flac(raw: list[bytes]) -> list[pa.Array]:
@@ -477,32 +511,36 @@ def seek(table: DataFrame, first: int, n: int) -> DataFrame:
     return table.where((F.col("sample_offset") < first + n) & (F.col("sample_offset") + F.octet_length("pcm") > first))
 
 
-def digests(blocks: list[tuple[int, int, int, bytes]]) -> tuple[int, str, int, str]:
-    """(bytes, sha256, crc32 of the last 64, feature) of blocks read back.
+def digests(blocks: list[bytes]) -> tuple[int, str, int, str]:
+    """(bytes, sha256, crc32 of the last 64, feature) of the samples of blocks read back.
 
     The feature holds mean and deviation of the samples, the mean step between neighbours
     and the share of steps that cross the mean.
     """
-    data = b"".join(b[3] for b in blocks)
+    data = b"".join(blocks)
     x = np.frombuffer(data, np.uint8).astype(np.float64) - 128
     above = x > x.mean()
     feature = f"mean={x.mean():.4f};std={x.std():.4f};step={np.abs(np.diff(x)).mean():.4f};cross={(above[1:] != above[:-1]).mean():.4f}"
     return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-64:]), feature
 
 
-def with_digests(rows: DataFrame, media="media") -> DataFrame:
-    """Add ``digests`` of the decoded blocks; the PCM itself stays in the task."""
+def with_digests(rows: DataFrame, blocks="blocks") -> DataFrame:
+    """Replace the PCM blocks of ``with_blocks`` by their ``digests``; columns of these names are replaced."""
 
-    def read_back(streams: list[bytes]) -> list[pa.Array]:
-        cols = zip(*(digests(b) for b in decode(streams)))
-        return [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.string()))]
+    @F.pandas_udf("payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    def read_back(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame([digests(b) for b in s], columns=["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    fields = [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("feature", T.StringType())]
-    return with_columns(rows, media, read_back, fields)
+    made = ("payload_bytes", "payload_sha256", "tail_crc32", "feature")
+    pcm = F.transform(blocks, lambda b: b["pcm"])
+    found = rows.select(*others(rows, *made, blocks, "__d"), read_back(pcm).alias("__d"))
+    return found.select(*others(found, "__d"), *(F.col(f"__d.{c}").alias(c) for c in made))
 
 
 def op4_flac(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    rows = with_media(docs)
-    rows = rows.select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    return with_digests(rows).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    rows = with_media(docs).select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    # The stored streams are read back and decoded, the PCM blocks written, and the features read from those.
+    pcm = stored(with_blocks(stored(rows, "flac")).drop("media"), "pcm", compression="zstd")
+    return with_digests(pcm).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

@@ -7,7 +7,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline as pipeline
-from conceptspark.llm import bpe, simhash
+from conceptspark.llm import bpe
 from conceptspark.runtime import stored
 
 SF = "/root/testdata/sf0.01"
@@ -32,27 +32,6 @@ def test_filters_keep_clean_documents(spark, stages):
     assert sum(i in kept for i in labels[labels == 0].index) / (labels == 0).sum() < 0.05
 
 
-def test_dedup_keeps_one_of_each(spark, stages):
-    good, one = stages[2].toPandas(), stages[3].toPandas()
-    fps = [simhash.fingerprint(t.encode()) for t in good["text"]]
-    label = list(range(len(fps)))
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= 4:
-                a, b = root(i), root(j)
-                label[max(a, b)] = min(a, b)
-    smallest = {}
-    for i, d in enumerate(good["doc_id"]):
-        smallest[root(i)] = min(smallest.get(root(i), d), d)
-    assert sorted(one["doc_id"]) == sorted(smallest.values())
-
-
 def test_mix_and_tokens(spark, stages):
     one, mixed, coded = (s.toPandas() for s in stages[3:])
     words = one.set_index("doc_id")["text"].map(lambda t: len(t.split()))

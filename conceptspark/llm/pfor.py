@@ -19,15 +19,20 @@ import os
 import re
 import zlib
 from array import array
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from conceptspark.llm.arrow import slices
 from conceptspark.runtime import stored
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -35,15 +40,17 @@ END_ID = 0
 BLOCK = 1024
 PERCENTILE = 90
 SEGMENT_IDS = 1 << 18
-#: Units, and pieces, of a generation that a worker remembers (two are kept), and characters split at once.
-CACHE_PIECES = 300_000
-GROUP_CHARS = 3_000_000
-#: Stands for a text's first unit; no unit holds a blank.
-HEAD = " head"
+#: Keys of the sample that the bounds of a range are taken from, about, for each range.
+KEYS_PER_RANGE = 50
+#: Pieces of a generation that a worker remembers (two are kept), and bytes of text encoded at once.
+CACHE_PIECES = 500_000
+TEXT_AT_ONCE = 4_000_000
 #: The public pattern in terms of ``re``; letters are \w without digits and underscore.
 PIECES = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: Characters outside the blocks where that holds (superscripts, fractions, separators, ...).
 UNCOMMON = re.compile("[^\t\n\r -~\xa0-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f\u0391-\u03a9\u03b1-\u03c9\u0400-\u045f\u0620-\u064a\u2010-\u2027\u20ac\u3001\u3002\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+#: Units that don't stand on their own, by the white space among common characters.
+LOOSE = "^$|^[\t\n\r\xa0]|[\t\n\r\xa0]$"
 _HEAD = np.dtype([("offset", "<u4"), ("minimum", "<u4"), ("count", "<u2"), ("width", "u1"), ("pad", "u1"), ("exceptions", "<u2")])
 
 
@@ -130,40 +137,47 @@ def decode_segment(data: bytes, first: int = 0, upto: int | None = None) -> np.n
     return out.ravel()[first - b0 * block : upto - b0 * block]
 
 
-class _Memory:
-    """What a worker remembers of its pieces, in two generations.
+@lru_cache(1)
+def _byte_chars() -> dict[int, int]:
+    """The printable character that stands for each byte in the tokenizer's vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+class _Remembered(dict):
+    """What a worker remembers of ``make``, in two generations.
 
     A full young one becomes the old one, and what is met again moves back, so frequent
     entries stay and memory is bounded.
     """
 
-    def __init__(self):
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
 
-    def missing(self, wanted: set[str]) -> list[str]:
-        """Those of ``wanted`` that are not known; known ones are young afterwards."""
-        if len(self.young) > CACHE_PIECES:
-            self.old, self.young = self.young, {}
-        old, young, new = self.old, self.young, []
-        for x in wanted.difference(young):
-            if x in old:
-                young[x] = old[x]
-            else:
-                new.append(x)
-        return new
+    def __missing__(self, x):
+        found = self.old.get(x)
+        if found is None:
+            found = self.make(x)
+        if len(self) >= CACHE_PIECES:
+            self.old = dict(self)
+            self.clear()
+        self[x] = found
+        return found
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, whose pieces' ids are remembered.
 
-    The library splits a text into pieces by the public pattern and encodes each on its
-    own, so a text's ids are its pieces' ids in order.  A blank between two characters that
-    are no white space always begins a piece, so a text parted at its blanks is a row of
-    units that split on their own.  In texts of common characters, for which Python's
-    ``re`` and the pattern's classes agree, new units are split here and only pieces not
-    met before go to the library.  Any other text goes to it as a whole, and so does a text
-    that holds an added token (``<|endoftext|>``), which is one id and no piece.
+    The library splits a text into pieces by the public pattern and gives each, its bytes
+    spelled as printable characters, to its merge model; a text's ids are its pieces' ids in
+    order.  A blank between two characters that are no white space always begins a piece, so
+    a text parted at its blanks is a row of units that split on their own.  In texts of
+    common characters, for which Python's ``re`` and the pattern's classes agree, units are
+    split here and only pieces not met before go to the library's model.  Any other text goes
+    to the library as a whole, and so does a text that holds an added token
+    (``<|endoftext|>``), which is one id and no piece.
     """
 
     def __init__(self, path: str):
@@ -171,65 +185,74 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
-        self.units, self.pieces = _Memory(), _Memory()
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _split(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts of common characters, by their pieces."""
+        self.pieces = _Remembered(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isprintable():
+            spelled = piece.replace(" ", "\u0120")
+        else:
+            spelled = piece.encode().decode("latin-1").translate(_byte_chars())
+        return array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+
+    def _ids(self, pieces: list[str]) -> pa.Array:
+        """Ids of each piece, as bytes; each distinct one is looked up once."""
+        seen = pa.array(pieces, pa.large_string()).dictionary_encode()
+        known = list(map(self.pieces.__getitem__, seen.dictionary.to_pylist()))
+        return pa.array(known, pa.large_binary()).take(seen.indices)
+
+    def _runs(self, pieces: list[str], begin: np.ndarray) -> pa.Array:
+        """Ids of runs of pieces; a run ends where the next begins, the last one with the pieces."""
+        if not len(begin):
+            return pa.array([], pa.large_binary())
+        ids = self._ids(pieces)
+        ends = np.append(begin, len(pieces))
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(_offsets(ids)[ends].tobytes()), ids.buffers()[2]])
+
+    def _each(self, texts: list[str]) -> pa.Array:
+        """Ids of texts of common characters, split by the pattern as they are."""
         split = list(map(PIECES.findall, texts))
-        new = self.pieces.missing(set().union(*split))
-        self.pieces.young.update(zip(new, self._plain(new)))
-        get = self.pieces.young.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        sizes = np.array(list(map(len, split)), dtype=np.int64)
+        return self._runs([p for s in split for p in s], np.cumsum(sizes) - sizes)
+
+    def _common(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts of common characters: each distinct unit among them is split once."""
+        parted = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin = parted.offsets.to_numpy()
+        first = begin[:-1]
+        heads = parted.values.take(pa.array(first)).to_pylist()
+        seen = parted.values.dictionary_encode()
+        at = seen.indices.to_numpy(zero_copy_only=False).copy()
+        # An empty unit, or one that begins or ends with white space, doesn't stand on its own.
+        loose = pc.match_substring_regex(seen.dictionary, LOOSE).to_numpy(zero_copy_only=False)
+        astray = loose[at]
+        astray[first] = [not h or h[-1].isspace() for h in heads]
+        alone = np.logical_or.reduceat(astray, first)
+        sound = seen.dictionary.filter(pa.array(~loose)).to_pylist()
+        pieces = PIECES.findall(" " + " ".join(sound)) if sound else []
+        units = self._runs(pieces, np.flatnonzero([p[0] == " " for p in pieces]))
+        place = np.cumsum(~loose) - 1
+        at = place[at]
+        at[first] = len(sound) + np.arange(len(first))
+        flat = pa.concat_arrays([units, self._each(heads)]).take(pa.array(np.maximum(at, 0)))
+        ends = _offsets(flat)[begin]
+        data = memoryview(flat.buffers()[2] or b"")
+        again = iter(self._each([t for t, x in zip(texts, alone) if x]).to_pylist())
+        return [next(again) if x else bytes(data[a:b]) for x, a, b in zip(alone, ends, ends[1:])]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(texts)
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars < GROUP_CHARS):
-                chars += len(texts[end])
-                end += 1
-            plain = [i for i in range(at, end) if UNCOMMON.search(texts[i]) or any(a in texts[i] for a in self.added)]
-            for i, ids in zip(plain, self._plain([texts[i] for i in plain])):
-                out[i] = ids
-            rest = sorted(set(range(at, end)).difference(plain))
-            parted = [texts[i].split(" ") for i in rest]
-            heads = [p[0] for p in parted]
-            wanted: set[str] = set()
-            for p in parted:
-                p[0] = HEAD
-                wanted.update(p)
-            wanted -= {HEAD, ""}
-            new = self.units.missing(wanted)
-            known = self.units.young
-            # A unit that is empty or begins or ends with white space does not stand on its own.
-            sound = [u for u in new if not (u[0].isspace() or u[-1].isspace())]
-            if len(sound) < len(new):
-                known.update(dict.fromkeys(new))
-            known.update(zip(sound, self._split([" " + u for u in sound])))
-            known[HEAD], known[""] = b"", None
-            get = known.__getitem__
-            whole, first = [], []
-            for i, p, head in zip(rest, parted, heads):
-                if not head or head[-1].isspace():
-                    whole.append(i)
-                    continue
-                try:
-                    out[i] = b"".join(map(get, p))
-                    first.append((i, head))
-                except TypeError:  # a unit without ids of its own
-                    whole.append(i)
-            for (i, _), ids in zip(first, self._split([h for _, h in first])):
-                out[i] = ids + out[i]
-            for i, ids in zip(whole, self._split([texts[i] for i in whole])):
-                out[i] = ids
-            at = end
-        return out
+        whole = {i for i, t in enumerate(texts) if UNCOMMON.search(t) or any(a in t for a in self.added)}
+        found = self.tokenizer.encode_batch_fast([texts[i] for i in sorted(whole)], add_special_tokens=False)
+        out = [array("I", e.ids).tobytes() for e in found]
+        rest = [i for i in range(len(texts)) if i not in whole]
+        made = dict(zip([*sorted(whole), *rest], [*out, *(self._common([texts[i] for i in rest]) if rest else [])]))
+        return [made[i] for i in range(len(texts))]
+
+
+def _offsets(x: pa.Array) -> np.ndarray:
+    return np.frombuffer(x.buffers()[1], "<i8", len(x) + 1, x.offset * 8)
 
 
 @lru_cache(2)
@@ -237,44 +260,72 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def range_bounds(docs: DataFrame, key: str, n: int) -> list:
+    """At most ``n - 1`` keys that part the rows into ranges of about equal numbers, from a bounded sample of the keys."""
+    total, most = max(1, docs.count()), KEYS_PER_RANGE * n
+    keys = docs.select(F.col(key).alias("k")).where("k is not null")
+    some = keys.where(F.shiftrightunsigned(F.xxhash64("k"), 1) <= F.lit((2**63 - 1) * min(most, total) // total)).distinct()
+    found = [r["k"] for r in some.orderBy("k").limit(2 * most).collect()]
+    return sorted({found[len(found) * i // n] for i in range(1, n)}) if found else []
+
+
 def write(docs: DataFrame, key="doc_id", text="text", tokenizer=TOKENIZER, end_id=END_ID, segment_ids=SEGMENT_IDS, partitions: int | None = None) -> DataFrame:
     """Write every text's ids in ascending order of ``key``; returns the table of segments.
 
-    A segment row: file (number of the range of ids), segment, keys, lengths, data.  Equal
-    ids stand side by side in no set order; a null id comes first.  A null text holds the
-    end id alone.  Every segment has at most about ``segment_ids`` ids, unless one document
-    is longer.
+    Texts are encoded where they are read; what is range-sorted are their ids, by bounds that
+    come from the keys alone.  A segment row: file (number of the range of keys), segment,
+    keys, lengths, data.  Equal keys stand side by side in no set order; a null key comes
+    first.  A null or empty text holds the end id alone.  Every segment has at most about
+    ``segment_ids`` ids, unless one document is longer.  An empty table gives no segments.
+    Other columns, whatever their names, are left out.
     """
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = range_bounds(docs, key, n)
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    schema = T.StructType([T.StructField("file", T.IntegerType()), rows.schema["key"], T.StructField("ids", T.BinaryType())])
+
+    def encode(batches):
+        enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
+        for b in batches:
+            for lo, hi in slices(pc.binary_length(b["text"]).to_pylist(), TEXT_AT_ONCE):
+                keys = b["key"].slice(lo, hi - lo)
+                files = [0 if k is None else bisect_right(bounds, k) for k in keys.to_pylist()]
+                ids = [_narrow(x + end) for x in enc(b["text"].slice(lo, hi - lo).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(files, pa.int32()), keys, pa.array(ids, pa.binary())], names=schema.names)
 
     def pack(batches):
-        from pyspark import TaskContext
-
-        file, number = TaskContext.get().partitionId(), 0
-        enc = encoder(tokenizer)
-        end = np.array([end_id], dtype="<u4").tobytes()
-        keys, parts, n = [], [], 0
+        file, number = None, 0
+        keys, parts, size = [], [], 0
         for pdf in batches:
-            for k, ids in zip(pdf["key"], enc(list(pdf["text"]))):
-                parts.append(ids + end)
-                keys.append(k)
-                n += len(parts[-1]) // 4
-                if n >= segment_ids:
+            for f, k, ids in zip(pdf["file"], pdf["key"], pdf["ids"]):
+                if keys and (f != file or size >= segment_ids):
                     yield _segment(file, number, keys, parts)
-                    keys, parts, n, number = [], [], 0, number + 1
+                    keys, parts, size, number = [], [], 0, number + 1
+                if f != file:
+                    file, number = f, 0
+                parts.append(_wide(ids))
+                keys.append(k)
+                size += len(parts[-1])
         if keys:
             yield _segment(file, number, keys, parts)
 
-    rows = docs.select(F.struct(F.col(key).alias("k")).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select(F.col("key.k").alias("key"), "text")
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first())
-    ranged = ranged.select(F.col("key").cast("string").alias("key"), "text")
-    return stored(ranged.mapInPandas(pack, "file int, segment int, keys array<string>, lengths array<int>, data binary"), "pfor")
+    coded = rows.mapInArrow(encode, schema).repartitionById(n, F.col("file")).sortWithinPartitions("file", F.col("key").asc_nulls_first())
+    coded = coded.select("file", F.col("key").cast("string").alias("key"), "ids")
+    return stored(coded.mapInPandas(pack, "file int, segment int, keys array<string>, lengths array<int>, data binary"), "pfor")
+
+
+def _narrow(ids: bytes) -> bytes:
+    """Ids for storage: a byte that tells their width, then 2 bytes each where they fit, else 4."""
+    x = np.frombuffer(ids, "<u4")
+    return b"\2" + x.astype("<u2").tobytes() if int(x.max()) < 1 << 16 else b"\4" + ids
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype("<u4")
 
 
 def _segment(file, number, keys, parts):
-    data = encode_segment(np.frombuffer(b"".join(parts), "<u4"))
-    return pd.DataFrame({"file": [file], "segment": [number], "keys": [keys], "lengths": [[len(p) // 4 for p in parts]], "data": [data]})
+    return pd.DataFrame({"file": [file], "segment": [number], "keys": [keys], "lengths": [list(map(len, parts))], "data": [encode_segment(np.concatenate(parts))]})
 
 
 def read(segments: DataFrame) -> DataFrame:

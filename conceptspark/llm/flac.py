@@ -541,6 +541,6 @@ def with_digests(rows: DataFrame, blocks="blocks") -> DataFrame:
 def op4_flac(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     rows = with_media(docs).select("doc_id", "n_bytes", "media", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
-    # The stored streams are read back and decoded, the PCM blocks written, and the features read from those.
-    pcm = stored(with_blocks(stored(rows, "flac")).drop("media"), "pcm", compression="zstd")
+    # The streams are decoded with their checks, the PCM blocks written, and the features read from those.
+    pcm = stored(with_blocks(rows).drop("media"), "pcm", compression="zstd")
     return with_digests(pcm).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

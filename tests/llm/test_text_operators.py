@@ -6,6 +6,8 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -29,7 +31,7 @@ def test_every_operator_takes_empty_tables(spark):
     assert langid.fit(docs) == {} and langid.predict(docs, {}).count() == 0
     labels = docs.selectExpr("doc_id as key", "rank as label")
     assert quality.classify(docs, labels).count() == 0
-    assert flac.with_digests(flac.with_media(docs)).count() == 0
+    assert flac.with_digests(flac.with_blocks(flac.with_media(docs))).count() == 0
 
 
 # SimHash
@@ -132,9 +134,12 @@ def test_bpe_stitching_is_exact(spark):
     texts = [None, "", "a" * 300, " " * 300, "word " * 80] + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 300))) for _ in range(200)]
     texts += texts[10:14]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.encode(docs, chunk=64, overlap=16).collect():
+    for r in bpe.encode(docs, chunk=64, overlap=16, spread=100).collect():
         t = texts[r["doc_id"]] or ""
         assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == _digests(enc.encode_ordinary(t), t)
+    for t in texts:
+        for chunk, overlap in ((64, 16), (16, 16), (200, 8)):
+            assert bpe.encode_text(t or "", enc, chunk=chunk, overlap=overlap) == enc.encode_ordinary(t or ""), (t, chunk)
 
 
 def test_bpe_awkward(spark):
@@ -159,22 +164,26 @@ def test_pfor_round_trip(ids, a, b):
     assert list(pfor.decode_segment(data, lo, hi)) == ids[lo:hi]
 
 
+@lru_cache(1)
+def _library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 PIECES = ["'s", "'ll", "'re", "'", " ", "  ", "a", "É", "1", "²", "_", " _", "\n", "\t", "日", "!", "\x1c", "\x85", " ", "½", "Ⅷ", "\xa0", "ß", "١", "ñ", "…", "я", "한", "🙂", "<|endoftext|>"]
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(PIECES), max_size=40).map("".join), min_size=1, max_size=20))
 def test_remembered_pieces_encode_as_the_library_does(texts):
-    enc = pfor.encoder(pfor.TOKENIZER)
-    want = [np.array(e.ids, dtype="<u4").tobytes() for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert enc(texts) == want
+    plain = _library()
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert pfor.encoder(pfor.TOKENIZER)(texts) == want
 
 
 def test_token_files_awkward(spark):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    tok = _library()
     segments = pfor.write(awkward_docs(spark), segment_ids=64, partitions=3)
     got = sorted(pfor.read(segments).collect(), key=lambda r: r["start"])
     rows = sorted(awkward(), key=lambda r: (r[0] is not None, r[0] or 0))
@@ -270,7 +279,7 @@ def test_license_scan(spark):
     texts = [
         "Licensed under CC BY-NC 4.0.", "cc\tBY cc by x", "accby", "CC-BY", "Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "mit der license im Wald", "é general PUBLIC license",
         "This work is licensed under the GNU General Public License, version 3. All rights reserved. ALL RIGHTS RESERVED", "all rights\x00reserved", "all rightsreserved", "GNU lesser general public license", "İ all rights reserved",
-        "general public", "license " * 500, "the mit license the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software",
+        "general public", "license " * 500, "x " * 9 + licenses.NOTICES[1][2] + " y", "// " + licenses.NOTICES[4][2].replace("\n", "\n// "), licenses.NOTICES[0][2][60:], "general " * 300 + "general public license", "the mit license the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software",
     ]
     docs = awkward() + [(100 + i, t, *[None] * 8) for i, t in enumerate(texts)]
     frame = spark.createDataFrame(docs, SCHEMA)
@@ -280,6 +289,9 @@ def test_license_scan(spark):
     for r in got:
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == want[r["doc_id"]], r["doc_id"]
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
+    by = {r["doc_id"]: r for r in got}
+    whole = {texts.index(t): x for t, x in zip(texts, texts) if "merge, publish" in t}
+    assert all(by[100 + i]["labels"] == "mit" and by[100 + i]["score"] == 1.0 for i in whole) and whole
     plan = licenses.scan(frame)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
@@ -310,9 +322,75 @@ def test_bundles_by_definition():
     assert list(lettered) == [True, False]
 
 
+def _bundle(text):
+    """The definition, letter by letter."""
+    v, s = langid.letter_vectors().astype(np.int64), [0]
+    for c in text:
+        k = langid._symbol(ord(c))
+        if k or s[-1]:
+            s.append(k)
+    if s[-1]:
+        s.append(0)
+    total = np.zeros(langid.DIM, dtype=np.int64)
+    for (a, b, c), n in Counter(zip(s, s[1:], s[2:])).items():
+        total += n * np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    return total
+
+
+def test_bundles_in_parts(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc é  .1日🙂") for _ in range(rng.randrange(0, 60))) for _ in range(60)]
+    want = np.array([_bundle(t) for t in texts])
+    for chars, rows, columns in ((400_000, 1000, 4096), (7, 3, 5), (40, 1000, 4096)):
+        monkeypatch.setattr(langid, "CHARS_AT_ONCE", chars)
+        monkeypatch.setattr(langid, "ROWS_AT_ONCE", rows)
+        monkeypatch.setattr(langid, "COLUMNS_AT_ONCE", columns)
+        got, lettered = langid.bundles(texts)
+        np.testing.assert_array_equal(got, want)
+        assert list(lettered) == [any(c.isalpha() for c in t) for t in texts]
+
+
+def test_many_short_texts_are_bounded():
+    import tracemalloc
+
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(0x61, 0x2AF) if chr(c).isalpha()]
+    texts = ["".join(rng.choice(letters) for _ in range(38)) for _ in range(3000)]
+    tracemalloc.start()
+    langid.bundles(texts)
+    assert tracemalloc.get_traced_memory()[1] < 300_000_000
+    tracemalloc.stop()
+
+
+def test_language_against_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").toPandas()
+    fold = docs["doc_id"].map(lambda i: zlib.crc32(str(i).encode()) % 5)
+    vectors = np.array([_bundle(t) for t in docs["text"]], dtype=np.float64)
+    unit = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    names = sorted(docs["lang"].dropna().unique())
+    protos = np.array([unit[((fold != 0) & (docs["lang"] == n)).to_numpy()].sum(axis=0) for n in names])
+    cos = unit @ (protos / np.linalg.norm(protos, axis=1, keepdims=True)).T
+    got = {r["doc_id"]: r for r in langid.op10_language_id(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t, f, c in zip(docs["doc_id"], docs["text"], fold, cos):
+        letters = any(x.isalpha() for x in t)
+        assert got[i]["held_out"] == (f == 0)
+        assert got[i]["lang_pred"] == (names[int(c.argmax())] if letters else "und")
+        assert got[i]["score"] == pytest.approx(float(np.clip(c.max(), 0, 1)) if letters else 0.0, abs=1e-5)
+
+
 # Quality
 
 
+def test_quality_labels_by_majority(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7), *[None] * 8) for i in range(40)], SCHEMA)
+    rows = [(i, i % 2) for i in range(40)] + [(0, 0), (0, 1), (1, 0), (2, None), (3, 7)]
+    labels = spark.createDataFrame(rows, "key long, label int")
+    plain = spark.createDataFrame([(i, i % 2) for i in range(40) if i != 1], "key long, label int")
+    of = lambda x: {r["key"]: r["score"] for r in quality.classify(docs, x).collect()}
+    assert of(labels) == pytest.approx(of(plain))
+
+
 def test_quality_awkward(spark):
     docs = awkward_docs(spark)
     labels = spark.createDataFrame([(1, 1), (2, 1), (7, 0), (7, 0), (8, 0), (6, None), (3, 1), (3, 0)], "key long, label int")
@@ -340,13 +418,20 @@ def test_pooling_is_monotone():
 
 
 def test_flac_awkward(spark):
-    got = flac.with_digests(flac.with_media(awkward_docs(spark))).collect()
+    got = flac.with_digests(flac.with_blocks(flac.with_media(awkward_docs(spark)))).collect()
     assert len(got) == len(awkward())
     want = {r[0]: (r[1] or "").encode() for r in awkward()}
     for r in got:
         raw = want[r["doc_id"]]
         p = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        x = [b - 128 for b in p]
+        mean = sum(x) / len(x)
+        std = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        step = sum(abs(b - a) for a, b in zip(x, x[1:])) / (len(x) - 1)
+        cross = sum((a > mean) != (b > mean) for a, b in zip(x, x[1:])) / (len(x) - 1)
+        feature = dict(f.split("=") for f in r["feature"].split(";"))
+        assert [float(feature[k]) for k in ("mean", "std", "step", "cross")] == pytest.approx([mean, std, step, cross], abs=6e-5)
     table = flac.pcm_table(flac.with_media(awkward_docs(spark).where("doc_id = 8")))
     rows = flac.seek(table, 5000, 100).collect()
     at = {r["sample_offset"]: r["pcm"] for r in rows}
@@ -386,11 +471,36 @@ def test_flac_constant_and_verbatim():
     assert b"".join(b[3] for b in blocks) == bytes(x ^ 0x80 for x in pcm) and [b[1] for b in blocks] == [0, 64]
 
 
-def test_flac_passes_over_what_looks_like_a_header():
-    def frame(sub, n, number):
-        f = flac._frame_header(number, n) + sub
-        return f + int(flac.crc16(np.frombuffer(f + b"\0", np.uint8), np.array([0]), np.array([len(f)]))[0]).to_bytes(2, "big")
-
-    samples = (flac._frame_header(7, 64) + bytes(64))[:64]  # verbatim samples that begin like frame 7
-    media = flac._stream_header(64, 128, bytes(16)) + frame(b"\x02" + samples, 64, 0) + frame(b"\x00\x05", 64, 1)
-    assert b"".join(b[3] for b in flac.decode([media])[0]) == bytes(x ^ 0x80 for x in samples + b"\x05" * 64)
+def _frame(sub, n, number):
+    f = flac._frame_header(number, n) + sub
+    return f + int(flac.crc16(np.frombuffer(f + b"\0", np.uint8), np.array([0]), np.array([len(f)]))[0]).to_bytes(2, "big")
+
+
+@pytest.mark.parametrize("looks_like", [7, 1])
+def test_flac_passes_over_what_looks_like_a_header(looks_like):
+    samples = (flac._frame_header(looks_like, 64) + bytes(64))[:64]  # verbatim samples that begin like a frame
+    media = flac._stream_header(64, 128, bytes(16)) + _frame(b"\x02" + samples, 64, 0) + _frame(b"\x00\x05", 64, 1)
+    other = flac.encode([flac.pad(b"another stream of the batch" * 99)])[0]
+    got = flac.decode([other, media, other])
+    assert b"".join(b[3] for b in got[1]) == bytes(x ^ 0x80 for x in samples + b"\x05" * 64)
+    assert b"".join(b[3] for b in got[2]) == flac.pad(b"another stream of the batch" * 99)
+
+
+def test_flac_escaped_partitions():
+    """Two Rice partitions: one escaped with 5-bit residuals, one escaped with none; and a coded one behind."""
+    rng = random.Random(2)
+    values = [rng.randrange(-16, 16) for _ in range(16)]
+    bits = "0" + f"{8:06b}" + "0" + "00" + f"{2:04b}"  # fixed predictor of order 0, four partitions
+    bits += "1111" + f"{5:05b}" + "".join(f"{v & 31:05b}" for v in values)
+    bits += "1111" + f"{0:05b}"
+    rest = [3, -2, 0, 1] * 8
+    for part in (rest[:16], rest[16:]):
+        bits += f"{1:04b}"
+        for v in part:
+            u = 2 * v if v >= 0 else -2 * v - 1
+            bits += "0" * (u >> 1) + "1" + str(u & 1)
+    bits += "0" * (-len(bits) % 8)
+    sub = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    media = flac._stream_header(64, 64, bytes(16)) + _frame(sub, 64, 0)
+    want = [*values, *[0] * 16, *rest]
+    assert b"".join(b[3] for b in flac.decode([media])[0]) == bytes((v & 0xFF) ^ 0x80 for v in want)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 def drop_first(acts: DataFrame, n: int) -> DataFrame:
     """Rows from position ``n`` of their unit on; the filter reaches Parquet-backed tables' scans."""
+    if n < 0:
+        raise ValueError("drop_first is a number of positions, 0 or more")
     return acts.where(F.col("pos") >= n)
 
 

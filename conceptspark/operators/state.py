@@ -60,7 +60,7 @@ class L0Controller:
     gain: float = 0.0
     clip: float = 2.0
     kp: float = 2.0
-    momentum: float = 0.9
+    momentum: float = 0.99
     ema: float = 0.0
     adjustment: float = 0.0
     proportional: float = 0.0

@@ -24,8 +24,8 @@ def concept_fire_stats(spark, sf):
 
 def concept_fire_stats_all(spark, sf):
     every = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("g"))
-    late = b.basket(spark, sf).where(F.col("token_id") % 97 == 0)
-    out = concepts.fire_stats_all(late, every, _n_tokens(spark, sf))
+    loud = b.basket(spark, sf).where(F.col("act") > 104000)
+    out = concepts.fire_stats_all(loud, every, _n_tokens(spark, sf))
     return out.select("g", "n_fire", r6("mean_act").alias("mean_act"), r6("fire_rate").alias("fire_rate"))
 
 
@@ -103,19 +103,19 @@ def ragged_offsets(spark, sf):
 
 
 def fired_union(spark, sf):
-    return b.basket(spark, sf).where("act > 50000").select("g").unionByName(b.basket(spark, sf).where("token_id % 2 = 0").select("g")).distinct()
+    return b.basket(spark, sf).where("act > 50000").select("g").unionByName(b.basket(spark, sf).where("act <= 50000").select("g")).distinct()
 
 
 def examples_with_context(spark, sf):
     toks = b.tokens(spark, sf)
-    picked = toks.where(F.col("pos") % 50 == 10).select(F.lit(0).alias("g"), "unit", "pos")
+    picked = toks.where(F.length("token") >= 12).select(F.lit(0).alias("g"), "unit", "pos")
     out = tokens.examples_with_context(picked, toks, 4)
     return out.select("unit", "pos", "token", "context_before", "context_after")
 
 
 def missing_tokens(spark, sf):
     toks = b.tokens(spark, sf)
-    ev = b.events(spark, sf).select((F.col("unit") % 100).alias("unit"), F.col("pos").cast("int").alias("pos"), "token_id")
+    ev = b.events(spark, sf).select("unit", F.col("pos").cast("int").alias("pos"), "token_id")
     return tokens.lookup(ev, toks).select("token_id", "token")
 
 
@@ -256,7 +256,7 @@ q AS (SELECT * FROM p WHERE idx % 3 = 0 OR prompt <> '')
 
 ORACLE_SQL = {
     "concept_fire_stats": _B + f"SELECT g, count(*) AS n_fire, round(avg(act), 6) AS mean_act, max(act) AS max_act, round(count(*) / {_NT}, 6) AS fire_rate FROM basket GROUP BY g",
-    "concept_fire_stats_all": _B + f"SELECT s_suppkey AS g, count(token_id) AS n_fire, round(coalesce(avg(act), 0), 6) AS mean_act, round(count(token_id) / {_NT}, 6) AS fire_rate FROM supplier LEFT JOIN (SELECT * FROM basket WHERE token_id % 97 = 0) ON g = s_suppkey GROUP BY s_suppkey",
+    "concept_fire_stats_all": _B + f"SELECT s_suppkey AS g, count(token_id) AS n_fire, round(coalesce(avg(act), 0), 6) AS mean_act, round(count(token_id) / {_NT}, 6) AS fire_rate FROM supplier LEFT JOIN (SELECT * FROM basket WHERE act > 104000) ON g = s_suppkey GROUP BY s_suppkey",
     "dead_concepts": _B + "SELECT s_suppkey AS g FROM supplier EXCEPT SELECT g FROM basket WHERE act > 104500",
     "live_count": _F + "SELECT count(DISTINCT g) AS live FROM firings",
     "energy_top20": _B + "SELECT g, count(*) AS n_fire, round(sum(act * act) / 1e6, 4) AS energy FROM basket GROUP BY g HAVING count(*) >= 100 ORDER BY sum(act * act) DESC, g LIMIT 20",
@@ -274,9 +274,9 @@ c AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY unit, q) AS rank FROM
     "uniform_sample": _B + ", s AS (SELECT g, token_id, row_number() OVER (PARTITION BY g ORDER BY md5('0-' || CAST(g AS VARCHAR) || '-' || CAST(token_id AS VARCHAR)), token_id) AS rank FROM basket) SELECT g, rank, token_id FROM s WHERE rank <= 50",
     "unit_energy_topn": b.with_("ev") + ", e AS (SELECT g, unit, sum(act * act) AS e FROM ev GROUP BY g, unit), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY e DESC, unit) AS rank FROM e) SELECT g, rank, unit, round(e, 6) AS energy FROM r WHERE rank <= 3",
     "ragged_offsets": _B + ", n AS (SELECT g, count(*) AS n FROM basket GROUP BY g) SELECT g, n, CAST(coalesce(sum(n) OVER (ORDER BY g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM n",
-    "fired_union": _B + "SELECT g FROM basket WHERE act > 50000 UNION SELECT g FROM basket WHERE token_id % 2 = 0",
-    "examples_with_context": b.with_("tokens") + _CTX + "SELECT unit, pos, token, context_before, context_after FROM near WHERE pos % 50 = 10",
-    "missing_tokens": b.with_("ev", "tokens") + "SELECT ev.token_id, coalesce(t.token, '<' || CAST(ev.pos AS VARCHAR) || '>') AS token FROM ev LEFT JOIN tokens t ON t.unit = ev.unit % 100 AND t.pos = ev.pos",
+    "fired_union": _B + "SELECT g FROM basket WHERE act > 50000 UNION SELECT g FROM basket WHERE act <= 50000",
+    "examples_with_context": b.with_("tokens") + _CTX + "SELECT unit, pos, token, context_before, context_after FROM near WHERE length(token) >= 12",
+    "missing_tokens": b.with_("ev", "tokens") + "SELECT ev.token_id, coalesce(t.token, '<' || CAST(ev.pos AS VARCHAR) || '>') AS token FROM ev LEFT JOIN tokens t ON t.unit = ev.unit AND t.pos = ev.pos",
     "clean_tokens": b.with_("tokens") + "SELECT ' ' || token || chr(10) || chr(9) AS token, count(*) AS n FROM tokens GROUP BY 1",
     "vocab_encode": b.with_("tokens") + "SELECT token, row_number() OVER (ORDER BY encode(token)) AS token_id FROM (SELECT DISTINCT token FROM tokens)",
     "token_search": b.with_("tokens") + "SELECT min(unit) AS g FROM tokens WHERE contains(lower(token), 'tion')",

@@ -47,7 +47,7 @@ def dead_concepts_by_silence(spark, sf):
 
 def ema_scale(spark, sf):
     steps = state.batch_scale(b.events(spark, sf), "token_id", 500)
-    return state.ema(steps, "step", "value", 0.9).select("step", r6("ema").alias("ema"))
+    return state.ema(steps, "step", "value").select("step", r6("ema").alias("ema"))
 
 
 def l0_controller(spark, sf):
@@ -191,7 +191,7 @@ def _trained(spark, sf, kind):
     acts = b.acts(spark, sf)
     if kind == "threshold":
         train.warm_up(acts, model, 4)
-    log = train.fit(acts, model, epochs=4, batch=128, rate=0.01, max_steps=6)
+    log = train.fit(acts, model, epochs=2, batch=256, rate=0.01)
     return spark.createDataFrame([(kind, i, float(r["recon"]), float(r["l0"]), float(r["loss"])) for i, r in enumerate(log)], "kind string, step int, recon double, l0 double, loss double")
 
 
@@ -290,12 +290,12 @@ s AS (SELECT g, sum(k) AS mass, count(*) AS n FROM k GROUP BY g) SELECT round(su
     "dead_topk": _W + "SELECT token_id, rank, g, round(act, 6) AS act FROM (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY act DESC, g) AS rank FROM norms WHERE g % 3 = 0) WHERE rank <= 3",
     "tokens_since_fired": "WITH e AS (SELECT event_id, ts, event_type AS g FROM events WHERE event_id % 7 <> 0 OR event_type <> 'purchase'), " + _LAST,
     "dead_concepts_by_silence": "WITH e AS (SELECT event_id, ts, event_type AS g FROM events), t AS (WITH " + _LAST + ") SELECT g, since FROM t WHERE since > 2",
-    "ema_scale": "WITH RECURSIVE " + _STEPS + ", r AS (SELECT n, step, v AS e FROM ord WHERE n = 1 UNION ALL SELECT o.n, o.step, 0.9::DOUBLE * r.e + (1 - 0.9::DOUBLE) * o.v FROM r JOIN ord o ON o.n = r.n + 1) SELECT step, round(greatest(e, 1e-6), 6) AS ema FROM r",
+    "ema_scale": "WITH RECURSIVE " + _STEPS + ", r AS (SELECT n, step, v AS e FROM ord WHERE n = 1 UNION ALL SELECT o.n, o.step, 0.99::DOUBLE * r.e + (1 - 0.99::DOUBLE) * o.v FROM r JOIN ord o ON o.n = r.n + 1) SELECT step, round(greatest(e, 1e-6), 6) AS ema FROM r",
     "l0_controller": "WITH RECURSIVE " + _STEPS + """, r AS (
   SELECT n, step, v AS e, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, ln(greatest(v, 1e-6) / 40.0::DOUBLE))) AS err, least(2.0::DOUBLE, greatest(-2.0::DOUBLE, 0.05::DOUBLE * least(1.0::DOUBLE, greatest(-1.0::DOUBLE, ln(greatest(v, 1e-6) / 40.0::DOUBLE))))) AS adj FROM ord WHERE n = 1
   UNION ALL
   SELECT n, step, e, err, CASE WHEN abs(adj) >= 2 AND err * adj > 0 THEN adj ELSE least(2.0::DOUBLE, greatest(-2.0::DOUBLE, adj + 0.05::DOUBLE * err)) END FROM (
-    SELECT o.n, o.step, 0.9::DOUBLE * r.e + (1 - 0.9::DOUBLE) * o.v AS e, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, ln(greatest(0.9::DOUBLE * r.e + (1 - 0.9::DOUBLE) * o.v, 1e-6) / 40.0::DOUBLE))) AS err, r.adj FROM r JOIN ord o ON o.n = r.n + 1))
+    SELECT o.n, o.step, 0.99::DOUBLE * r.e + (1 - 0.99::DOUBLE) * o.v AS e, least(1.0::DOUBLE, greatest(-1.0::DOUBLE, ln(greatest(0.99::DOUBLE * r.e + (1 - 0.99::DOUBLE) * o.v, 1e-6) / 40.0::DOUBLE))) AS err, r.adj FROM r JOIN ord o ON o.n = r.n + 1))
 SELECT step, round(adj, 6) AS adj, round(2 * err, 6) AS prop, round(0.01::DOUBLE * exp(least(4.0::DOUBLE, greatest(-4.0::DOUBLE, 2 * err + adj))), 6) AS coef FROM r""",
     "sparsity_flags": _F + ", l AS (SELECT unit, count(*) / CAST(count(DISTINCT token_id) AS DOUBLE) AS l0 FROM firings WHERE act > 0.25 GROUP BY unit) SELECT unit, round(l0, 6) AS l0, l0 > 6.0 OR l0 < 4.0::DOUBLE / 1.5::DOUBLE AS off FROM l",
     "block_basis_k2": _A + """, two AS (SELECT a.g, a.dec AS b1, c.dec AS b2, sqrt(list_dot_product(a.dec, a.dec)) AS n1, list_dot_product(a.dec, c.dec) / sqrt(list_dot_product(a.dec, a.dec)) AS r, list_dot_product(c.dec, c.dec) AS b22 FROM atoms a JOIN atoms c ON a.g = c.g AND a.j = 0 AND c.j = 1),

@@ -197,7 +197,7 @@ def links(nodes: DataFrame, radius=RADIUS, partitions=PARTITIONS, sample=SAMPLE)
 
     ``nodes`` has one column ``fp``.
     """
-    n = nodes.count()
+    n = max(1, nodes.count())  # probes have a cost in an empty table too
     share = min(1.0, 1.5 * sample / max(1, n))
     some = nodes.where(F.pmod(F.xxhash64("fp"), F.lit(1_000_003)) <= int(1_000_003 * share))
     rows = some.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()

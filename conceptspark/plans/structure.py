@@ -33,12 +33,15 @@ def window_occupancy(spark, sf):
 
 
 def dead_topk(spark, sf):
-    dead = b.atoms(spark, sf).select("g").distinct().where("g % 3 = 0")
-    return state.dead_topk(_norms(spark, sf), dead, 3).select("token_id", F.col("rank").cast("long").alias("rank"), "g", r6("act").alias("act"))
+    """Blocks whose mean activation is below that of all count as dead."""
+    norms = _norms(spark, sf)
+    mean = norms.agg(F.avg("act").alias("mean"))
+    dead = norms.groupBy("g").agg(F.avg("act").alias("own")).join(mean, F.col("own") < F.col("mean")).select("g")
+    return state.dead_topk(norms, dead, 3).select("token_id", F.col("rank").cast("long").alias("rank"), "g", r6("act").alias("act"))
 
 
 def tokens_since_fired(spark, sf):
-    return state.tokens_since_fired(b.events(spark, sf).where("token_id % 7 <> 0 or g <> 'purchase'"))
+    return state.tokens_since_fired(b.events(spark, sf))
 
 
 def dead_concepts_by_silence(spark, sf):
@@ -68,7 +71,7 @@ def sparsity_flags(spark, sf):
 def block_basis_k2(spark, sf):
     q = geometry.bases(b.atoms(spark, sf)).select("g", "j", F.posexplode("q").alias("dim", "v"))
     # Signs of a basis are free; projections onto the span are not.
-    p = q.alias("a").join(q.alias("c"), (F.col("a.g") == F.col("c.g")) & (F.col("a.j") == F.col("c.j")) & (F.col("a.dim") <= F.col("c.dim")) & (F.col("c.dim") < 8))
+    p = q.alias("a").join(q.alias("c"), (F.col("a.g") == F.col("c.g")) & (F.col("a.j") == F.col("c.j")) & (F.col("a.dim") <= F.col("c.dim")))
     return p.groupBy(F.col("a.g").alias("g"), F.col("a.dim").alias("d1"), F.col("c.dim").alias("d2")).agg(r6(F.sum(F.col("a.v") * F.col("c.v")) + 0.0).alias("p"))
 
 
@@ -287,8 +290,8 @@ ORACLE_SQL = {
     "theta_init": _W + ", o AS (SELECT avg(act) AS scale, quantile_cont(act, 0.75) AS q FROM norms), t AS (SELECT scale, greatest(q / scale, 1e-3) AS theta FROM o) SELECT round(scale, 6) AS scale, round(theta, 6) AS theta, round(ln(exp(theta) - 1) / 10, 6) AS raw_theta FROM t",
     "window_occupancy": _W + """, k AS (SELECT g, 1 / (pi() * 0.1::DOUBLE * (1 + ((act / 0.17::DOUBLE - 1.9::DOUBLE) / 0.1::DOUBLE) * ((act / 0.17::DOUBLE - 1.9::DOUBLE) / 0.1::DOUBLE))) AS k FROM norms),
 s AS (SELECT g, sum(k) AS mass, count(*) AS n FROM k GROUP BY g) SELECT round(sum(mass) / sum(n) * (pi() * 0.1::DOUBLE), 6) AS occupancy, count(*) FILTER (WHERE mass < 5.0) AS stranded FROM s""",
-    "dead_topk": _W + "SELECT token_id, rank, g, round(act, 6) AS act FROM (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY act DESC, g) AS rank FROM norms WHERE g % 3 = 0) WHERE rank <= 3",
-    "tokens_since_fired": "WITH e AS (SELECT event_id, ts, event_type AS g FROM events WHERE event_id % 7 <> 0 OR event_type <> 'purchase'), " + _LAST,
+    "dead_topk": _W + "SELECT token_id, rank, g, round(act, 6) AS act FROM (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY act DESC, g) AS rank FROM norms WHERE g IN (SELECT g FROM norms GROUP BY g HAVING avg(act) < (SELECT avg(act) FROM norms))) WHERE rank <= 3",
+    "tokens_since_fired": "WITH e AS (SELECT event_id, ts, event_type AS g FROM events), " + _LAST,
     "dead_concepts_by_silence": "WITH e AS (SELECT event_id, ts, event_type AS g FROM events), t AS (WITH " + _LAST + ") SELECT g, since FROM t WHERE since > 2",
     "ema_scale": "WITH RECURSIVE " + _STEPS + ", r AS (SELECT n, step, v AS e FROM ord WHERE n = 1 UNION ALL SELECT o.n, o.step, 0.99::DOUBLE * r.e + (1 - 0.99::DOUBLE) * o.v FROM r JOIN ord o ON o.n = r.n + 1) SELECT step, round(greatest(e, 1e-6), 6) AS ema FROM r",
     "l0_controller": "WITH RECURSIVE " + _STEPS + """, r AS (
@@ -300,7 +303,7 @@ SELECT step, round(adj, 6) AS adj, round(2 * err, 6) AS prop, round(0.01::DOUBLE
     "sparsity_flags": _F + ", l AS (SELECT unit, count(*) / CAST(count(DISTINCT token_id) AS DOUBLE) AS l0 FROM firings WHERE act > 0.25 GROUP BY unit) SELECT unit, round(l0, 6) AS l0, l0 > 6.0 OR l0 < 4.0::DOUBLE / 1.5::DOUBLE AS off FROM l",
     "block_basis_k2": _A + """, two AS (SELECT a.g, a.dec AS b1, c.dec AS b2, sqrt(list_dot_product(a.dec, a.dec)) AS n1, list_dot_product(a.dec, c.dec) / sqrt(list_dot_product(a.dec, a.dec)) AS r, list_dot_product(c.dec, c.dec) AS b22 FROM atoms a JOIN atoms c ON a.g = c.g AND a.j = 0 AND c.j = 1),
 q AS (SELECT g, generate_subscripts(b1, 1) - 1 AS dim, unnest(b1) / n1 AS q1, (unnest(b2) - r * unnest(b1) / n1) / sqrt(b22 - r * r) AS q2 FROM two)
-SELECT a.g, CAST(a.dim AS INTEGER) AS d1, CAST(c.dim AS INTEGER) AS d2, round(a.q1 * c.q1 + a.q2 * c.q2 + 0.0, 6) AS p FROM q a JOIN q c ON a.g = c.g AND a.dim <= c.dim AND c.dim < 8""",
+SELECT a.g, CAST(a.dim AS INTEGER) AS d1, CAST(c.dim AS INTEGER) AS d2, round(a.q1 * c.q1 + a.q2 * c.q2 + 0.0, 6) AS p FROM q a JOIN q c ON a.g = c.g AND a.dim <= c.dim""",
     "chordal_topn": _CHORDAL + ", k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY d, other) AS rank FROM ways) SELECT g, rank, other, round(d, 6) AS d FROM k WHERE rank <= 8",
     "chordal_summary": _CHORDAL + "SELECT count(*) AS n_pairs, round(quantile_cont(d, 0.5), 6) AS median, round(avg(d), 6) AS mean, round(stddev_pop(d) / avg(d), 6) AS spread, round(sqrt(2 - 4 / 64.0::DOUBLE), 6) AS random FROM ch",
     "shape_participation": _P + """, c AS (SELECT g, count(*) AS n, var_samp(x) AS xx, var_samp(y) AS yy, var_samp(z) AS zz, covar_samp(x, y) AS xy, covar_samp(x, z) AS xz, covar_samp(y, z) AS yz FROM pts GROUP BY g)

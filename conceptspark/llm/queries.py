@@ -16,6 +16,7 @@ from conceptspark.llm.mixing import OP6_SQL, op6_mix
 from conceptspark.llm.pfor import op7_token_files
 from conceptspark.llm.quality import op3_quality
 from conceptspark.llm.simhash import op2_simhash
+from conceptspark.llm.talk_repair import OP11_SQL, op11_repair
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
@@ -28,5 +29,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_repair": op11_repair,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mix": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix": OP6_SQL, "op11_repair": OP11_SQL}

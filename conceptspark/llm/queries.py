@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from conceptspark.llm.ann import op1_neighbours
 from conceptspark.llm.bpe import op5_bpe
+from conceptspark.llm.divergence import OP12_SQL, op12_quality_rules
 from conceptspark.llm.flac import op4_flac
 from conceptspark.llm.html_crf import op8_html
 from conceptspark.llm.langid import op10_language_id
@@ -30,5 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
     "op11_repair": op11_repair,
+    "op12_quality_rules": op12_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mix": OP6_SQL, "op11_repair": OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix": OP6_SQL, "op11_repair": OP11_SQL, "op12_quality_rules": OP12_SQL}

@@ -18,6 +18,7 @@ from conceptspark.llm.pfor import op7_token_files
 from conceptspark.llm.quality import op3_quality
 from conceptspark.llm.simhash import op2_simhash
 from conceptspark.llm.talk_repair import OP11_SQL, op11_repair
+from conceptspark.llm.variants import OP13_SQL, op13_variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neighbours": op1_neighbours,
@@ -32,5 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_repair": op11_repair,
     "op12_quality_rules": op12_quality_rules,
+    "op13_variants": op13_variants,
 }
-ORACLE_SQL: dict[str, str] = {"op6_mix": OP6_SQL, "op11_repair": OP11_SQL, "op12_quality_rules": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mix": OP6_SQL, "op11_repair": OP11_SQL, "op12_quality_rules": OP12_SQL, "op13_variants": OP13_SQL}

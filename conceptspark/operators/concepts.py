@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conceptspark.operators import ranks
+from conceptspark.operators.quantiles import percentiles
+
 #: Band names and where they start, as a share of a concept's firings.
 BANDS = (("top", 0.0), ("p75", 0.25), ("p50", 0.5), ("p10", 0.9))
 #: The share of the maximum below which a firing is near its threshold, and a band is weak.
@@ -44,20 +47,26 @@ def energy_top(firings: DataFrame, n: int = 20, least: int = 100) -> DataFrame:
     return out.where(F.col("n_fire") >= least).orderBy(F.col("energy").desc(), "g").limit(n)
 
 
-def ranked(firings: DataFrame) -> DataFrame:
+def placed(firings: DataFrame, ranges: int | None = None) -> ranks.Placed:
+    """Firings placed by rank within their concept; a concept of any size lies across tasks."""
+    return ranks.place(firings, "g", rank_order(firings), ranges)
+
+
+def ranked(firings: DataFrame, ranges: int | None = None) -> DataFrame:
     """Firings with their rank (from 0) within the concept, and the concept's count."""
-    w = W.partitionBy("g")
-    return firings.withColumn("rank", F.row_number().over(w.orderBy(*rank_order(firings))) - 1).withColumn("n", F.count("*").over(w))
+    return placed(firings, ranges).all()
 
 
-def act_quantiles(firings: DataFrame) -> DataFrame:
-    """(g, q_min, q25, q50, q75, q_max) by rank pick on the falling list: a[int(f * (n - 1))]."""
-    r = ranked(firings)
+#: Quantiles and where they stand on the falling list, as a share of its places.
+QUANTILES = (("q_min", 1.0), ("q25", 0.75), ("q50", 0.5), ("q75", 0.25), ("q_max", 0.0))
 
-    def pick(f):
-        return F.max(F.when(F.col("rank") == F.floor(F.lit(f) * (F.col("n") - 1)), F.col("act")))
 
-    return r.groupBy("g").agg(F.min("act").alias("q_min"), pick(0.75).alias("q25"), pick(0.5).alias("q50"), pick(0.25).alias("q75"), F.max("act").alias("q_max"))
+def act_quantiles(firings: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(g, q_min, q25, q50, q75, q_max) by rank pick on the falling list: a[int(f * (n - 1))]."""
+    narrow = firings.select(*(c for c in ("g", "act", "unit", "pos", "token_id") if c in firings.columns))
+    wanted = F.array(*[F.struct(F.lit(q).alias("q"), F.floor(F.lit(f) * (F.col("n") - 1)).alias("rank")) for q, f in QUANTILES])
+    r = placed(narrow, ranges).pick(wanted)
+    return r.groupBy("g").agg(*[F.max(F.when(F.col("q") == q, F.col("act"))).alias(q) for q, _ in QUANTILES])
 
 
 def near_threshold(firings: DataFrame, near: float = NEAR) -> DataFrame:
@@ -66,21 +75,19 @@ def near_threshold(firings: DataFrame, near: float = NEAR) -> DataFrame:
     return firings.join(top, "g").groupBy("g").agg(F.avg((F.col("act") < near * F.col("top")).cast("double")).alias("near_threshold_frac"))
 
 
-def bands(firings: DataFrame, per_band: int = 4) -> DataFrame:
+def bands(firings: DataFrame, per_band: int = 4, ranges: int | None = None) -> DataFrame:
     """Rows of the bands: (g, band, rank, act, ...), with rank_lo, lo_act, hi_act, and weak.
 
     A band is a window of ranks from min(int(f * n), n - 1).  A band is weak where its
     strongest firing is below 0.4 of the concept's maximum.
     """
-    r = ranked(firings)
-    top = F.max("act").over(W.partitionBy("g"))
-    r = r.withColumn("top", top)
-    starts = F.array(*[F.struct(F.lit(b).alias("band"), F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1).alias("s")) for b, f in BANDS])
-    hit = F.filter(starts, lambda b: (F.col("rank") >= b["s"]) & (F.col("rank") < b["s"] + per_band))
-    rows = r.withColumn("b", F.explode(hit)).withColumn("band", F.col("b.band")).withColumn("rank_lo", F.col("b.s"))
-    own = W.partitionBy("g", "band")
+    starts = F.array(*[F.struct(F.lit(b).alias("band"), F.least(F.floor(F.lit(f) * F.col("n")), F.col("n") - 1).alias("rank_lo")) for b, f in BANDS])
+    places = F.flatten(F.transform(starts, lambda b: F.transform(F.sequence(b["rank_lo"], F.least(b["rank_lo"] + per_band, F.col("n")) - 1), lambda r: F.struct(b["band"].alias("band"), b["rank_lo"].alias("rank_lo"), r.alias("rank")))))
+    rows = placed(firings, ranges).pick(places)
+    # The strongest firing of all is in the top band, so a concept's few rows here hold it.
+    own, top = W.partitionBy("g", "band"), F.max("act").over(W.partitionBy("g"))
     rows = rows.withColumn("lo_act", F.min("act").over(own)).withColumn("hi_act", F.max("act").over(own))
-    return rows.withColumn("weak", F.col("hi_act") < NEAR * F.col("top")).drop("b", "n", "top")
+    return rows.withColumn("weak", F.col("hi_act") < NEAR * top).drop("n")
 
 
 def top_examples(firings: DataFrame, k: int = 12) -> DataFrame:
@@ -98,13 +105,13 @@ def rate_histogram(stats: DataFrame, bins: int = 60, low: float = -6.0) -> DataF
 
 def summary(table: DataFrame, column: str, points=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """Exact interpolated percentiles of a column over concepts: (p, value)."""
-    one = table.agg(F.percentile(column, F.array(*[F.lit(p) for p in points])).alias("v"))
-    return one.select(F.posexplode("v").alias("i", "value")).select(F.get(F.array(*[F.lit(p) for p in points]), F.col("i")).alias("p"), "value")
+    one = percentiles(table, column, points)
+    return one.select(F.posexplode("q").alias("i", "value")).select(F.get(F.array(*[F.lit(p) for p in points]), F.col("i")).alias("p"), "value")
 
 
 def drop_weakest(firings: DataFrame, share: float, least: int = 8) -> DataFrame:
     """Firings at or above the concept's ``share`` percentile; concepts with few points are kept whole."""
-    cut = firings.groupBy("g").agg(F.percentile("act", F.lit(share)).alias("cut"), F.count("*").alias("n_points"))
+    cut = percentiles(firings, "act", [share], ["g"]).select("g", F.get("q", F.lit(0)).alias("cut"), F.col("n").alias("n_points"))
     rows = firings.join(cut, "g")
     return rows.where((F.col("n_points") <= least) | (F.col("act") >= F.col("cut"))).drop("cut", "n_points")
 

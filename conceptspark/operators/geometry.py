@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conceptspark.operators.quantiles import percentiles
+from conceptspark.runtime import stored
+
 #: Concepts of a chunk; a pair of chunks is one task group of bounded size.
 CHUNK = 256
 
@@ -63,7 +66,10 @@ def nearest(distances: DataFrame, n: int = 8) -> DataFrame:
 
 def chordal_summary(distances: DataFrame, k: int, d: int) -> DataFrame:
     """(n_pairs, median, mean, spread, random): spread is std / mean; random is what chance gives."""
-    return distances.agg(F.count("*").alias("n_pairs"), F.percentile("d", F.lit(0.5)).alias("median"), F.avg("d").alias("mean"), (F.stddev_pop("d") / F.avg("d")).alias("spread")).withColumn("random", F.lit(math.sqrt(k - k * k / d)))
+    rows = stored(distances.select("d"), "chordal-distances")
+    middle = percentiles(rows, "d", [0.5]).select(F.get("q", F.lit(0)).alias("median"))
+    one = rows.agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean"), (F.stddev_pop("d") / F.avg("d")).alias("spread"))
+    return one.crossJoin(middle).select("n_pairs", "median", "mean", "spread", F.lit(math.sqrt(k - k * k / d)).alias("random"))
 
 
 def pca3(clouds: DataFrame) -> DataFrame:
@@ -133,7 +139,7 @@ def norm(v: Column) -> Column:
 def radial_clip(points: DataFrame, share: float = 0.98) -> DataFrame:
     """Points (g, ..., p) scaled back to the ``share`` percentile of their concept's norms."""
     rows = points.withColumn("__n", norm(F.col("p")))
-    cap = rows.groupBy("g").agg(F.percentile("__n", F.lit(share)).alias("__cap"))
+    cap = percentiles(rows, "__n", [share], ["g"]).select("g", F.get("q", F.lit(0)).alias("__cap"))
     rows = rows.join(cap, "g")
     return rows.withColumn("p", F.transform("p", lambda x: x * F.least(F.lit(1.0), F.col("__cap") / F.greatest(F.col("__n"), F.lit(1e-12))))).drop("__n", "__cap")
 

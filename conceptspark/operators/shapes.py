@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptspark.operators.geometry import norm
+from conceptspark.operators.quantiles import percentiles
 
 #: Fixed values of the census: fewest points, the inner radius and the share a filled disc has inside it.
 LEAST, INNER, FILLED = 30, 0.4, 0.16
@@ -33,7 +34,7 @@ def planar(clouds: DataFrame) -> DataFrame:
     xy = clouds.select("g", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
     mid = xy.groupBy("g").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     r = xy.join(mid, "g").select("g", F.sqrt((F.col("x") - F.col("mx")) ** 2 + (F.col("y") - F.col("my")) ** 2).alias("r"))
-    cap = r.groupBy("g").agg(F.percentile("r", F.lit(0.98)).alias("rmax"))
+    cap = percentiles(r, "r", [0.98], ["g"]).select("g", F.get("q", F.lit(0)).alias("rmax"))
     rows = r.join(cap, "g").groupBy("g").agg((F.avg("r") / F.greatest(F.stddev_pop("r"), F.lit(1e-9))).alias("annularity"), F.avg((F.col("r") < INNER * F.col("rmax")).cast("double")).alias("inner"))
     return rows.select("g", "annularity", F.when(F.col("inner") < FILLED, 1 - F.col("inner") / FILLED).otherwise(0.0).alias("hollow"))
 

@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conceptspark.operators.quantiles import percentiles
+from conceptspark.runtime import stored
+
 
 def tokens_since_fired(firings: DataFrame, order: str = "ts", tie: str = "token_id", buckets: int = 1024) -> DataFrame:
     """(g, since): tokens seen after the last one on which the concept fired.
@@ -90,7 +93,9 @@ def theta_init(norms: DataFrame, target_l0: float, n_groups: int, gain: float =
     scale is the mean norm; theta the 1 - target/G quantile of norm / scale, 1e-3 at least;
     raw_theta its inverse softplus over the gain.
     """
-    one = norms.agg(F.avg("act").alias("scale"), F.percentile("act", F.lit(1 - target_l0 / n_groups)).alias("q"))
+    acts = stored(norms.select("act"), "theta-norms")
+    q = percentiles(acts, "act", [1 - target_l0 / n_groups]).select(F.get("q", F.lit(0)).alias("q"))
+    one = acts.agg(F.avg("act").alias("scale")).crossJoin(q)
     one = one.select("scale", F.greatest(F.col("q") / F.col("scale"), F.lit(1e-3)).alias("theta"))
     return one.withColumn("raw_theta", F.log(F.expm1("theta")) / gain)
 

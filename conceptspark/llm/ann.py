@@ -51,6 +51,12 @@ def _cosine(rows: np.ndarray, norms: np.ndarray, q: np.ndarray, q_norm: float) -
     return (rows * q).sum(axis=1) / (norms * q_norm)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components near 1: no square overflows, no cosine changes."""
+    vectors = vectors.astype(np.float64)
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def stop_ratio(projections: int, threshold: float, confidence: float) -> float:
     """Half-width over distance at which a row at that distance has collided often enough."""
     need, z = math.ceil(threshold * projections), NormalDist().inv_cdf(confidence)
@@ -66,7 +72,7 @@ class BlockIndex:
     """Sorted projections of a block of vectors."""
 
     def __init__(self, vectors: np.ndarray, projections=PROJECTIONS, seed=SEED):
-        self.vectors = vectors.astype(np.float64)
+        self.vectors = _scaled(vectors)
         self.norms = np.sqrt((self.vectors * self.vectors).sum(axis=1))
         self.directions = np.random.default_rng(seed).standard_normal((vectors.shape[1], projections))
         h = (self.vectors / self.norms[:, None]) @ self.directions
@@ -78,7 +84,7 @@ class BlockIndex:
 
     def search(self, queries: np.ndarray, k: int, threshold=THRESHOLD, width=FIRST_WIDTH, ratio=RATIO, confidence=CONFIDENCE):
         """For each query the verified rows and their cosines."""
-        queries = queries.astype(np.float64)
+        queries = _scaled(queries)
         q_norm = np.sqrt((queries * queries).sum(axis=1))
         h = (queries / q_norm[:, None]) @ self.directions
         m, n = self.order.shape
@@ -144,11 +150,11 @@ def search(rows: DataFrame, queries: DataFrame, k=5, key="vec_id", vec="embeddin
     def every(n):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = entries.select(F.pmod(F.xxhash64("vec"), F.lit(n_blocks)).cast("int").alias("b"), every(copies).alias("c"), F.lit(None).cast("long").alias("query_id"), "ids", "vec")
-    right = asked.select(every(n_blocks).alias("b"), F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int").alias("c"), "query_id", F.lit(None).cast("array<long>").alias("ids"), "vec")
+    left = entries.select(F.pmod(F.xxhash64("vec"), F.lit(n_blocks)).cast("int").alias("b"), every(copies).alias("c"), F.lit(False).alias("asks"), F.lit(0).cast("long").alias("query_id"), "ids", "vec")
+    right = asked.select(every(n_blocks).alias("b"), F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int").alias("c"), F.lit(True).alias("asks"), "query_id", F.lit(None).cast("array<long>").alias("ids"), "vec")
     both = left.unionByName(right).withColumn("d", F.size("vec"))
-    # Rows of a block come before its queries: a null query id sorts first.
-    both = both.repartition(n_blocks * copies, "b", "c", "d").sortWithinPartitions("b", "c", "d", F.col("query_id").asc_nulls_first())
+    # Rows of a block come before its queries.  Ids are never null, so that pandas keeps them whole.
+    both = both.repartition(n_blocks * copies, "b", "c", "d").sortWithinPartitions("b", "c", "d", "asks", "query_id")
 
     def answers(index, ids, ask):
         out = []
@@ -166,7 +172,7 @@ def search(rows: DataFrame, queries: DataFrame, k=5, key="vec_id", vec="embeddin
             for g, part in pdf.groupby(["b", "c", "d"], sort=True):
                 if g != group:
                     held, group, index = [], g, None
-                data, ask = part[part["query_id"].isna()], part[part["query_id"].notna()]
+                data, ask = part[~part["asks"]], part[part["asks"]]
                 if len(data):
                     held.append(data[["ids", "vec"]])
                 if len(ask) and index is None and held:

@@ -97,11 +97,17 @@ def mix(docs: DataFrame, text="text", source="source", key="doc_id", weights=WEI
     return joined.withColumn("taken", epochs * F.col("size") + cut).drop("p_source", "p_range", "mix_range", "mix_key", "range_start", "in_range")
 
 
-def repeat_documents(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents of a ``mix(..., carry=True)``, each in whole copies: ``taken / size`` rounded."""
-    copies = F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + F.lit(0.5)).cast("int")
+def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents as often as their mix takes them, in whole copies: ``taken / size`` rounded.
+
+    A document without words adds nothing to any source and stays once.  Columns are those of
+    ``docs``, untouched, whatever their names; an empty table gives an empty one.
+    """
+    held = docs.select(F.struct(*others(docs)).alias("doc"))
+    mixed = mix(held, text="doc.text", source="doc.source", key="doc.doc_id", carry=True, **options)
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor(F.col("taken") / F.greatest("size", F.lit(1)) + F.lit(0.5)).cast("int"))
     again = F.when(copies > 0, F.sequence(F.lit(1), copies)).otherwise(F.array().cast("array<int>"))
-    return mixed.withColumn("copy", F.explode(again)).select(*[F.col(f"`{c}`") for c in columns])
+    return mixed.withColumn("copy", F.explode(again)).select("doc.*")
 
 
 def op6_mix(spark, sf_dir) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from conceptspark.llm import ann
 
@@ -77,3 +78,24 @@ def test_stop_ratio_is_the_models():
     ratio = ann.stop_ratio(128, 0.7, 0.9)
     collided = (np.abs(rng.standard_normal((20000, 128))) <= ratio).sum(axis=1)
     assert 0.87 < (collided >= np.ceil(0.7 * 128)).mean() < 0.95
+
+
+def test_ids_near_two_to_62_and_huge_components(spark):
+    """Ids above 2^53 stay apart; components near 1e200 and 1e-200 have finite cosines."""
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((60, 8)) * np.repeat([1e200, 1e-200, 1.0], 20)[:, None]
+    ids = [(1 << 62) + 3 * i for i in range(60)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<double>").repartition(4)
+    asked = set(ids[::10])
+    got = {}
+    for r in ann.search(rows, rows.where(F.col("vec_id").isin(list(asked))), k=59).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    u = v / np.abs(v).max(axis=1, keepdims=True)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    assert set(got) == asked
+    for q, found in got.items():
+        cos = u @ u[ids.index(q)]
+        order = sorted((i for i in range(60) if ids[i] != q), key=lambda i: (-cos[i], ids[i]))
+        found.sort()
+        assert [f[1] for f in found] == [ids[i] for i in order]
+        np.testing.assert_allclose([f[2] for f in found], cos[order], rtol=1e-12)

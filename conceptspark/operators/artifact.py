@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +34,22 @@ def load(spark: SparkSession, path: str, names: list[str]) -> tuple[dict[str, Da
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}, meta
 
 
-def stats_table(stats: DataFrame, layer: int, hook: str, drop_first: int, max_rows: int | None, path: str) -> None:
-    """Keep normalisation statistics under all of what they depend on."""
-    key = stats.withColumns({"layer": F.lit(layer), "hook": F.lit(hook), "drop_first": F.lit(drop_first), "max_rows": F.lit(max_rows if max_rows is not None else -1)})
-    key.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer", "hook", "drop_first", "max_rows").parquet(path)
+def cached_stats(spark: SparkSession, path: str, key: dict, compute: Callable[[], DataFrame], recompute: bool = False) -> DataFrame:
+    """Statistics under all of what they depend on (layer, hook, drop_first, max_rows ...): loaded, or computed and kept.
+
+    The marker is written after the table, so a broken run leaves nothing that would be loaded.
+    """
+    folder = path + "/" + "/".join(f"{k}={quote(str(v), safe='')}" for k, v in sorted(key.items()))
+    if not recompute:
+        try:
+            at = spark.read.parquet(f"{folder}/done").first()["at"]
+            return spark.read.parquet(f"{folder}/{at}")
+        except AnalysisException:
+            pass
+    at = uuid.uuid4().hex
+    compute().write.parquet(f"{folder}/{at}")
+    spark.createDataFrame([(at,)], "at string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/done")
+    return spark.read.parquet(f"{folder}/{at}")
 
 
 def one_row_each(table: DataFrame, n_groups: int) -> DataFrame:

@@ -82,3 +82,43 @@ def test_only_sealed_shards_stream(spark, tree, tmp_path_factory):
     late.write_text(text)
     run()
     assert spark.read.parquet(str(out / "rows")).count() == 6
+
+
+def test_a_file_reads_in_many_tasks(spark, tree):
+    root, want = tree
+    rows = captures.read(spark, str(root), 8, "resid", split_bytes=16)
+    assert rows.rdd.getNumPartitions() > 5
+    for r, x in want.items():
+        got = rows.where(f"request_id = '{r}'").orderBy("pos").collect()
+        np.testing.assert_array_equal(np.array([g["x"] for g in got]), x)
+    cut = captures.splits(captures.placed(captures.sidecars(spark, str(root)), 8, "resid"), 16)
+    assert {r["rows"] for r in cut.collect()} <= {1, 2} and cut.agg({"rows": "sum"}).first()[0] == 14
+
+
+@pytest.mark.parametrize("layout,dtype", [("per_file", "float32"), ("packed", "float64"), ("sharded", "float16")])
+def test_what_is_written_is_read(spark, tmp_path, layout, dtype):
+    rng = np.random.default_rng(5)
+    rows = [(f"r{r}", 4 + h, "hook", p, [float(v) for v in rng.integers(-8, 8, 3 + h)]) for r in range(4) for h in range(2) for p in range(r * 3)]
+    df = spark.createDataFrame(rows, "request_id string, layer int, hook string, pos long, x array<double>").repartition(3)
+    report = captures.write(df, str(tmp_path), "t", layout, dtype, shards=5)
+    assert report.agg({"rows": "sum"}).first()[0] == len(rows)
+    captures.write(df, str(tmp_path), "t", layout, dtype, shards=5)
+    got = {(r["request_id"], r["layer"], r["pos"]): list(r["x"]) for r in captures.read(spark, str(tmp_path), split_bytes=40).collect()}
+    assert got == {(r, layer, p): x for r, layer, _, p, x in rows}
+    assert captures.short_files(spark, str(tmp_path)).count() == 0
+    with pytest.raises(ValueError):
+        captures.write(df, str(tmp_path), "t", "other")
+
+
+def test_statistics_are_computed_once(spark, tmp_path):
+    from conceptspark.operators import artifact
+
+    asked = []
+
+    def compute():
+        asked.append(1)
+        return spark.createDataFrame([(len(asked), 2.0)], "n int, scale double")
+
+    key = {"layer": 3, "hook": "a/b", "drop_first": 1}
+    stats = lambda k, again=False: artifact.cached_stats(spark, str(tmp_path), k, compute, again).first()["n"]
+    assert [stats(key), stats(key), stats({**key, "drop_first": 2}), stats(key, True), stats(key)] == [1, 1, 2, 3, 3]

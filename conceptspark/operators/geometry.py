@@ -28,12 +28,8 @@ def bases(atoms: DataFrame) -> DataFrame:
     return atoms.select("g", "j", "dec").groupBy("g").applyInPandas(qr, "g int, j int, q array<double>")
 
 
-def chordal(atoms: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(i, j, d), i < j: sqrt(k - |Qi Qj^T|^2) of every pair of blocks.
-
-    Chunks of concepts meet pairwise, each pair of chunks as one group and one matrix
-    product.  The number of pairs is that of the dictionary, not of the data.
-    """
+def _chunk_pairs(atoms: DataFrame, chunk: int, made, schema: str) -> DataFrame:
+    """``made(ids, other ids, distances)`` of every pair of chunks, each pair one group of bounded size and one matrix product."""
     b = bases(atoms).groupBy("g").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("j", "q"))), lambda s: s["q"])).alias("q"), F.count("*").alias("k"))
     b = b.withColumn("c", F.floor(F.col("g") / chunk).cast("int"))
     top = F.lit(b.agg(F.max("c")).first()[0] or 0)
@@ -44,26 +40,66 @@ def chordal(atoms: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
     def meet(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(y):
-            return pd.DataFrame({"i": [], "j": [], "d": []})
+            return made(np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros((0, 0)))
         k = int(x["k"].iloc[0])
         a, c = (np.vstack(t["q"]).reshape(len(t) * k, -1) for t in (x, y))
         s = ((a @ c.T) ** 2).reshape(len(x), k, len(y), k).sum(axis=(1, 3))
-        d = np.sqrt(np.maximum(k - s, 0))
-        i, j = np.meshgrid(x["g"], y["g"], indexing="ij")
+        return made(x["g"].to_numpy(), y["g"].to_numpy(), np.sqrt(np.maximum(k - s, 0)))
+
+    return left.groupBy("c1", "c2").cogroup(right.groupBy("c1", "c2")).applyInPandas(meet, schema)
+
+
+def chordal(atoms: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(i, j, d), i < j: sqrt(k - |Qi Qj^T|^2) of every pair of blocks: all distances, for where all are asked for."""
+
+    def made(x, y, d):
+        i, j = np.meshgrid(x, y, indexing="ij")
         own = i < j
         return pd.DataFrame({"i": i[own], "j": j[own], "d": d[own]})
 
-    return left.groupBy("c1", "c2").cogroup(right.groupBy("c1", "c2")).applyInPandas(meet, "i int, j int, d double")
+    return _chunk_pairs(atoms, chunk, made, "i int, j int, d double")
+
+
+def nearest_blocks(atoms: DataFrame, n: int = 8, chunk: int = CHUNK) -> DataFrame:
+    """(g, rank, other, d): the ``n`` nearest other blocks of each, ties by id.
+
+    A pair of chunks lets go of all but the ``n`` best of each of its blocks, so what is
+    shuffled and ranked is 2 n rows a block and chunk instead of a row a pair.
+    """
+
+    def best(x, y, d):
+        for g, row in zip(x, d):
+            own = y != g
+            row, other = row[own], y[own]
+            if len(row) > n:
+                near = row <= np.partition(row, n - 1)[n - 1]
+                row, other = row[near], other[near]
+            order = np.lexsort((other, row))[:n]
+            yield pd.DataFrame({"g": np.full(len(order), g), "other": other[order], "d": row[order]})
+
+    def made(x, y, d):
+        # Chunks hold ranges of ids: a pair of one chunk with itself meets every block both ways.
+        parts = list(best(x, y, d)) + ([] if len(x) == len(y) and (x == y).all() else list(best(y, x, d.T)))
+        return pd.concat(parts) if parts else pd.DataFrame({"g": [], "other": [], "d": []})
+
+    rows = _chunk_pairs(atoms, chunk, made, "g int, other int, d double")
+    rank = F.row_number().over(W.partitionBy("g").orderBy("d", "other"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
 def nearest(distances: DataFrame, n: int = 8) -> DataFrame:
-    """(g, rank, other, d): the ``n`` nearest other concepts of each, ties by id."""
+    """(g, rank, other, d) from a table of distances (i, j, d)."""
     ends = F.explode(F.array(F.struct(F.col("i").alias("g"), F.col("j").alias("other")), F.struct(F.col("j").alias("g"), F.col("i").alias("other"))))
     rows = distances.select(ends.alias("e"), "d").select("e.g", "e.other", "d")
     rank = F.row_number().over(W.partitionBy("g").orderBy("d", "other"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def without_zeros(points: DataFrame) -> DataFrame:
+    """Points (..., p) with a coordinate other than 0; zeros are padding."""
+    return points.where(F.exists("p", lambda x: x != 0))
+
+
 def chordal_summary(distances: DataFrame, k: int, d: int) -> DataFrame:
     """(n_pairs, median, mean, spread, random): spread is std / mean; random is what chance gives."""
     rows = stored(distances.select("d"), "chordal-distances")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from conceptspark.operators import ranks
 from conceptspark.operators.quantiles import percentiles
 from conceptspark.runtime import stored
 
@@ -37,17 +39,39 @@ def dead_mask(since: DataFrame, dead_after: int) -> DataFrame:
     return since.where(F.col("since") > dead_after)
 
 
-def ema(series: DataFrame, order: str, value: str, momentum: float = 0.99, floor: float = 1e-6) -> DataFrame:
-    """Moving averages m * ema + (1 - m) * value of a short series, in order, from its first value.
+def ema(series: DataFrame, order: str, value: str, momentum: float = 0.99, floor: float = 1e-6, ranges: int | None = None) -> DataFrame:
+    """Moving averages m * ema + (1 - m) * value in order, from the first value on, of a series of any length.
 
-    The closed form is a sum of weighted earlier values.  The series is one value per
-    batch or step, not per row, so one ordered task is enough.
+    A value is a linear map x -> m x + (1 - m) v, and a range of values the map composed of
+    theirs.  Ranges are composed apart, as sums; their maps, one row a range, are run through in
+    order for what each range begins with; then every range is run through on its own.  Null
+    values are left out.
     """
-    n = F.row_number().over(W.orderBy(order)) - 1
-    rows = series.select(F.col(order), F.col(value).alias("v"), n.alias("n"))
-    past = F.collect_list("v").over(W.orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    run = F.aggregate(F.slice(past, 2, F.greatest(F.size(past), F.lit(1))), F.get(past, F.lit(0)), lambda a, v: momentum * a + (1 - momentum) * v)
-    return rows.select(F.col(order), F.greatest(run, F.lit(floor)).alias("ema"))
+    rows = series.select(F.col(order), F.col(value).cast("double").alias("v"), F.lit(0).alias("one")).where("v is not null")
+    p = ranks.place(rows, "one", [F.col(order).asc(), F.col("v").asc()], ranges)
+    placed = p.rows.join(p.parts.select(F.col("part"), "before", "size"), "part")
+    share = F.when(F.col("before") + F.col("at") == 0, F.lit(1.0)).otherwise(F.lit(1 - momentum))
+    maps = placed.groupBy("part", "size").agg(F.sum(share * F.col("v") * F.pow(F.lit(momentum), F.col("size") - 1 - F.col("at"))).alias("b"))
+    begin, now = {}, 0.0
+    for r in maps.orderBy("part").collect():
+        begin[r["part"]] = now
+        now = momentum ** r["size"] * now + r["b"]
+    kind = dict(rows.dtypes)[order]
+
+    def run(batches):
+        part, now = None, 0.0
+        for pdf in batches:
+            out = []
+            for q, first, v in zip(pdf["part"].tolist(), pdf["first"].tolist(), pdf["v"].tolist()):
+                if q != part:
+                    part, now = q, begin[q]
+                now = v if first else momentum * now + (1 - momentum) * v
+                out.append(max(now, floor))
+            yield pd.DataFrame({order: pdf[order], "ema": out})
+
+    tasks = max(1, min(len(begin), series.sparkSession.sparkContext.defaultParallelism))
+    inside = placed.select(F.col(order), "part", "at", (F.col("before") + F.col("at") == 0).alias("first"), "v")
+    return inside.repartition(tasks, "part").sortWithinPartitions("part", "at").mapInPandas(run, f"`{order}` {kind}, ema double")
 
 
 def batch_scale(firings: DataFrame, order: str, batch: int) -> DataFrame:

@@ -76,7 +76,7 @@ def block_basis_k2(spark, sf):
 
 
 def chordal_topn(spark, sf):
-    out = geometry.nearest(geometry.chordal(b.atoms(spark, sf)), 8)
+    out = geometry.nearest_blocks(b.atoms(spark, sf), 8)
     return out.select("g", F.col("rank").cast("long").alias("rank"), "other", r6("d").alias("d"))
 
 
@@ -138,6 +138,31 @@ def coverage_violations(spark, sf):
     return artifact.one_row_each(stats, 100).select("g", "n")
 
 
+def nonzero_points(spark, sf):
+    """Points of whole numbers; those that are zero in all three are left out."""
+    whole = _points(spark, sf).withColumn("p", F.transform("p", lambda x: (x * 5).cast("int")))
+    return geometry.without_zeros(whole).groupBy("g").agg(F.count("*").alias("n"))
+
+
+def uncovered_concepts(spark, sf):
+    every = b.basket(spark, sf).select("g").distinct()
+    return artifact.uncovered(cofiring.edges(b.basket(spark, sf), 0.04).select(F.col("i").alias("g")), every)
+
+
+def point_violations(spark, sf):
+    """Points of a manifold without a token or a coordinate; short texts leave places without one."""
+    x, y, z = (F.get("p", F.lit(i)) for i in range(3))
+    toks = b.tokens(spark, sf).select(F.col("unit").cast("string").alias("doc"), F.col("pos").alias("at"), "token")
+    points = b.acts(spark, sf).select("token_id", F.col("token_id").cast("string").alias("doc"), F.slice("x", 1, 3).alias("p"))
+    named = points.join(toks.where("at = 9"), "doc", "left").select("token_id", x.alias("x"), y.alias("y"), z.alias("z"), "token")
+    return artifact.bad_points(named).select("token_id")
+
+
+def distance_violations(spark, sf):
+    """Distances beyond what blocks of one dimension allow."""
+    return artifact.bad_distances(geometry.chordal(b.atoms(spark, sf)), 1).select("i", "j", r6("d").alias("d"))
+
+
 def spectral_layout(spark, sf):
     edges = cofiring.edges(b.firings(spark, sf), 0.1)
     return graph.spectral_layout(edges, b.atoms(spark, sf).select("g").distinct())
@@ -257,7 +282,7 @@ def stream_silence(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (theta_init, window_occupancy, dead_topk, tokens_since_fired, dead_concepts_by_silence, ema_scale, l0_controller, sparsity_flags, block_basis_k2, chordal_topn, chordal_summary, shape_participation,
-              shape_planar, shape_antipodal, shape_counts, shape_gallery, radial_clip, direction_color, intensity, lat_lon, quantile_violations, edge_violations, coverage_violations, spectral_layout, classical_mds,
+              shape_planar, shape_antipodal, shape_counts, shape_gallery, radial_clip, direction_color, intensity, lat_lon, quantile_violations, edge_violations, coverage_violations, nonzero_points, uncovered_concepts, point_violations, distance_violations, spectral_layout, classical_mds,
               double_centred, cloud_pca3, overlay_values, embedding_quality, map_nodes, sphere_fit, sphere_grid, train_free, train_tied, train_threshold, train_soft, stream_fire_counts, stream_scale, stream_silence)
 }
 
@@ -323,6 +348,11 @@ SELECT * FROM q WHERE q25 < q_min - 1e-3 OR q50 < q25 - 1e-3 OR q75 < q50 - 1e-3
 SELECT i, j FROM prs JOIN cnt x ON x.g = i JOIN cnt y ON y.g = j WHERE n_both / CAST(x.n + y.n - n_both AS DOUBLE) >= 0.025 AND j >= 90""",
     "coverage_violations": b.with_("basket") + """, c AS (SELECT g, 1 AS n FROM basket WHERE act > 104500 GROUP BY g), w AS (SELECT CAST(range AS BIGINT) AS k FROM range(100))
 SELECT coalesce(w.k, c.g) AS g, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM w FULL JOIN c ON c.g = w.k WHERE w.k IS NULL OR c.g IS NULL""",
+    "nonzero_points": _P + "SELECT g, count(*) AS n FROM pts WHERE trunc(x * 5) <> 0 OR trunc(y * 5) <> 0 OR trunc(z * 5) <> 0 GROUP BY g",
+    "uncovered_concepts": b.with_("basket") + """, cnt AS (SELECT g, count(*) AS n FROM basket GROUP BY g), prs AS (SELECT a.g AS i, c.g AS j, count(*) AS n_both FROM basket a JOIN basket c ON a.token_id = c.token_id AND a.g < c.g GROUP BY 1, 2)
+SELECT g FROM cnt EXCEPT SELECT i FROM prs JOIN cnt x ON x.g = i JOIN cnt y ON y.g = j WHERE n_both / CAST(x.n + y.n - n_both AS DOUBLE) >= 0.04""",
+    "point_violations": b.with_("acts", "tokens") + "SELECT token_id FROM acts LEFT JOIN (SELECT unit AS doc, token FROM tokens WHERE pos = 9) t ON t.doc = acts.token_id WHERE token IS NULL",
+    "distance_violations": _CHORDAL + "SELECT i, j, round(d, 6) AS d FROM ch WHERE NOT d BETWEEN -1e-6 AND 1.001",
     "double_centred": _CHORDAL + """, d2 AS (SELECT g AS i, other AS j, d * d AS d2 FROM ways UNION ALL SELECT DISTINCT g, g, 0.0::DOUBLE FROM atoms),
 r AS (SELECT i, avg(d2) AS r FROM d2 GROUP BY i) SELECT d2.i, d2.j, round(-0.5::DOUBLE * (d2 - x.r - y.r + (SELECT avg(d2) FROM d2)) + 0.0, 6) AS b FROM d2 JOIN r x ON x.i = d2.i JOIN r y ON y.i = d2.j""",
     "stream_fire_counts": "SELECT event_type AS g, count(*) AS n_fire, round(sum(value), 6) AS sum_act, max(value) AS max_act FROM events GROUP BY event_type",

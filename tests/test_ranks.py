@@ -81,3 +81,28 @@ def test_last_pass_is_bounded(spark):
     want = df.coalesce(1).agg(F.percentile("v", F.array(F.lit(0.5), F.lit(0.75))).alias("q")).first()
     assert got["q"] == want["q"] and got["n"] == 20000
 
+
+
+@pytest.mark.parametrize("ranges", [None, 1, 9])
+def test_moving_average_by_ranges(spark, ranges):
+    from conceptspark.operators import state
+
+    rng = np.random.default_rng(2)
+    v = rng.standard_normal(500) + 2
+    df = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(v)] + [(1000, None)], "step long, value double").repartition(4)
+    got = {r["step"]: r["ema"] for r in state.ema(df, "step", "value", 0.9, 1e-6, ranges).collect()}
+    now = v[0]
+    for i, x in enumerate(v):
+        now = x if i == 0 else 0.9 * now + (1 - 0.9) * x
+        assert got[i] == pytest.approx(max(now, 1e-6), rel=1e-9)
+    assert len(got) == 500 and state.ema(df.where("step < 0"), "step", "value").count() == 0
+
+
+@pytest.mark.parametrize("chunk", [2, 7, 256])
+def test_nearest_blocks_are_those_of_all_distances(spark, chunk):
+    from conceptspark.operators import geometry
+
+    rng = np.random.default_rng(3)
+    atoms = spark.createDataFrame([(g, j, rng.standard_normal(6).tolist()) for g in range(20) for j in range(2)] + [(20, 0, [1.0] * 6), (20, 1, [0.0, 1.0, 0.0, 0.0, 0.0, 0.0])], "g int, j int, dec array<double>")
+    key = lambda df: sorted((r["g"], r["rank"], r["other"], round(r["d"], 9)) for r in df.collect())
+    assert key(geometry.nearest_blocks(atoms, 5, chunk)) == key(geometry.nearest(geometry.chordal(atoms), 5))

@@ -7,8 +7,10 @@ chain has two states, text and other; Viterbi gives the best sequence for a page
 
 The weights are trained here, by gradient steps on the exact likelihood, on labelled pages:
 templates of many layouts (menus, headers, sidebars, notices, adverts, forms, comments,
-footers, with semantic tags or only with telling class names) filled with sentences of the
-given pages' own words.  That sample is bounded by ``TRAINING_PAGES``.
+footers, hidden parts, before, after and inside the main element; main elements with
+semantic tags, with telling names or with none, tables, plain divisions and bare lines)
+filled with sentences of the given pages' own words.  That sample is bounded by
+``TRAINING_PAGES``.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import html
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -33,8 +36,8 @@ SAMPLE_PAGES = 200
 TRAINING_PAGES = 500
 #: Distinct words of those pages that templates are made of, at most (by smallest hash).
 SAMPLE_WORDS = 20_000
-#: Nearest ancestors, and words of one's attributes, that a block's features look at.
-ANCESTORS = 64
+#: Blocks of a page whose weights are looked up at a time.
+RUN = 256
 SLOTS = 1 << 13
 EPOCHS = 10
 RATE = 0.5
@@ -63,23 +66,22 @@ WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 class Node:
     """An open element.  What blocks need of its ancestors is kept here once, not in every block."""
 
-    __slots__ = ("parent", "tag", "words", "is_block", "inside", "scope", "inline", "slots")
+    __slots__ = ("parent", "tag", "is_block", "inside", "scope", "inline", "marks")
 
     def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...]):
-        self.parent, self.tag, self.words = parent, tag, words
+        self.parent, self.tag = parent, tag
         self.is_block = parent is None or tag in BLOCK_TAGS
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         #: The nearest block-level element, itself included, and the inline elements open in it.
         self.scope: Node = self if self.is_block else parent.scope
         self.inline: dict[str, int] = {}
-        self.slots: list[int] | None = None
-
-    def path(self, most: int) -> Iterator[Node]:
-        """Itself and its ancestors, the nearest ``most``."""
-        node: Node | None = self
-        while node is not None and node.parent is not None and most:
-            yield node
-            node, most = node.parent, most - 1
+        #: Slots of the tags and attribute words of itself and all ancestors, a bit each:
+        #: handed down, so that any depth costs the same and takes at most ``SLOTS`` bits.
+        self.marks: int = 0
+        if parent is not None:
+            self.marks = parent.marks | 1 << _slot("in:" + tag)
+            for w in words:
+                self.marks |= 1 << _slot("mark:" + w)
 
 
 @dataclass
@@ -210,33 +212,30 @@ def _slot(name: str) -> int:
     return zlib.crc32(name.encode()) % SLOTS
 
 
+@lru_cache(256)
+def _bits(marks: int) -> list[int]:
+    raw = np.frombuffer(marks.to_bytes(SLOTS // 8, "little"), np.uint8)
+    return np.flatnonzero(np.unpackbits(raw, bitorder="little")).tolist()
+
+
 ENDS = ".!?…。！？"
 NOTICE = ("cookie", "subscribe", "sign up", "log in", "sign in", "copyright", "©", "all rights reserved", "advert", "sponsored", "privacy", "newsletter", "share", "read more", "related", "reply", "comment", "javascript")
 
 
-def features(blocks: list[Block]) -> list[list[int]]:
-    """Slots of the features of each block of a page."""
+def features(blocks: list[Block]) -> Iterator[list[int]]:
+    """Slots of the features of each block of a page, one block after another."""
     n = len(blocks)
     main = any(b.node.inside for b in blocks)
-    out = []
     for i, b in enumerate(blocks):
-        tags = b.node.slots
-        if tags is None:
-            path = list(b.node.path(ANCESTORS))
-            names = {"leaf:" + next((x.tag for x in path if x.is_block), "-")}
-            for x in path:
-                names.add("in:" + x.tag)
-                names.update("mark:" + w for w in x.words[:ANCESTORS])
-            names.add("main:" + ("in" if b.node.inside else "out" if main else "none"))
-            tags = b.node.slots = sorted(_slot(x) for x in names)
         words = b.text.count(" ") + 1
-        own = [f"words:{min(9, words.bit_length())}", f"links:{min(4, 5 * b.linked // max(1, len(b.text)))}", f"stops:{min(3, sum(map(b.text.count, ENDS)))}"]
+        where = "in" if b.node.inside else "out" if main else "none"
+        own = [f"leaf:{b.node.scope.tag or '-'}", f"main:{where}"]
+        own += [f"words:{min(9, words.bit_length())}", f"links:{min(4, 5 * b.linked // max(1, len(b.text)))}", f"stops:{min(3, sum(map(b.text.count, ENDS)))}"]
         own.append(f"place:{10 * i // n}")
         low = b.text.lower() if words < 60 else ""
         own.append("notice" if any(w in low for w in NOTICE) else "plain")
         own.append("ends" if b.text[-1] in ENDS else "open")
-        out.append([*tags, *map(_slot, own)])
-    return out
+        yield [*_bits(b.node.marks), *map(_slot, own)]
 
 
 @dataclass
@@ -246,15 +245,20 @@ class Chain:
     emit: np.ndarray
     move: np.ndarray
 
-    def scores(self, page: list[list[int]]) -> np.ndarray:
-        sizes = [len(f) for f in page]
-        return np.add.reduceat(self.emit[[x for f in page for x in f]], np.cumsum([0, *sizes[:-1]]), axis=0)
-
-    def viterbi(self, page: list[list[int]]) -> list[int]:
-        if not page:
+    def scores(self, page: Iterable[list[int]]) -> np.ndarray:
+        """Weights of each block's states; slots are held for ``RUN`` blocks at a time."""
+        page, out = iter(page), [np.zeros((0, 2))]
+        while run := list(islice(page, RUN)):
+            sizes = [len(f) for f in run]
+            out.append(np.add.reduceat(self.emit[[x for f in run for x in f]], np.cumsum([0, *sizes[:-1]]), axis=0))
+        return np.concatenate(out)
+
+    def viterbi(self, page: Iterable[list[int]]) -> list[int]:
+        scores = self.scores(page).tolist()
+        if not scores:
             return []
         (m00, m01), (m10, m11) = self.move.tolist()
-        first, *rest = self.scores(page).tolist()
+        first, *rest = scores
         (v0, v1), back = first, []
         for x0, x1 in rest:
             a0, b0, a1, b1 = v0 + m00, v1 + m10, v0 + m01, v1 + m11
@@ -314,17 +318,26 @@ _FRAMES = (
     '<nav class="{c}"><ul><li><a href="/x">{s}</a></li><li><a href="/y">{s}</a></li></ul></nav>|nav menu top bar',
     '<aside class="{c}"><h3>{s}</h3><p>{t}</p><ul><li><a href="/a">{s}</a></li></ul></aside>|sidebar widget related-posts box teaser',
     '<div class="{c}"><h4>{s}</h4><p>{t}</p></div>|sidebar side-bar widget related recommended more-stories promo teaser rail trending popular author-bio newsletter signup',
-    '<div class="{c}">{t}</div>|ad ads advert advertisement sponsored sponsor banner-ad promo commercial',
+    '<div class="{c}">{t}</div>|ad ads ad-slot ad-unit advert advertisement sponsored sponsor banner-ad promo commercial',
+    '<p class="{c}">{t}</p>|ad advert advertisement sponsored promo notice disclaimer newsletter signup cookie-notice',
     '<div id="{c}"><p>{t}</p><button>{s}</button></div>|cookie-notice cookie-banner consent notice gdpr alert popup modal overlay',
     '<div class="{c}" role="dialog">{t} <a href="/ok">{s}</a></div>|cookie-consent privacy-notice notice modal message',
     '<form class="{c}" action="/s"><label>{s}</label><input name="q"><p>{t}</p><button>{s}</button></form>|search-form subscribe login contact newsletter-form comment-form',
     '<section class="{c}"><h3>{s}</h3><div class="comment"><b>{s}</b><p>{t}</p></div><div class="comment"><p>{t}</p><p>{t}</p></div></section>|comments comment-list discussion responses replies',
     '<ol id="{c}"><li class="comment"><p>{t}</p></li><li class="comment"><p>{t}</p></li></ol>|comments commentlist disqus thread',
     '<div class="{c}"><article class="comment"><p>{t}</p></article><article class="comment"><p>{t}</p></article></div>|comments responses user-comments reader-comments',
+    '<div id="{c}"><h3>{s}</h3><p>{t}</p><p>{t}</p></div>|respond comments comment-area replies disqus-thread reviews responses',
+    '<div class="{c}"><p class="comment-meta">{s}</p><div class="comment-body">{t}</div><div class="comment-body"><p>{t}</p></div></div>|comments comment-thread replies discussion',
+    '<div class="{c}" hidden>{t}</div>|box inner panel text block',
+    '<div class="{c}" style="display:none"><p>{t}</p></div>|box inner panel text block',
+    '<div class="{c}"><a href="/i">{s}</a> | <a href="/c">{s}</a> | <a href="/p">{s}</a></div>|links bottom row line legal',
+    '<table class="{c}"><tr><td><a href="/i">{s}</a> | <a href="/c">{s}</a></td></tr></table>|links bottom row line menu',
     '<footer class="{c}"><p>&copy; {s}</p><p>{t}</p></footer>|site-footer footer bottom legal copyright',
     '<div class="{c}"><p>{t}</p><a href="/i">{s}</a></div>|footer page-footer bottom copyright legal social share sharing share-buttons',
 )
 _MAINS = ("<article>{m}</article>", "<main>{m}</main>", '<main><article class="post">{m}</article></main>', '<div class="{c}">{m}</div>', '<section id="{c}"><div class="inner">{m}</div></section>', '<div id="page"><div class="{c}">{m}</div></div>')
+#: Main elements whose markup tells nothing.
+_BARE = ("{m}", "<div>{m}</div>", '<div class="x1"><div class="x2">{m}</div></div>', '<div id="page">{m}</div>', "<table><tr><td>{m}</td></tr></table>", "<table><tr><td>{b}</td><td>{m}</td></tr></table>", "<center><table><tbody><tr><td><div>{m}</div></td></tr></tbody></table></center>")
 _MAIN_NAMES = "content article-body post-content entry-content main-content story text body article post entry story-body page-content".split()
 MARK = "⁠"
 
@@ -338,38 +351,57 @@ def template(rng: np.random.Generator, sentences: list[str]) -> str:
     def short():
         return html.escape(" ".join(sentences[int(rng.integers(0, len(sentences)))].split()[: int(rng.integers(1, 4))]))
 
-    def other():
-        markup, names = _FRAMES[int(rng.integers(0, len(_FRAMES)))].split("|")
-        names = names.split()
-        markup = markup.replace("{c}", names[int(rng.integers(0, len(names)))] if rng.random() < 0.9 else "x" + str(int(rng.integers(100))))
+    def pick(of):
+        return of[int(rng.integers(0, len(of)))]
+
+    def other(telling=0.9):
+        markup, names = pick(_FRAMES).rsplit("|", 1)
+        name = pick(names.split()) if rng.random() < telling else "x" + str(int(rng.integers(100)))
+        markup = markup.replace("{c}", name)
         if markup.startswith(("<nav", "<header", "<aside", "<footer", "<form")) and rng.random() < 0.5:
-            markup = re.sub(r'^(<\w+)[^>]*', r"\1", markup)
+            markup = re.sub(r"^(<\w+)[^>]*", r"\1", markup)
         while "{t}" in markup or "{s}" in markup:
-            markup = markup.replace("{t}", text(int(rng.integers(1, 4))), 1).replace("{s}", short(), 1)
+            notice = pick(NOTICE) + " " if rng.random() < 0.4 else ""
+            markup = markup.replace("{t}", notice + text(int(rng.integers(1, 4))), 1).replace("{s}", short(), 1)
         return markup
 
+    bare = rng.random() < 0.35
+    # Paragraphs of a page: with their tag, as plain divisions, or as lines.
+    style = pick(("p", "p", "div", "br")) if bare else "p"
+
+    def paragraph(t):
+        if style == "p":
+            return f"<p>{MARK}{t}</p>"
+        return f'<div class="x{int(rng.integers(9))}">{MARK}{t}</div>' if style == "div" else f"{MARK}{t}<br>"
+
     parts = []
     if rng.random() < 0.8:
         parts.append(f"<h1>{MARK}{short()}</h1>")
     for _ in range(int(rng.integers(1, 12))):
         kind = rng.random()
-        if kind < 0.7:
-            parts.append(f"<p>{MARK}{text(int(rng.integers(1, 8)))}</p>")
-        elif kind < 0.78:
+        if kind < 0.59:
+            parts.append(paragraph(text(int(rng.integers(1, 8)))))
+        elif kind < 0.65:
+            # Articles use the words of notices too, and may end in a licence line.
+            parts.append(paragraph(pick(NOTICE).capitalize() + "." if rng.random() < 0.5 else f"{text(1)} {pick(NOTICE)} {text(1)}"))
+        elif kind < 0.73:
             parts.append(f"<p><b>{MARK}{text(1)}<br><p>{MARK}{text(2)}</p>")
-        elif kind < 0.84:
+        elif kind < 0.79:
             parts.append(f"<h2>{MARK}{short()}</h2>")
-        elif kind < 0.9:
+        elif kind < 0.85:
             parts.append("<ul>" + "".join(f"<li>{MARK}{text(1)}</li>" for _ in range(3)) + "</ul>")
-        elif kind < 0.94:
+        elif kind < 0.89:
             parts.append(f"<blockquote>{MARK}{text(2)}</blockquote>")
-        elif kind < 0.97:
+        elif kind < 0.92:
             parts.append(f'<p>{MARK}{text(1)} <a href="/r">{short()}</a> {text(1)}</p>')
         else:
-            parts.append(other())
-    main = _MAINS[int(rng.integers(0, len(_MAINS)))].replace("{c}", _MAIN_NAMES[int(rng.integers(0, len(_MAIN_NAMES)))]).replace("{m}", "".join(parts))
-    before, after = ("".join(other() for _ in range(int(rng.integers(0, 4)))) for _ in range(2))
-    return f"<html><head><title>{short()}</title></head><body>{before}{main}{after}</body></html>"
+            parts.append(other(1.0))
+    # Unwanted parts stand at the ends of the main element as often as around it.
+    inner = ["".join(other(1.0) for _ in range(int(rng.integers(0, 3)))) if rng.random() < 0.5 else "" for _ in range(2)]
+    body = inner[0] * (rng.random() < 0.4) + "".join(parts) + inner[1]
+    around = ["".join(other() for _ in range(int(rng.integers(0, 4)))) for _ in range(2)]
+    main = pick(_BARE if bare else _MAINS).replace("{c}", pick(_MAIN_NAMES)).replace("{b}", other(1.0)).replace("{m}", body)
+    return f"<html><head><title>{short()}</title></head><body>{around[0]}{main}{around[1]}</body></html>"
 
 
 def labelled(page: str) -> tuple[list[list[int]], list[int]]:
@@ -378,7 +410,7 @@ def labelled(page: str) -> tuple[list[list[int]], list[int]]:
     gold = [int(b.text.startswith(MARK)) for b in blocks]
     for b in blocks:
         b.text = b.text.replace(MARK, "") or "-"
-    return features(blocks), gold
+    return list(features(blocks)), gold
 
 
 def fit(pages: DataFrame, column="html", sample_pages=SAMPLE_PAGES, training_pages=TRAINING_PAGES, seed=SEED) -> Chain:

@@ -38,6 +38,60 @@ def test_leaves_out(chain, other):
     assert crf.main_text(_page("", ARTICLE, other), chain) == WANT
 
 
+INSIDE = [
+    '<section class="comments"><h3>Comments</h3><div class="comment"><p>I think this is a good text.</p></div></section>',
+    '<div class="ad-slot">Buy now and save a lot of money.</div>',
+    '<div hidden>Text that is not shown to anybody.</div>',
+    '<div class="sidebar"><p>Some other story to read here.</p></div>',
+    '<aside><h3>Related</h3><p>Some other story to read.</p></aside>',
+    '<div class="newsletter signup"><p>Get our stories by mail every day.</p></div>',
+    '<div id="respond"><h3>3 replies</h3><p>I think this is a good text.</p></div>',
+    "<footer><p>Filed under news by the editor.</p></footer>",
+]
+
+
+@pytest.mark.parametrize("other", INSIDE)
+def test_leaves_out_inside_the_article(chain, other):
+    assert crf.main_text(_page("", ARTICLE.replace("</article>", other + "</article>"), ""), chain) == WANT
+
+
+BODY = ["The harbour was built in the last century.", "Ships of many countries came to it, and traders lived in the town.", "Today it is a quiet place with a museum. Few ships come."]
+MENU = '<div class="menu"><a href="/">Home</a> <a href="/n">News</a></div>'
+FOOT = '<div class="footer">Copyright 2024. All rights reserved.</div>'
+# Layouts that no template has: (page, text of the article).
+HELD_OUT = [
+    (MENU + "".join(f'<div class="a{i}">{t}</div>' for i, t in enumerate(BODY)) + FOOT, BODY),
+    (MENU + "<br>".join(BODY) + FOOT, BODY),
+    ("<table><tr><td>" + MENU + "</td></tr><tr><td>" + "".join(f"<p>{t}</p>" for t in BODY) + '</td></tr><tr><td><a href="/c">Contact us</a> | <a href="/i">Imprint</a></td></tr></table>', BODY),
+    ('<div class="wrap"><div role="navigation"><ul><li><a href="/">Home</a></li></ul></div><div class="col-8">' + "".join(f"<p>{t}</p>" for t in BODY) + "</div></div>" + FOOT, BODY),
+    ("<main>" + "".join(f"<p>{t}</p>" for t in BODY) + '</main><div id="respond"><p>3 replies to this text</p><p>I think this is good.</p></div>', BODY),
+    ("<main><section>" + "".join(f"<p>{t}</p>" for t in BODY) + '</section><div class="related-links"><p>More stories to read.</p></div></main>', BODY),
+    ('<article><div class="share-buttons"><a href="/f">Post</a></div>' + "".join(f"<p>{t}</p>" for t in BODY) + '<div class="comments-area"><p>Nice text.</p></div></article>', BODY),
+    ('<section class="post-body">' + "".join(f"<p>{t}</p>" for t in BODY) + '</section><div class="cookie-bar">We use cookies.</div>', BODY),
+]
+
+
+def test_held_out_layouts(chain):
+    """F1 of words over layouts that differ from the templates; no page may come out empty."""
+    from collections import Counter
+
+    hit = found = wanted = 0
+    for page, body in HELD_OUT:
+        got, want = Counter(crf.main_text(f"<html><body>{page}</body></html>", chain).split()), Counter(" ".join(body).split())
+        assert got, page
+        hit, found, wanted = hit + (got & want).total(), found + got.total(), wanted + want.total()
+    assert 2 * hit / (found + wanted) > 0.97
+
+
+def test_an_ancestor_counts_at_any_depth(chain):
+    page = "<nav>" + "<div>" * 300 + "Some other story to read here." + "</div>" * 300 + "</nav>"
+    assert crf.main_text(_page(page, ARTICLE, ""), chain) == WANT
+    marks = crf.leaf_blocks(page)[0].node.marks
+    assert marks >> crf._slot("in:nav") & 1
+    wide = crf.leaf_blocks("".join(f'<div class="c{chr(97 + i % 26) * (1 + i // 26)}">x' for i in range(2000)))
+    assert len(wide) == 2000 and max(b.node.marks.bit_length() for b in wide) <= crf.SLOTS
+
+
 def test_given_pages(spark, sf, chain):
     """The tables' own layout: all of the article element and nothing else."""
     import html
@@ -90,7 +144,7 @@ def test_work_is_linear_in_the_page():
 
     def seconds(page):
         at = time.process_time()
-        crf.features(crf.leaf_blocks(page))
+        crf.main_text(page, crf.Chain(np.zeros((crf.SLOTS, 2)), np.zeros((2, 2))))
         return time.process_time() - at
 
     for unit in ('<div class="a b">x', "<i><b>x", "</i></div>x", "<i>x</b>", "<p title='", '<p a="', "<!--", "<li><b>x"):
@@ -100,7 +154,7 @@ def test_work_is_linear_in_the_page():
 
 def test_deep_and_hidden_attributes():
     deep = crf.leaf_blocks("<article>" + "<div>" * 200 + "x")
-    assert deep[0].node.inside and len(crf.features(deep)[0]) < 20
+    assert deep[0].node.inside and len(next(crf.features(deep))) < 20
     assert crf._attribute_words(' data-class="no" CLASS="Foo-bar" hidden') == ("foo", "bar", "hidden")
 
 

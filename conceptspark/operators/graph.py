@@ -90,35 +90,3 @@ def double_centred(distances: DataFrame) -> DataFrame:
     grand = d2.agg(F.avg("d2").alias("m"))
     out = d2.join(row, "i").join(row.select(F.col("i").alias("j"), F.col("ri").alias("rj")), "j").crossJoin(F.broadcast(grand))
     return out.select("i", "j", (-0.5 * (F.col("d2") - F.col("ri") - F.col("rj") + F.col("m"))).alias("b"))
-
-
-#: Concepts whose full spectrum is worked out at most (a hash sample of more).
-SPECTRUM = 600
-
-
-def spectrum(distances: DataFrame, most: int = SPECTRUM) -> tuple[np.ndarray, np.ndarray, list]:
-    """Eigenvalues (falling), eigenvectors and ids of the double-centred matrix of at most ``most`` concepts."""
-    ids = [r["i"] for r in distances.select("i").distinct().orderBy(F.md5(F.col("i").cast("string").cast("binary"))).limit(most).collect()]
-    at = {g: k for k, g in enumerate(sorted(ids))}
-    few = distances.where(F.col("i").isin(ids) & F.col("j").isin(ids))
-    b = np.zeros((len(ids), len(ids)))
-    for r in double_centred(few).collect():
-        b[at[r["i"]], at[r["j"]]] = r["b"]
-    values, vectors = np.linalg.eigh((b + b.T) / 2)
-    return values[::-1], vectors[:, ::-1], sorted(ids)
-
-
-def classical_mds(distances: DataFrame, method: str = "pca") -> DataFrame:
-    """(g, x, y) of classical scaling on at most ``SPECTRUM`` concepts."""
-    if method != "pca":
-        raise ValueError(f"unknown layout {method!r}")
-    values, vectors, ids = spectrum(distances)
-    xy = vectors[:, :2] * np.sqrt(np.maximum(values[:2], 0))
-    return distances.sparkSession.createDataFrame([(int(g), float(x), float(y)) for g, (x, y) in zip(ids, xy)], "g int, x double, y double")
-
-
-def embedding_quality(distances: DataFrame) -> tuple[float, int]:
-    """(share of the positive spectrum in two dimensions, dimensions that hold half of it)."""
-    values = np.maximum(spectrum(distances)[0], 0)
-    total = max(values.sum(), 1e-12)
-    return float(values[:2].sum() / total), int(np.searchsorted(np.cumsum(values) / total, 0.5) + 1)

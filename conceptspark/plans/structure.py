@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptspark.operators import artifact, cofiring, concepts, encode, geometry, graph, shapes, state, train
+from conceptspark.operators import artifact, cofiring, concepts, encode, geometry, graph, layout, shapes, state, train
 from conceptspark.plans import bindings as b
 from conceptspark.runtime import shared_folder, stored
 from conceptspark.streaming import running
@@ -175,7 +175,7 @@ def _all_pairs(spark, sf):
 
 
 def classical_mds(spark, sf):
-    return graph.classical_mds(_all_pairs(spark, sf))
+    return layout.classical_mds(b.atoms(spark, sf))
 
 
 def double_centred(spark, sf):
@@ -194,7 +194,7 @@ def overlay_values(spark, sf):
 
 
 def embedding_quality(spark, sf):
-    share, half = graph.embedding_quality(_all_pairs(spark, sf))
+    share, half = layout.embedding_quality(b.atoms(spark, sf))
     return spark.createDataFrame([(share, half)], "share_in_two double, dims_for_half int")
 
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conceptspark.operators.cofiring import both_ways
+from conceptspark.operators.quantiles import percentiles
 from conceptspark.runtime import stored
 
 
@@ -36,17 +37,82 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return components(edges).groupBy("component").agg(F.count("*").alias("size"))
 
 
-def spectral_layout(edges: DataFrame, concepts: DataFrame, rounds: int = 25, seed: int = 0) -> DataFrame:
-    """(g, x, y, component) of every concept.
+def _sums(table: DataFrame, columns: list[str], width: int) -> dict[str, np.ndarray]:
+    """For each named array column y, the matrix of the sums of v[a] * y[b] over all rows."""
+    at = [(c, i, j) for c in columns for i in range(width) for j in range(width)]
+    row = table.agg(*[F.sum(F.get("v", F.lit(i)) * F.get(c, F.lit(j))).alias(f"s{n}") for n, (c, i, j) in enumerate(at)]).first()
+    out = {c: np.zeros((width, width)) for c in columns}
+    for n, (c, i, j) in enumerate(at):
+        out[c][i, j] = row[n] or 0.0
+    return out
+
+
+def _mix(column: str, by: np.ndarray) -> Column:
+    """An array column times a small matrix."""
+    return F.array(*[sum((F.get(column, F.lit(i)) * float(by[i, j]) for i in range(len(by))), F.lit(0.0)) for j in range(by.shape[1])])
+
+
+def leading_vectors(matrix: DataFrame, nodes: DataFrame, rounds: int = 60, tol: float = 1e-5) -> tuple[DataFrame, np.ndarray, float]:
+    """(table (g, r, v), eigenvalues, residual) of the second and third eigenvectors of half (I + M).
+
+    ``matrix`` is M = D^-1/2 A D^-1/2 as (g, other, m), both ways; ``nodes`` (g, r, a, b) has
+    the roots of the degrees, which are M's first eigenvector and are kept out, and two start
+    vectors.  Vectors are rows of tables throughout: a round writes one product and sends
+    sums of at most 6 x 6 numbers to the driver, which finds the best two vectors among the
+    current ones, their residuals and the last step.  It ends when the residual is below
+    ``tol`` or after ``rounds``.
+    """
+    whole = nodes.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
+
+    def deflated(rows: DataFrame, column: str, n: int) -> DataFrame:
+        own = rows.agg(*[F.sum(F.get(column, F.lit(i)) * F.col("r")) for i in range(n)]).first()
+        return rows.withColumn(column, F.array(*[F.get(column, F.lit(i)) - F.col("r") * float((own[i] or 0.0) / whole) for i in range(n)]))
+
+    def product(rows: DataFrame, column: str, n: int) -> DataFrame:
+        """``rows`` with hv, half (I + M) times ``column``."""
+        near = rows.select(F.col("g").alias("other"), F.col(column).alias("y"))
+        sums = matrix.join(near, "other").groupBy("g").agg(*[F.sum(F.col("m") * F.get("y", F.lit(i))).alias(f"y{i}") for i in range(n)])
+        hv = F.array(*[(F.get(column, F.lit(i)) + F.coalesce(F.col(f"y{i}"), F.lit(0.0))) / 2 for i in range(n)])
+        return rows.join(sums, "g", "left").withColumn("hv_new", hv).drop(*[f"y{i}" for i in range(n)])
+
+    start = nodes.select("g", "r", F.array("a", "b").alias("v"))
+    now = stored(product(deflated(start, "v", 2), "v", 2).withColumnRenamed("hv_new", "hv"), "layout-vectors")
+    width = 2
+    while True:
+        sums = _sums(now, ["v", "hv"], width)
+        # An orthonormal basis of the space, without directions that hold nothing.
+        scale = 1 / np.sqrt(np.maximum(np.diag(sums["v"]), 1e-300))
+        have, turn = np.linalg.eigh(sums["v"] * scale[:, None] * scale)
+        basis = (scale[:, None] * turn / np.sqrt(np.maximum(have, 1e-300)))[:, have > 1e-10]
+        held = basis.T @ ((sums["hv"] + sums["hv"].T) / 2) @ basis
+        values, best = np.linalg.eigh(held)
+        values, best = values[::-1][:2], (basis @ best[:, ::-1])[:, :2]
+        n = best.shape[1]
+        step = best.copy()
+        step[:2] = 0
+        kept = now.select("g", "r", _mix("v", best).alias("v"), _mix("hv", best).alias("hv"), *([_mix("v", step).alias("p"), _mix("hv", step).alias("hp")] if width > 2 else []))
+        off = F.array(*[F.get("hv", F.lit(i)) - F.get("v", F.lit(i)) * float(values[i]) for i in range(n)])
+        kept = kept.withColumn("w", off)
+        left = kept.agg(*[F.sum(F.get("w", F.lit(i)) * F.get("w", F.lit(i))) for i in range(n)]).first()
+        residual = float(np.sqrt(max(left)))
+        rounds -= 1
+        if residual <= tol or rounds <= 0:
+            return kept.select("g", "r", "v"), values, residual
+        grown = product(deflated(kept, "w", n), "w", n)
+        more = ["p"] if width > 2 else []
+        now = stored(grown.select("g", "r", F.concat("v", "w", *more).alias("v"), F.concat("hv", "hv_new", *["h" + c for c in more]).alias("hv")), "layout-vectors")
+        width = n * (2 + len(more))
+
+
+def spectral_layout(edges: DataFrame, concepts: DataFrame, rounds: int = 60, tol: float = 1e-5, seed: int = 0) -> DataFrame:
+    """(g, x, y, component, residual) of every concept.
 
     The giant component is laid out by the second and third eigenvectors of
-    half (I + D^-1/2 A D^-1/2), by orthogonal iteration with the known first one deflated.
-    Each product with the matrix is a Spark job over the edges; the two vectors, of one
-    number per concept, stand on the driver as a model's parameters do.  Coordinates are
-    scaled by their 98th percentile and clipped at 1.5.  Other concepts stand on a ring of
-    radius 2 to 2.25, or on the unit circle where there are no edges.
+    half (I + D^-1/2 A D^-1/2), found by ``leading_vectors``, whose residual stands in every
+    row of that component.  Coordinates are scaled by their 98th percentile and clipped at
+    1.5.  Other concepts stand on a ring of radius 2 to 2.25, or on the unit circle where
+    there are no edges.
     """
-    spark = edges.sparkSession
     links = stored(both_ways(edges), "layout-links")
     every = concepts.select("g").distinct()
 
@@ -55,32 +121,26 @@ def spectral_layout(edges: DataFrame, concepts: DataFrame, rounds: int = 25, see
         return F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
 
     angle = unit("angle") * (2 * math.pi)
+    nothing = F.lit(None).cast("double").alias("residual")
     if links.limit(1).count() == 0:
-        return every.select("g", F.cos(angle).alias("x"), F.sin(angle).alias("y"), F.lit(None).cast("int").alias("component"))
+        return every.select("g", F.cos(angle).alias("x"), F.sin(angle).alias("y"), F.lit(None).cast("int").alias("component"), nothing)
     parts = stored(components(edges), "layout-parts")
     giant = parts.groupBy("component").agg(F.count("*").alias("size")).orderBy(F.col("size").desc(), "component").first()
     inside = parts.where(F.col("component") == giant["component"]).select("g")
     own = links.join(inside, "g", "left_semi")
-    nodes = own.groupBy("g").agg(F.sum("w").alias("deg"), F.max(unit("x") - 0.5).alias("a"), F.max(unit("y") - 0.5).alias("b")).orderBy("g").toPandas()
-    ids = [int(g) for g in nodes["g"]]
-    root = np.sqrt(nodes["deg"].to_numpy())
-    first = root / np.linalg.norm(root)
-    xy = np.zeros((len(ids), 2))
+    nodes = stored(own.groupBy("g").agg(F.sqrt(F.sum("w")).alias("r"), F.max(unit("x") - 0.5).alias("a"), F.max(unit("y") - 0.5).alias("b")), "layout-nodes")
     if giant["size"] >= 3:
-        deg = spark.createDataFrame([(g, float(r)) for g, r in zip(ids, root)], "g int, r double")
-        matrix = stored(own.join(deg, "g").join(deg.select(F.col("g").alias("other"), F.col("r").alias("o")), "other").select("g", "other", (F.col("w") / F.col("r") / F.col("o")).alias("m")), "layout-matrix")
-        v = nodes[["a", "b"]].to_numpy()
-        for _ in range(rounds):
-            v = np.linalg.qr(v - np.outer(first, first @ v))[0]
-            now = spark.createDataFrame([(g, float(a), float(b)) for g, (a, b) in zip(ids, v)], "other int, a double, b double")
-            prod = matrix.join(F.broadcast(now), "other").groupBy("g").agg(F.sum(F.col("m") * F.col("a")).alias("a"), F.sum(F.col("m") * F.col("b")).alias("b")).orderBy("g").toPandas()
-            v = (v + prod[["a", "b"]].to_numpy()) / 2
-        v = np.linalg.qr(v - np.outer(first, first @ v))[0] / root[:, None]
-        xy = np.clip(v / np.maximum(np.percentile(np.abs(v), 98, axis=0), 1e-12), -1.5, 1.5)
-    flat = spark.createDataFrame([(g, float(x), float(y)) for g, (x, y) in zip(ids, xy)], "g int, x double, y double")
+        far = nodes.select(F.col("g").alias("other"), F.col("r").alias("o"))
+        matrix = stored(own.join(nodes.select("g", "r"), "g").join(far, "other").select("g", "other", (F.col("w") / F.col("r") / F.col("o")).alias("m")), "layout-matrix")
+        vectors, _, residual = leading_vectors(matrix, nodes, rounds, tol)
+        raw = stored(vectors.select("g", *[(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) / F.col("r")).alias(c) for i, c in enumerate("xy")]), "layout-places")
+        cap = [percentiles(raw.select(F.abs(c).alias("n")), "n", [0.98]).first()["q"][0] for c in "xy"]
+        flat = raw.select("g", *[F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.col(c) / (cap[i] if cap[i] > 1e-12 else 1.0))).alias(c) for i, c in enumerate("xy")], F.lit(residual).alias("residual"))
+    else:
+        flat = nodes.select("g", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), nothing)
     radius = 2 + 0.25 * unit("radius")
-    rest = every.join(inside, "g", "left_anti").select("g", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"))
-    return flat.unionByName(rest).join(parts, "g", "left").select("g", "x", "y", "component")
+    rest = every.join(inside, "g", "left_anti").select("g", (radius * F.cos(angle)).alias("x"), (radius * F.sin(angle)).alias("y"), nothing)
+    return flat.unionByName(rest).join(parts, "g", "left").select("g", "x", "y", "component", "residual")
 
 
 def double_centred(distances: DataFrame) -> DataFrame:

@@ -200,7 +200,7 @@ def embedding_quality(spark, sf):
 
 def map_nodes(spark, sf):
     fr = b.firings(spark, sf)
-    place = graph.spectral_layout(cofiring.edges(fr, 0.1), b.atoms(spark, sf).select("g").distinct(), rounds=5)
+    place = graph.spectral_layout(cofiring.edges(fr, 0.1), b.atoms(spark, sf).select("g").distinct())
     first = concepts.top_examples(fr, 1).select("g", F.concat_ws(":", "unit", "pos").alias("top_token"))
     n = b.acts(spark, sf).count()
     return place.join(concepts.fire_stats(fr, n), "g", "left").join(first, "g", "left").select("g", "x", "y", "component", "fire_rate", F.log10(F.greatest("fire_rate", F.lit(1e-6))).alias("log_rate"), "top_token")

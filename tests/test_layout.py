@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from conceptspark.operators import geometry, layout
+from conceptspark.operators import geometry, graph, layout
 
 
 def _atoms(spark, blocks):
@@ -83,3 +83,37 @@ def test_distances_of_places_are_the_chordal_ones(spark):
     at = {r["g"]: np.array(r["x"]) for r in p.places(v).collect()}
     for r in geometry.chordal(atoms).collect():
         assert np.linalg.norm(at[r["i"]] - at[r["j"]]) == pytest.approx(r["d"], abs=1e-6)
+
+
+def _graph(n, seed):
+    """A random weighted graph of three loose groups, and its matrix half (I + D^-1/2 A D^-1/2)."""
+    rng = np.random.default_rng(seed)
+    group = np.arange(n) % 3
+    near = np.where(group[:, None] == group, 0.5, 0.05)
+    a = np.triu(rng.random((n, n)) * (rng.random((n, n)) < near), 1)
+    a[np.arange(n - 1), np.arange(1, n)] = np.maximum(a[np.arange(n - 1), np.arange(1, n)], 0.05)
+    a += a.T
+    root = np.sqrt(a.sum(axis=1))
+    return a, root, (np.eye(n) + a / root / root[:, None]) / 2
+
+
+@pytest.mark.parametrize("n", [4, 5, 90])
+def test_spectral_layout_against_the_dense_one(spark, n):
+    a, root, h = _graph(n, 3)
+    edges = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(n) for j in range(i + 1, n) if a[i, j]], "i int, j int, w double")
+    got = graph.spectral_layout(edges, spark.range(n).selectExpr("cast(id as int) as g"), tol=1e-7).orderBy("g").toPandas()
+    values, vectors = np.linalg.eigh(h)
+    assert (got["residual"] <= 1e-7).all() and got["component"].eq(0).all()
+    for c, name in ((-2, "x"), (-3, "y")):
+        want = vectors[:, c] / root
+        want = np.clip(want / np.percentile(np.abs(want), 98), -1.5, 1.5)
+        here = got[name].to_numpy()
+        np.testing.assert_allclose(here * np.sign(here @ want), want, atol=1e-4)
+
+
+def test_spectral_layout_stops_by_rounds_and_says_so(spark):
+    a, _, _ = _graph(60, 5)
+    edges = spark.createDataFrame([(i, j, float(a[i, j])) for i in range(60) for j in range(i + 1, 60) if a[i, j]], "i int, j int, w double")
+    every = spark.range(60).selectExpr("cast(id as int) as g")
+    few, more = (graph.spectral_layout(edges, every, rounds=r, tol=0).first()["residual"] for r in (2, 8))
+    assert 0 < more < few

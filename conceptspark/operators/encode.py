@@ -8,12 +8,14 @@ to hold the Arrow form against.
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 FIRES = 1e-6
@@ -140,6 +142,34 @@ def firings(acts: DataFrame, model: Dictionary, gate: Gate) -> DataFrame:
     return acts.select(F.col("token_id").cast("long"), F.col("unit").cast("string"), F.col("pos").cast("int"), "x").mapInArrow(run, FIRINGS)
 
 
+class Progress:
+    """What a pass of ``firings`` went through; its numbers are there once an action has run.
+
+    They are counted on the way (``DataFrame.observe``), so they cost no second pass.
+    """
+
+    def __init__(self):
+        self.rows, self.fired = Observation(), Observation()
+
+    def get(self) -> dict[str, float]:
+        """n_rows, n_firings, sum_act, max_act and mean_l0; waits for the first action to end."""
+        out = {**self.rows.get, **self.fired.get}
+        return {**out, "sum_act": out["sum_act"] or 0.0, "mean_l0": out["n_firings"] / max(out["n_rows"], 1)}
+
+
+def firings_with_progress(acts: DataFrame, model: Dictionary, gate: Gate, report: Callable[[str, dict], None] | None = None) -> tuple[DataFrame, Progress]:
+    """``firings`` and its ``Progress``.  Retried or speculative tasks count once.
+
+    ``report`` is called with a name and the numbers when the first action ends.
+    """
+    progress = Progress()
+    rows = acts.observe(progress.rows, F.count(F.lit(1)).alias("n_rows"))
+    out = firings(rows, model, gate).observe(progress.fired, F.count(F.lit(1)).alias("n_firings"), F.sum("act").alias("sum_act"), F.max("act").alias("max_act"))
+    if report is not None:
+        threading.Thread(target=lambda: report("encode", progress.get()), daemon=True).start()
+    return out, progress
+
+
 def reconstruct(acts: DataFrame, model: Dictionary, gate: Gate) -> DataFrame:
     """(token_id, x, x_hat) in one narrow stage."""
 

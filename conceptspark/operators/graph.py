@@ -64,9 +64,12 @@ def leading_vectors(matrix: DataFrame, nodes: DataFrame, rounds: int = 60, tol:
     """
     whole = nodes.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
 
-    def deflated(rows: DataFrame, column: str, n: int) -> DataFrame:
-        own = rows.agg(*[F.sum(F.get(column, F.lit(i)) * F.col("r")) for i in range(n)]).first()
-        return rows.withColumn(column, F.array(*[F.get(column, F.lit(i)) - F.col("r") * float((own[i] or 0.0) / whole) for i in range(n)]))
+    def shares(column: str, n: int) -> list[Column]:
+        """How much of M's first eigenvector each of the vectors holds."""
+        return [F.sum(F.get(column, F.lit(i)) * F.col("r")) / whole for i in range(n)]
+
+    def deflated(rows: DataFrame, column: str, own) -> DataFrame:
+        return rows.withColumn(column, F.array(*[F.get(column, F.lit(i)) - F.col("r") * float(c or 0.0) for i, c in enumerate(own)]))
 
     def product(rows: DataFrame, column: str, n: int) -> DataFrame:
         """``rows`` with hv, half (I + M) times ``column``."""
@@ -76,7 +79,7 @@ def leading_vectors(matrix: DataFrame, nodes: DataFrame, rounds: int = 60, tol:
         return rows.join(sums, "g", "left").withColumn("hv_new", hv).drop(*[f"y{i}" for i in range(n)])
 
     start = nodes.select("g", "r", F.array("a", "b").alias("v"))
-    now = stored(product(deflated(start, "v", 2), "v", 2).withColumnRenamed("hv_new", "hv"), "layout-vectors")
+    now = stored(product(deflated(start, "v", start.agg(*shares("v", 2)).first()), "v", 2).withColumnRenamed("hv_new", "hv"), "layout-vectors")
     width = 2
     while True:
         sums = _sums(now, ["v", "hv"], width)
@@ -93,12 +96,12 @@ def leading_vectors(matrix: DataFrame, nodes: DataFrame, rounds: int = 60, tol:
         kept = now.select("g", "r", _mix("v", best).alias("v"), _mix("hv", best).alias("hv"), *([_mix("v", step).alias("p"), _mix("hv", step).alias("hp")] if width > 2 else []))
         off = F.array(*[F.get("hv", F.lit(i)) - F.get("v", F.lit(i)) * float(values[i]) for i in range(n)])
         kept = kept.withColumn("w", off)
-        left = kept.agg(*[F.sum(F.get("w", F.lit(i)) * F.get("w", F.lit(i))) for i in range(n)]).first()
-        residual = float(np.sqrt(max(left)))
+        left = kept.agg(*[F.sum(F.get("w", F.lit(i)) * F.get("w", F.lit(i))) for i in range(n)], *shares("w", n)).first()
+        residual = float(np.sqrt(max(left[:n])))
         rounds -= 1
         if residual <= tol or rounds <= 0:
             return kept.select("g", "r", "v"), values, residual
-        grown = product(deflated(kept, "w", n), "w", n)
+        grown = product(deflated(kept, "w", left[n:]), "w", n)
         more = ["p"] if width > 2 else []
         now = stored(grown.select("g", "r", F.concat("v", "w", *more).alias("v"), F.concat("hv", "hv_new", *["h" + c for c in more]).alias("hv")), "layout-vectors")
         width = n * (2 + len(more))
@@ -134,8 +137,9 @@ def spectral_layout(edges: DataFrame, concepts: DataFrame, rounds: int = 60, tol
         matrix = stored(own.join(nodes.select("g", "r"), "g").join(far, "other").select("g", "other", (F.col("w") / F.col("r") / F.col("o")).alias("m")), "layout-matrix")
         vectors, _, residual = leading_vectors(matrix, nodes, rounds, tol)
         raw = stored(vectors.select("g", *[(F.coalesce(F.get("v", F.lit(i)), F.lit(0.0)) / F.col("r")).alias(c) for i, c in enumerate("xy")]), "layout-places")
-        cap = [percentiles(raw.select(F.abs(c).alias("n")), "n", [0.98]).first()["q"][0] for c in "xy"]
-        flat = raw.select("g", *[F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.col(c) / (cap[i] if cap[i] > 1e-12 else 1.0))).alias(c) for i, c in enumerate("xy")], F.lit(residual).alias("residual"))
+        axes = raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.abs(c).alias("n")) for c in "xy"])).alias("a")).select("a.axis", "a.n")
+        cap = {r["axis"]: max(r["q"][0], 1e-12) for r in percentiles(axes, "n", [0.98], ["axis"]).collect()}  # two rows
+        flat = raw.select("g", *[F.greatest(F.lit(-1.5), F.least(F.lit(1.5), F.col(c) / cap[c])).alias(c) for c in "xy"], F.lit(residual).alias("residual"))
     else:
         flat = nodes.select("g", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), nothing)
     radius = 2 + 0.25 * unit("radius")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -86,3 +89,36 @@ def epoch_batches(acts: DataFrame, batch: int, seed: int = 0, epoch: int = 0, ra
     ranked = rows.withColumn("at", at).join(F.broadcast(offsets), "range")
     step = F.floor((F.col("offset") + F.col("at")) / batch)
     return ranked.withColumn("step", step).where(F.col("step") < F.floor(F.col("total") / batch)).drop("key", "range", "at", "offset", "total")
+
+
+def shuffle_buffer(acts: DataFrame, buffer_rows: int = 65_536, seed: int = 0, epoch: int = 0) -> DataFrame:
+    """The rows of ``acts``, those of each partition in a shuffled order, with no exchange.
+
+    A task keeps ``buffer_rows`` rows; each further row takes the place of one drawn at
+    random, which comes out, and at the end the buffer is drained shuffled.  The order is a
+    function of (seed, epoch, partition) and the partition's rows, so a task that is run
+    again gives the same.  A row comes out ``buffer_rows`` places early at most; for a uniform
+    order over the whole table use ``epoch_batches``.
+    """
+    if buffer_rows < 1:
+        raise ValueError("the buffer holds a row at least")
+
+    def run(batches):
+        rng = np.random.default_rng([seed, epoch, TaskContext.get().partitionId()])
+        kept = None
+        for b in batches:
+            rows = pa.Table.from_batches([b])
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            held = 0 if kept is None else kept.num_rows
+            full = min(buffer_rows, rows.num_rows)
+            slots = np.arange(full)
+            places = rng.integers(0, buffer_rows, rows.num_rows - full)
+            out = np.empty(len(places), dtype=np.int64)
+            for n, at in enumerate(places):
+                out[n], slots[at] = slots[at], max(held, full) + n
+            yield from rows.take(pa.array(out)).combine_chunks().to_batches()
+            kept = rows.take(pa.array(slots)).combine_chunks()
+        if kept is not None:
+            yield from kept.take(pa.array(rng.permutation(kept.num_rows))).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return acts.mapInArrow(run, acts.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from conceptspark.operators import concepts, encode, normalize
 from conceptspark.operators.state import softplus_theta
 from conceptspark.plans import bindings as b
-from conceptspark.runtime import table
+from conceptspark.runtime import stored, table
 
 
 def r6(c):
@@ -136,6 +136,21 @@ def recon_r2(spark, sf):
     return _sse(_reconstructed(spark, sf)).select(r6(1 - F.col("res") / F.greatest("tot", F.lit(1e-12))).alias("r2"))
 
 
+def shuffle_buffered(spark, sf):
+    """Rows through a buffer of 64: each comes out once, with its own vector."""
+    rows = normalize.shuffle_buffer(b.acts(spark, sf), 64, epoch=3)
+    return rows.select("token_id", "unit", "pos", r6(encode.dot(F.col("x"), F.col("x"))).alias("energy"))
+
+
+def encode_progress(spark, sf):
+    """What the encoder's one pass counted on the way, read after its firings are written."""
+    out, progress = encode.firings_with_progress(b.acts(spark, sf), _model(spark, sf), encode.TopK(b.L0))
+    stored(out, "firings")
+    one = progress.get()
+    rows = [(one["n_rows"], one["n_firings"], one["sum_act"], one["max_act"], one["mean_l0"])]
+    return spark.createDataFrame(rows, "n_rows long, n_firings long, sum_act double, max_act double, mean_l0 double").select("n_rows", "n_firings", *[r6(c).alias(c) for c in ("sum_act", "max_act", "mean_l0")])
+
+
 def mean_l0(spark, sf):
     n = table(spark, sf, "embeddings").count()
     fr = encode.firings(b.acts(spark, sf), _model(spark, sf), encode.Threshold(_theta(spark), 0.9))
@@ -171,7 +186,7 @@ _ORTHO = """, pair AS (SELECT a.g, a.dec AS b1, b.dec AS b2, sqrt(list_dot_produ
 QUERIES = {
     f.__name__: f
     for f in (norm_stats, norm_stats_drop_first, normalized_energy, position_mean_center, unit_row_counts, steps_per_epoch, first_units, inferred_d, epoch_batches, shuffle_epoch,
-              encode_topk, encode_threshold, encode_soft, encode_tied, unit_blocks, theta_softplus, decode_rows, reconstruct_sse, recon_r2, mean_l0, l21_penalty)
+              encode_topk, encode_threshold, encode_soft, encode_tied, unit_blocks, theta_softplus, decode_rows, reconstruct_sse, recon_r2, mean_l0, l21_penalty, shuffle_buffered, encode_progress)
 }
 _SELECT_STATS = "SELECT CAST(dim AS INTEGER) AS dim, round(mean, 6) AS mean, round((SELECT scale FROM one), 6) AS scale, n, (SELECT d FROM one) AS d FROM per"
 _CODES = "SELECT token_id, g, round(act, 6) AS act, round(c0 + 0.0, 6) AS c0, round(c1 + 0.0, 6) AS c1 FROM "
@@ -203,6 +218,8 @@ SELECT g, j, CAST(dim AS INTEGER) AS dim, round(v / norm, 6) AS v FROM flat JOIN
     "decode_rows": _F + _DEC + "SELECT token_id, CAST(dim AS INTEGER) AS dim, round(h + 0.0, 6) AS value FROM hat",
     "reconstruct_sse": _SSE + "SELECT round(res, 6) AS ss_res, round(tot, 6) AS ss_tot, n FROM sse",
     "recon_r2": _SSE + "SELECT round(1 - res / greatest(tot, 1e-12), 6) AS r2 FROM sse",
+    "shuffle_buffered": b.with_("acts") + "SELECT token_id, unit, pos, round(list_dot_product(x, x), 6) AS energy FROM acts",
+    "encode_progress": b.with_(*b.ENCODED) + "SELECT (SELECT count(*) FROM acts) AS n_rows, count(*) AS n_firings, round(sum(act), 6) AS sum_act, round(max(act), 6) AS max_act, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM acts), 6) AS mean_l0 FROM firings",
     "mean_l0": _W + f"SELECT round(count(*) FILTER (WHERE act / 0.9::DOUBLE > {_THETA} AND act > 1e-6) / (SELECT CAST(count(*) AS DOUBLE) FROM acts), 6) AS mean_l0 FROM norms",
     "l21_penalty": _W + f"SELECT round(sum(greatest(act - {_THETA}, 0)) / (SELECT CAST(count(*) AS DOUBLE) FROM acts), 6) AS l21 FROM norms WHERE act - {_THETA} > 1e-6",
 }

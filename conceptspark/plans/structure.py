@@ -276,7 +276,7 @@ def stream_silence(spark, sf):
     kept = running.BatchState(f"{out}/state")
     q = _event_stream(spark, sf).writeStream.foreachBatch(running.silence(kept)).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return kept.current(spark, running.SINCE)
+    return running.silence_now(spark, kept)
 
 
 QUERIES = {

@@ -5,7 +5,7 @@ block's span.  The double-centred matrix of all distances is therefore half the
 of the projectors less their mean, and its eigenvectors follow from d x d matrices V: a
 concept stands at <Pi - mean, V> / sqrt 2.  One product is one narrow pass over the blocks,
 whose tasks add up d x d sums, so the work grows with the number of blocks, not with its
-square, and what reaches the driver depends on d alone (a hundred d x d matrices at most).
+square, and what reaches the driver depends on d alone (some hundred d x d matrices; two dozen from d = 4000 on).
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from conceptspark.operators.geometry import bases
 from conceptspark.runtime import stored
 
-#: Columns of the search space before it is cut back, and rows of a sum that travel together.
-SPACE, PANEL = 48, 64
+#: Columns of the search space before it is cut back (three blocks where d is large), the
+#: numbers it may then hold, and rows of a sum that travel together.
+SPACE, NUMBERS, PANEL = 48, 200_000_000, 64
 
 
 class Projectors:
@@ -110,7 +111,7 @@ class Projectors:
             if left <= tol or rounds <= 0 or not w.shape[1]:
                 keep = values[:n] > floor
                 return values[:n][keep], v[:, :n][:, keep], left
-            if space.shape[1] + m > max(3 * m, SPACE):
+            if space.shape[1] + m > max(3 * m, min(SPACE, NUMBERS // max(size, 1))):
                 space, image = v, av
 
     def places(self, v: np.ndarray) -> DataFrame:

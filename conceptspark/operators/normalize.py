@@ -75,9 +75,11 @@ def shuffle_key(seed: int, epoch: int, key: str = "token_id") -> Column:
     return F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string")).cast("binary"))
 
 
-def epoch_batches(acts: DataFrame, batch: int, seed: int = 0, epoch: int = 0, ranges: int = 64) -> DataFrame:
+def epoch_batches(acts: DataFrame, batch: int, seed: int = 0, epoch: int = 0, ranges: int = 64, slot: str | None = None) -> DataFrame:
     """Each row's step in a shuffled epoch without replacement; the last partial batch is dropped.
 
+    ``slot`` names a column for the row's place in its batch.
+
     Rows are ranked within equal ranges of the hash key, and ranges offset by their
     counts, so that no single task orders the table.
     """
@@ -88,6 +90,8 @@ def epoch_batches(acts: DataFrame, batch: int, seed: int = 0, epoch: int = 0, ra
     at = F.row_number().over(W.partitionBy("range").orderBy("key", "token_id")) - 1
     ranked = rows.withColumn("at", at).join(F.broadcast(offsets), "range")
     step = F.floor((F.col("offset") + F.col("at")) / batch)
+    if slot is not None:
+        ranked = ranked.withColumn(slot, ((F.col("offset") + F.col("at")) % batch).cast("int"))
     return ranked.withColumn("step", step).where(F.col("step") < F.floor(F.col("total") / batch)).drop("key", "range", "at", "offset", "total")
 
 

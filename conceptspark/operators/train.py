@@ -3,7 +3,7 @@
 A step broadcasts the parameters, sums the gradient over its rows per task, adds the tasks'
 sums in two levels, and updates on the driver.  Sums and counts travel, never averages, so
 a step does not depend on the partitioning.  Parameters pass through the driver: their
-number is checked.
+number is checked.  ``train_blocks`` keeps them in tables, whatever their number.
 
 Gradients are written out by hand.  With e = x_hat - target and S = 2 e / (rows * d):
 dD = z^T S and da = (S D^T) masked by the gate; dW = x^T da, db = sum da.
@@ -98,28 +98,49 @@ class BlockModel:
     def decode(self, z: np.ndarray) -> np.ndarray:
         return np.einsum("ngk,gkd->nd", z, self.atoms())
 
+    def passes(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Which blocks are left with a code."""
+        return n > np.exp(self.params["log_theta"]) if self.kind == "soft" else self.gate(a)
+
+    def code(self, a: np.ndarray, on: np.ndarray) -> np.ndarray:
+        if self.kind == "soft":
+            t = np.exp(self.params["log_theta"])
+            return a * np.maximum(1 - t / np.maximum(_norms(a), 1e-8), 0)[:, :, None]
+        return a * on[:, :, None]
+
     def loss_and_grad(self, x: np.ndarray, target: np.ndarray, total: int, dead: np.ndarray | None = None) -> tuple[dict[str, float], Params]:
         """Sums over these rows of a step's loss and gradient, for a step of ``total`` rows."""
-        p, a = self.params, self.preact(x)
+        a = self.preact(x)
         n = _norms(a)
-        s_of = lambda e: 2 * e / (total * self.d)
+        on = self.passes(a, n)
+        e = self.decode(self.code(a, on)) - target
+        pick = e2 = None
+        if self.alpha and self.kind != "tied" and dead is not None and dead.any():
+            quiet = np.where(dead, n, -np.inf)
+            pick = _topk(quiet, min(self.k_aux or self.l0, int(dead.sum()))) & dead
+            e2 = self.decode(a * pick[:, :, None]) + e  # the residual is a constant of this term
+        info, grad = self.grad_of(x, a, on, e, total, pick, e2)
+        info["recon"] = float((e * e).sum()) / (total * self.d)
+        if e2 is not None:
+            info["aux"] = self.alpha * float((e2 * e2).sum()) / (total * self.d)
+        return info, grad
+
+    def grad_of(self, x: np.ndarray, a: np.ndarray, on: np.ndarray, e: np.ndarray, total: int, pick: np.ndarray | None = None, e2: np.ndarray | None = None) -> tuple[dict[str, float], Params]:
+        """(L0 and penalty, gradient) of these rows, given the error ``e`` of the whole dictionary.
+
+        All is a sum over blocks or belongs to one, so a chunk of the blocks has its part from
+        its own parameters, ``a`` and ``on``.  ``pick`` are revived blocks, ``e2`` their error.
+        """
         if self.kind == "tied":
-            return self._tied(x, target, total, a, n)
-        if self.kind == "soft":
-            t = np.exp(p["log_theta"])
-            r = np.maximum(n, 1e-8)
-            on = n > t
-            z = a * np.maximum(1 - t / r, 0)[:, :, None]
-        else:
-            on = self.gate(a)
-            z = a * on[:, :, None]
-        e = self.decode(z) - target
-        s = s_of(e)
+            return self._tied(x, a, on, e, total)
+        p, n, z = self.params, _norms(a), self.code(a, on)
+        s = 2 * e / (total * self.d)
         up = np.einsum("nd,gkd->ngk", s, p["D"])
         zn = _norms(z)
-        info = {"recon": float((e * e).sum()) / (total * self.d), "l0": float((zn > 1e-6).sum()) / total, "penalty": 0.0}
+        info = {"l0": float((zn > 1e-6).sum()) / total, "penalty": 0.0}
         grad = {"D": np.einsum("ngk,nd->gkd", z, s)}
         if self.kind == "soft":
+            t, r = np.exp(p["log_theta"]), np.maximum(n, 1e-8)
             info["penalty"] = self.coef * float(zn.sum()) / total
             up = up + (self.coef / total) * z / np.maximum(zn, 1e-12)[:, :, None]
             inner = (up * a).sum(axis=2)
@@ -130,37 +151,33 @@ class BlockModel:
         if self.kind == "threshold":
             info["penalty"] = self.coef * float(on.sum()) / total
             h = (up * a).sum(axis=2) + self.coef / total
-            u = (n / max(self.norm_scale, 1e-6) - self.theta()) / self.bandwidth
-            k = 1 / (np.pi * self.bandwidth * (1 + u * u))
+            k = self.window(n) / (np.pi * self.bandwidth)
             grad["raw"] = -(h * k).sum(axis=0) * self.gain / (1 + np.exp(-self.gain * p["raw"]))
-        if self.alpha and dead is not None and dead.any():
-            quiet = np.where(dead, n, -np.inf)
-            pick = _topk(quiet, min(self.k_aux or self.l0, int(dead.sum()))) & dead
-            z2 = a * pick[:, :, None]
-            e2 = self.decode(z2) + e  # the residual is a constant of this term
-            s2 = self.alpha * s_of(e2)
-            info["aux"] = self.alpha * float((e2 * e2).sum()) / (total * self.d)
-            grad["D"] += np.einsum("ngk,nd->gkd", z2, s2)
+        if pick is not None and e2 is not None:
+            s2 = 2 * self.alpha * e2 / (total * self.d)
+            grad["D"] += np.einsum("ngk,nd->gkd", a * pick[:, :, None], s2)
             da = da + np.einsum("nd,gkd->ngk", s2, p["D"]) * pick[:, :, None]
         grad["W"], grad["b"] = np.einsum("ngk,nd->gkd", da, x), da.sum(axis=0)
         return info, grad
 
-    def _tied(self, x, target, total, a, n):
+    def window(self, n: np.ndarray) -> np.ndarray:
+        """Kernel mass of norms about the thresholds, over its peak."""
+        u = (n / max(self.norm_scale, 1e-6) - self.theta()) / self.bandwidth
+        return 1 / (1 + u * u)
+
+    def _tied(self, x, a, on, e, total):
         p = self.params
         q, r = np.linalg.qr(p["B"])
-        mask = _topk(n, self.l0)
-        z = a * mask[:, :, None]
-        e = np.einsum("ngk,gdk->nd", z, q) - target
+        z = a * on[:, :, None]
         s = 2 * e / (total * self.d)
         raw = np.einsum("nd,gdk->ngk", x, q)
-        dz = np.einsum("nd,gdk->ngk", s, q) * mask[:, :, None]
+        dz = np.einsum("nd,gdk->ngk", s, q) * on[:, :, None]
         dq = np.einsum("nd,ngk->gdk", s, z) + np.einsum("nd,ngk->gdk", x, dz * p["gamma"][None, :, None])
         m = -np.einsum("gdk,gdl->gkl", dq, q)
         low = np.tril(m)
         sym = low + np.tril(m, -1).transpose(0, 2, 1)
         db = np.einsum("gdk,gkl->gdl", dq + np.einsum("gdk,gkl->gdl", q, sym), np.linalg.inv(r).transpose(0, 2, 1))
-        info = {"recon": float((e * e).sum()) / (total * self.d), "l0": float(mask.sum()) / total, "penalty": 0.0}
-        return info, {"B": db, "gamma": (dz * raw).sum(axis=(0, 2))}
+        return {"l0": float(on.sum()) / total, "penalty": 0.0}, {"B": db, "gamma": (dz * raw).sum(axis=(0, 2))}
 
     def renormalise(self) -> None:
         """Decoder blocks back to Frobenius norm 1."""

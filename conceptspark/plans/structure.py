@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conceptspark.operators import artifact, cofiring, concepts, encode, geometry, graph, layout, shapes, state, train
+from conceptspark.operators import artifact, cofiring, concepts, encode, geometry, graph, layout, shapes, state, train, train_blocks as blocks
 from conceptspark.plans import bindings as b
 from conceptspark.runtime import shared_folder, stored
 from conceptspark.streaming import running
@@ -239,6 +239,14 @@ def train_soft(spark, sf):
     return _trained(spark, sf, "soft")
 
 
+def train_blocks(spark, sf):
+    """Parameters in tables; batches of 2048 rows, or of a quarter of the rows where these are fewer than four such batches."""
+    acts = b.acts(spark, sf)
+    batch = max(1, min(2048, acts.count() // 4))
+    _, log = blocks.train_blocks(acts, train.BlockModel("free", 32, 2, 64, l0=4), _place(spark, "run"), epochs=1, batch=batch, rate=0.01)
+    return spark.createDataFrame([(r["step"], float(r["recon"]), float(r["l0"]), int(r["dead"]), r.get("r2")) for r in log], "step int, recon double, l0 double, dead long, r2 double")
+
+
 def _event_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -283,7 +291,7 @@ QUERIES = {
     f.__name__: f
     for f in (theta_init, window_occupancy, dead_topk, tokens_since_fired, dead_concepts_by_silence, ema_scale, l0_controller, sparsity_flags, block_basis_k2, chordal_topn, chordal_summary, shape_participation,
               shape_planar, shape_antipodal, shape_counts, shape_gallery, radial_clip, direction_color, intensity, lat_lon, quantile_violations, edge_violations, coverage_violations, nonzero_points, uncovered_concepts, point_violations, distance_violations, spectral_layout, classical_mds,
-              double_centred, cloud_pca3, overlay_values, embedding_quality, map_nodes, sphere_fit, sphere_grid, train_free, train_tied, train_threshold, train_soft, stream_fire_counts, stream_scale, stream_silence)
+              double_centred, cloud_pca3, overlay_values, embedding_quality, map_nodes, sphere_fit, sphere_grid, train_free, train_tied, train_threshold, train_soft, train_blocks, stream_fire_counts, stream_scale, stream_silence)
 }
 
 _W = b.with_("acts", "atoms", "proj", "norms")

@@ -19,11 +19,11 @@ class ArtifactError(ValueError):
     """The artifact is not what it says."""
 
 
-def save(tables: dict[str, DataFrame], meta: dict, path: str) -> None:
-    """Write the tables, and one row of meta with the version last."""
+def save(tables: dict[str, DataFrame], meta: dict, path: str, spark: SparkSession | None = None) -> None:
+    """Write the tables, and one row of meta with the version last; without tables, name the session."""
     for name, t in tables.items():
         t.write.mode("overwrite").parquet(f"{path}/{name}")
-    spark = next(iter(tables.values())).sparkSession
+    spark = spark or next(iter(tables.values())).sparkSession
     spark.createDataFrame([{"version": VERSION, **meta}]).write.mode("overwrite").parquet(f"{path}/meta")
 
 

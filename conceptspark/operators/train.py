@@ -74,6 +74,12 @@ class BlockModel:
     def theta(self) -> np.ndarray:
         return np.log1p(np.exp(self.gain * self.params["raw"]))
 
+    def thresholds(self) -> np.ndarray:
+        """What each block's norm is held against: 0 for kinds that choose by rank."""
+        if self.kind == "soft":
+            return np.exp(self.params["log_theta"])
+        return self.theta() if self.kind == "threshold" else np.zeros(self.groups)
+
     def preact(self, x: np.ndarray) -> np.ndarray:
         p = self.params
         if self.kind == "tied":
@@ -313,7 +319,7 @@ def model_tables(spark, model: BlockModel) -> tuple[DataFrame, DataFrame]:
     atoms = model.atoms()
     enc = atoms * model.params["gamma"][:, None, None] if model.kind == "tied" else model.params["W"]
     bias = np.zeros(atoms.shape[:2]) if model.kind == "tied" else model.params["b"]
-    theta = model.theta() if model.kind == "threshold" else np.zeros(model.groups)
+    theta = model.thresholds()
     rows = [(g, j, atoms[g, j].tolist(), enc[g, j].tolist(), float(bias[g, j]), float(theta[g])) for g in range(model.groups) for j in range(model.size)]
     meta = [(model.kind, model.groups, model.size, model.d, model.l0, float(model.norm_scale))]
     return (

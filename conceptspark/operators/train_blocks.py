@@ -335,7 +335,7 @@ def report(run: Run, state: DataFrame, rows: DataFrame, model: BlockModel, batch
 
         parts = clean.select("x").mapInPandas(sums, "sq double, s array<double>").toPandas()
         tot += parts["sq"].sum() - float(np.square(_stack(parts["s"]).sum(axis=0)).sum()) / batch
-    return {"r2": 1 - res / max(tot, 1e-12), "eval_l0": active / (steps * batch), "unfired": model.groups - fired.distinct().count()}
+    return {"r2": float(1 - res / max(tot, 1e-12)), "eval_l0": active / (steps * batch), "unfired": model.groups - fired.distinct().count()}
 
 
 def train_blocks(acts: DataFrame, model: BlockModel, path: str, epochs: int = 40, batch: int = 2048, rate: float = 4e-4, snr: float = 0.1, seed: int = 0,
@@ -438,7 +438,7 @@ def dictionary(state: DataFrame, model: BlockModel) -> DataFrame:
                 tied = model.kind == "tied"
                 enc = atoms * one.params["gamma"][0] if tied else one.params["W"][0]
                 bias = np.zeros(model.size) if tied else one.params["b"][0]
-                theta = float(one.theta()[0]) if model.kind == "threshold" else 0.0
+                theta = float(one.thresholds()[0])
                 yield pd.DataFrame({"g": g, "j": range(model.size), "dec": list(atoms), "enc": list(enc), "bias": bias, "theta": theta})
 
     return state.select("g", "p").mapInPandas(rows, "g int, j int, dec array<double>, enc array<double>, bias double, theta double")

@@ -5,12 +5,18 @@ sums in two levels, and updates on the driver.  Sums and counts travel, never av
 a step does not depend on the partitioning.  Parameters pass through the driver: their
 number is checked.  ``train_blocks`` keeps them in tables, whatever their number.
 
+Steps follow each other, so their number grows with the rows.  Where a step takes a task no
+longer than a job takes to start, a job does a few of them in a row in one task, which holds
+their batches alone; the parameters go on from job to job.
+
 Gradients are written out by hand.  With e = x_hat - target and S = 2 e / (rows * d):
 dD = z^T S and da = (S D^T) masked by the gate; dW = x^T da, db = sum da.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,10 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from conceptspark.operators.normalize import epoch_batches
-from conceptspark.runtime import stored
+from conceptspark.runtime import shared_folder
 
 MAX_NUMBERS = 20_000_000
 LEVEL = 8
+#: Steps of an epoch in one folder, which a job may do in a row.
+PART_STEPS = 16
+#: Rows times parameters up to which a step is left to one task, and the numbers of the rows it holds.
+TASK_WORK, TASK_NUMBERS = 1 << 26, 8_000_000
 Params = dict[str, np.ndarray]
 
 
@@ -84,8 +94,8 @@ class BlockModel:
         p = self.params
         if self.kind == "tied":
             q = np.linalg.qr(p["B"])[0]
-            return np.einsum("nd,gdk->ngk", x, q) * p["gamma"][None, :, None]
-        return np.einsum("nd,gkd->ngk", x, p["W"]) + p["b"]
+            return np.einsum("nd,gdk->ngk", x, q, optimize=True) * p["gamma"][None, :, None]
+        return np.einsum("nd,gkd->ngk", x, p["W"], optimize=True) + p["b"]
 
     def gate(self, a: np.ndarray) -> np.ndarray:
         n = _norms(a)
@@ -102,7 +112,7 @@ class BlockModel:
         return np.linalg.qr(self.params["B"])[0].transpose(0, 2, 1) if self.kind == "tied" else self.params["D"]
 
     def decode(self, z: np.ndarray) -> np.ndarray:
-        return np.einsum("ngk,gkd->nd", z, self.atoms())
+        return np.einsum("ngk,gkd->nd", z, self.atoms(), optimize=True)
 
     def passes(self, a: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Which blocks are left with a code."""
@@ -176,9 +186,9 @@ class BlockModel:
         q, r = np.linalg.qr(p["B"])
         z = a * on[:, :, None]
         s = 2 * e / (total * self.d)
-        raw = np.einsum("nd,gdk->ngk", x, q)
-        dz = np.einsum("nd,gdk->ngk", s, q) * on[:, :, None]
-        dq = np.einsum("nd,ngk->gdk", s, z) + np.einsum("nd,ngk->gdk", x, dz * p["gamma"][None, :, None])
+        raw = np.einsum("nd,gdk->ngk", x, q, optimize=True)
+        dz = np.einsum("nd,gdk->ngk", s, q, optimize=True) * on[:, :, None]
+        dq = np.einsum("nd,ngk->gdk", s, z, optimize=True) + np.einsum("nd,ngk->gdk", x, dz * p["gamma"][None, :, None], optimize=True)
         m = -np.einsum("gdk,gdl->gkl", dq, q)
         low = np.tril(m)
         sym = low + np.tril(m, -1).transpose(0, 2, 1)
@@ -211,27 +221,36 @@ class Adam:
             params[k] = params[k] - self.rate * (self.m[k] / (1 - self.b1**self.t)) / (np.sqrt(self.v[k] / (1 - self.b2**self.t)) + 1e-8)
 
 
+PARTS = ("recon", "l0", "penalty", "aux")
+
+
+def _sums(model: BlockModel, ids: np.ndarray, x: np.ndarray, total: int, snr: float, std: float, seed: int, dead: np.ndarray | None) -> tuple[dict[str, float], Params, np.ndarray, tuple[float, int]]:
+    """(loss parts, gradient, which blocks fired, sum and number of block norms) of some rows of a step of ``total``."""
+    noisy = x
+    if snr:
+        # Noise depends on the row, not on where it is computed.
+        noisy = x + snr * std * np.stack([np.random.default_rng([seed, int(t)]).standard_normal(x.shape[1]) for t in ids])
+    info, grad = model.loss_and_grad(noisy, x, total, dead)
+    a = model.preact(noisy)
+    fired = model.gate(a).any(axis=0) if model.kind != "soft" else (_norms(model.encode(noisy)) > 1e-6).any(axis=0)
+    return info, grad, fired, (_norms(a).sum(), a.shape[0] * a.shape[1])
+
+
 def step_sums(rows: DataFrame, model: BlockModel, total: int, snr: float = 0.0, std: float = 1.0, seed: int = 0, dead: np.ndarray | None = None) -> tuple[dict[str, float], Params, np.ndarray, float]:
     """(loss parts, gradient, which blocks fired, mean block norm) of one step over ``rows`` (token_id, x)."""
     names = sorted(model.params)
     shapes = {k: model.params[k].shape for k in names}
-    parts = ("recon", "l0", "penalty", "aux")
 
     def sums(batches):
-        out = np.zeros(len(parts) + model.groups + 2 + sum(model.params[k].size for k in names))
+        out = np.zeros(len(PARTS) + model.groups + 2 + sum(model.params[k].size for k in names))
+        at = len(PARTS) + model.groups
         for pdf in batches:
-            x = np.vstack(pdf["x"]).astype(np.float64)
-            noisy = x
-            if snr:
-                # Noise depends on the row, not on where it is computed.
-                noisy = x + snr * std * np.stack([np.random.default_rng([seed, int(t)]).standard_normal(x.shape[1]) for t in pdf["token_id"]])
-            info, grad = model.loss_and_grad(noisy, x, total, dead)
-            a = model.preact(noisy)
-            fired = model.gate(a).any(axis=0) if model.kind != "soft" else (_norms(model.encode(noisy)) > 1e-6).any(axis=0)
-            out[: len(parts)] += [info.get(k, 0.0) for k in parts]
-            out[len(parts) : len(parts) + model.groups] += fired
-            at = len(parts) + model.groups
-            out[at : at + 2] += (_norms(a).sum(), a.shape[0] * a.shape[1])
+            if not len(pdf):
+                continue
+            info, grad, fired, norms = _sums(model, pdf["token_id"], np.vstack(pdf["x"]).astype(np.float64), total, snr, std, seed, dead)
+            out[: len(PARTS)] += [info.get(k, 0.0) for k in PARTS]
+            out[len(PARTS) : at] += fired
+            out[at : at + 2] += norms
             out[at + 2 :] += np.concatenate([grad[k].ravel() for k in names])
         from pyspark import TaskContext
 
@@ -242,13 +261,85 @@ def step_sums(rows: DataFrame, model: BlockModel, total: int, snr: float = 0.0,
 
     two = rows.select("token_id", "x").mapInPandas(sums, "bucket int, v array<double>").groupBy("bucket").applyInPandas(add, "v array<double>")
     v = np.sum([r["v"] for r in two.collect()], axis=0)
-    info = dict(zip(parts, v))
-    at = len(parts) + model.groups
+    info = dict(zip(PARTS, v))
+    at = len(PARTS) + model.groups
     grad, i = {}, at + 2
     for k in names:
         grad[k] = v[i : i + int(np.prod(shapes[k]))].reshape(shapes[k])
         i += grad[k].size
-    return info, grad, v[len(parts) : at] > 0, float(v[at] / max(v[at + 1], 1))
+    return info, grad, v[len(PARTS) : at] > 0, float(v[at] / max(v[at + 1], 1))
+
+
+@dataclass
+class Training:
+    """What goes on from step to step of ``fit``."""
+
+    model: BlockModel
+    adam: Adam
+    silent: np.ndarray
+    batch: int
+    snr: float
+    std: float
+    seed: int
+    momentum: float
+    steps: int = 0
+
+    def step(self, sums: Callable[[int, np.ndarray | None], tuple[dict[str, float], Params, np.ndarray, float]], control: Callable[[float], float] | None = None) -> dict[str, float]:
+        """One step, whose ``sums`` are made from (seed of its noise, dead blocks); its record."""
+        model = self.model
+        dead = self.silent > model.dead_after if model.alpha else None
+        info, grad, fired, scale = sums(self.seed + 7919 * (self.steps + 1), dead)
+        if model.kind == "threshold":
+            model.norm_scale = scale if not self.steps else max(self.momentum * model.norm_scale + (1 - self.momentum) * scale, 1e-6)
+        self.silent = np.where(fired, 0, self.silent + self.batch)
+        self.adam.step(model.params, grad)
+        model.renormalise()
+        if control is not None:
+            model.coef = control(info["l0"])
+        self.steps += 1
+        return {**info, "loss": info["recon"] + info["penalty"] + info["aux"], "dead": int((self.silent > model.dead_after).sum())}
+
+    def at_once(self) -> int:
+        """How many steps a task may do in a row: 1 where a step's work is worth a job of its own."""
+        if self.batch * sum(p.size for p in self.model.params.values()) > TASK_WORK:
+            return 1
+        return max(1, min(PART_STEPS, TASK_NUMBERS // (self.batch * self.model.d)))
+
+    def steps_in_a_task(self, rows: DataFrame) -> list[dict[str, float]]:
+        """The steps of ``rows`` (step, token_id, x) in their order; a few batches, which one task holds."""
+        now = self
+
+        def run(batches):
+            given = pd.concat(list(batches)).sort_values(["step", "token_id"], kind="stable")
+            log = []
+            for _, own in given.groupby("step", sort=True):
+                x, ids = np.vstack(own["x"]).astype(np.float64), own["token_id"]
+
+                def sums(seed, dead):
+                    info, grad, fired, (norm, n) = _sums(now.model, ids, x, now.batch, now.snr, now.std, seed, dead)
+                    return {k: info.get(k, 0.0) for k in PARTS}, grad, fired, float(norm / max(n, 1))
+
+                log.append(now.step(sums))
+            yield pd.DataFrame({"done": [pickle.dumps((now, log))]})
+
+        done, log = pickle.loads(rows.select("step", "token_id", "x").coalesce(1).mapInPandas(run, "done binary").first()["done"])
+        self.model.params, self.model.norm_scale = done.model.params, done.model.norm_scale
+        self.adam, self.silent, self.steps = done.adam, done.silent, done.steps
+        return log
+
+
+def _epoch(acts: DataFrame, batch: int, seed: int, epoch: int) -> Callable[[int, int], DataFrame]:
+    """A function that reads the steps first .. upto - 1 of an epoch, which lie in one folder, from that folder alone."""
+    path = f"{shared_folder(acts.sparkSession)}/train-epoch-{uuid.uuid4().hex}"
+    rows = epoch_batches(acts.select("token_id", "x"), batch, seed, epoch)
+    rows = rows.select("token_id", "x", F.col("step").cast("long").alias("step"), F.expr(f"cast(step div {PART_STEPS} as int)").alias("part"))
+    rows.write.partitionBy("part").parquet(path)
+    schema = rows.drop("part").schema
+
+    def of(first: int, upto: int) -> DataFrame:
+        return acts.sparkSession.read.schema(schema).parquet(f"{path}/part={first // PART_STEPS}").where(F.col("step").between(first, upto - 1))
+
+    return of
 
 
 def fit(acts: DataFrame, model: BlockModel, epochs: int = 1, batch: int = 2048, rate: float = 4e-4, snr: float = 0.1, seed: int = 0, max_steps: int | None = None, control: Callable[[float], float] | None = None, momentum: float = 0.99) -> list[dict[str, float]]:
@@ -258,23 +349,25 @@ def fit(acts: DataFrame, model: BlockModel, epochs: int = 1, batch: int = 2048,
         raise ValueError(f"{n} rows are less than one batch of {batch}")
     if not model.params:
         model.init(seed)
-    adam, silent, log = Adam(rate), np.zeros(model.groups), []
     std = acts.select(F.explode("x").alias("v")).agg(F.stddev_samp("v")).first()[0]
+    run, log = Training(model, Adam(rate), np.zeros(model.groups), batch, snr, std, seed, momentum), []
+    # What is fed every step's L0 is asked between steps.
+    most = run.at_once() if control is None else 1
     for epoch in range(epochs):
-        rows = stored(epoch_batches(acts.select("token_id", "x"), batch, seed, epoch), "train-epoch")
-        for step in range(n // batch):
-            if max_steps is not None and len(log) >= max_steps:
-                return log
-            dead = silent > model.dead_after if model.alpha else None
-            info, grad, fired, scale = step_sums(rows.where(F.col("step") == step), model, batch, snr, std, seed + 7919 * (len(log) + 1), dead)
-            if model.kind == "threshold":
-                model.norm_scale = scale if not log else max(momentum * model.norm_scale + (1 - momentum) * scale, 1e-6)
-            silent = np.where(fired, 0, silent + batch)
-            adam.step(model.params, grad)
-            model.renormalise()
-            if control is not None:
-                model.coef = control(info["l0"])
-            log.append({**info, "loss": info["recon"] + info["penalty"] + info["aux"], "dead": int((silent > model.dead_after).sum()), "epoch": epoch})
+        last = n // batch if max_steps is None else min(n // batch, max_steps - len(log))
+        if last <= 0:
+            break
+        rows = _epoch(acts, batch, seed, epoch)
+        first = 0
+        while first < last:
+            upto = min(last, first + most, (first // PART_STEPS + 1) * PART_STEPS)
+            own = rows(first, upto)
+            if most > 1:
+                made = run.steps_in_a_task(own)
+            else:
+                made = [run.step(lambda noise, dead: step_sums(own, model, batch, snr, std, noise, dead), control)]
+            log += [{**r, "epoch": epoch} for r in made]
+            first = upto
     return log
 
 

@@ -101,3 +101,25 @@ def test_checkpoint_tables(spark):
         artifact.check_model(atoms.where("g > 0"), row)
     with pytest.raises(artifact.ArtifactError):
         artifact.check_model(atoms, {**row, "l0": 0})
+
+
+@pytest.mark.parametrize("kind", ["free", "tied", "threshold", "soft"])
+def test_steps_in_a_row_are_those_of_a_job_each(spark, monkeypatch, kind):
+    """Small steps share a job, so an epoch takes few; the numbers are those of steps on their own."""
+    rows, logs, params, jobs = _sparse(spark), [], [], []
+    for work in (0, train.TASK_WORK):
+        monkeypatch.setattr(train, "TASK_WORK", work)
+        m = train.BlockModel(kind, 12, 2, 16, l0=3, coef=1e-3, alpha=0.1, dead_after=64).init(0)
+        group = f"steps-{kind}-{work}"
+        spark.sparkContext.setJobGroup(group, group)
+        logs.append(train.fit(rows, m, epochs=2, batch=16, rate=0.01, snr=0.1, max_steps=37))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        params.append(m)
+    assert [r["epoch"] for r in logs[1]] == [0] * 32 + [1] * 5
+    for a, b in zip(*logs, strict=True):
+        assert b == pytest.approx(a, abs=1e-9)
+    for k in params[0].params:
+        np.testing.assert_allclose(params[1].params[k], params[0].params[k], atol=1e-8)
+    assert params[1].norm_scale == pytest.approx(params[0].norm_scale)
+    assert jobs[1] < 25 < 37 < jobs[0]

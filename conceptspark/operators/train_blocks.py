@@ -10,6 +10,10 @@ parameters.  A step is four jobs, none of which gathers parameters or gradients:
 3. every chunk meets the errors: gradient, optimiser and norms of its blocks are its own,
 4. sums of a few numbers for the record.
 
+Where the dictionary is one chunk, one task has all that a step needs, and a job does up to 15
+steps in a row: the state goes from job to job as a table, and a task holds the chunk and
+these batches.
+
 Each step's tables cut the lineage of the next.  The state has two places that steps write
 in turn; a step counts once its record stands, and records are never overwritten.  A run
 that was stopped goes on after its last record, to the same numbers.
@@ -38,6 +42,8 @@ CHUNK_NUMBERS = 8_000_000
 BUCKET_ROWS = 128
 #: Steps of an epoch in one folder.
 PART_STEPS = 16
+#: Numbers of the rows of a run of steps that one task holds.
+RUN_NUMBERS = 8_000_000
 #: A block whose share of the kernel's peak is below this has no gradient for its threshold.
 STRANDED = 1e-3
 
@@ -223,35 +229,105 @@ def errors(state: DataFrame, gated: DataFrame, rows: DataFrame, model: BlockMode
     return parts.select("*", bucket).groupBy("bucket").cogroup(rows.select("slot", "x", "xin", bucket).groupBy("bucket")).applyInPandas(add, ERRORS)
 
 
+@dataclass
+class _Chunk:
+    """A chunk of the state, its blocks in order."""
+
+    chunk: np.ndarray
+    g: np.ndarray
+    p: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    silent: np.ndarray
+    l0: float = 0.0
+    penalty: float = 0.0
+    norm_sum: np.ndarray | float = 0.0
+    window: np.ndarray | float = 0.0
+
+    @classmethod
+    def of(cls, blocks: pd.DataFrame) -> "_Chunk":
+        return cls(blocks["chunk"].to_numpy(), blocks["g"].to_numpy(), *(_stack(blocks[c]) for c in "pmv"), blocks["silent"].to_numpy())
+
+    def learn(self, part: BlockModel, model: BlockModel, x: np.ndarray, a: np.ndarray, on: np.ndarray, e: np.ndarray, batch: int, t: int, rate: float,
+              pick: np.ndarray | None, e2: np.ndarray | None, b1: float = 0.9, b2: float = 0.999) -> None:
+        """A step of these blocks, ``part``, given the errors of the whole dictionary."""
+        info, grad = part.grad_of(x, a, on, e, batch, pick, e2)
+        n = _norms(a)
+        fired = (_norms(part.code(a, on)) > 1e-6).any(axis=0) if model.kind == "soft" else on.any(axis=0)
+        dp = _flat(grad, model)
+        self.m = b1 * self.m + (1 - b1) * dp
+        self.v = b2 * self.v + (1 - b2) * dp * dp
+        self.norm_sum, self.window = n.sum(axis=0), part.window(n).mean(axis=0) if model.kind == "threshold" else 0.0
+        part.params = _unflat(self.p - rate * (self.m / (1 - b1**t)) / (np.sqrt(self.v / (1 - b2**t)) + 1e-8), model)
+        part.renormalise()
+        self.p, self.silent = _flat(part.params, model), np.where(fired, 0, self.silent + batch)
+        self.l0, self.penalty = info["l0"], info["penalty"]
+
+    def table(self) -> pd.DataFrame:
+        first = np.arange(len(self.g)) == 0
+        return pd.DataFrame({
+            "chunk": self.chunk, "g": self.g, "p": list(self.p), "m": list(self.m), "v": list(self.v), "silent": self.silent,
+            "l0": np.where(first, self.l0, 0.0), "penalty": np.where(first, self.penalty, 0.0), "norm_sum": self.norm_sum, "window": self.window})
+
+
+def _moved(scale: float, norm: float, step: int, target_l0: float | None, momentum: float) -> float:
+    """The norms' scale of a threshold gate after a step."""
+    return norm if step == 0 and target_l0 is None else max(momentum * scale + (1 - momentum) * norm, 1e-6)
+
+
+def run_of_steps(state: DataFrame, rows: DataFrame, model: BlockModel, done: dict, batch: int, rate: float, snr: float, std: float, seed: int, target_l0: float | None, momentum: float) -> DataFrame:
+    """The state after all steps of ``rows``, those after ``done`` in a row, of a dictionary of one chunk; ``log`` of its first row holds their records."""
+    first, scale_now, coef, dead_now = done["step"] + 1, done["scale"], done["coef"], done["dead"]
+
+    def run(blocks: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        own, log, scale, n_dead = _Chunk.of(_ordered(blocks, "g")), [], scale_now, dead_now
+        for at, (_, rows_) in enumerate(given.groupby("step", sort=True)):
+            step, rows_ = first + at, _ordered(rows_, "slot")
+            x = _stack(rows_["x"])
+            xin = x
+            if snr:
+                xin = x + snr * std * np.stack([np.random.default_rng([seed + 7919 * (step + 1), int(t)]).standard_normal(x.shape[1]) for t in rows_["token_id"]])
+            part = _part(model, own.p, scale, coef)
+            a = part.preact(xin)
+            n = _norms(a)
+            on = part.passes(a, n)
+            e = part.decode(part.code(a, on)) - x
+            pick = e2 = None
+            dead = own.silent > model.dead_after
+            k_aux = min(model.k_aux or model.l0, n_dead) if model.alpha and model.kind != "tied" else 0
+            if k_aux:
+                pick = _topk(np.where(dead, n, -np.inf), k_aux) & dead
+                e2 = part.decode(a * pick[:, :, None]) + e
+            own.learn(part, model, xin, a, on, e, batch, step + 1, rate, pick, e2)
+            recon, aux = float((e * e).sum()) / (batch * model.d), 0.0 if e2 is None else model.alpha * float((e2 * e2).sum()) / (batch * model.d)
+            n_dead = int((own.silent > model.dead_after).sum())
+            if model.kind == "threshold":
+                scale = _moved(scale, float(own.norm_sum.sum()) / (batch * model.groups), step, target_l0, momentum)
+            log.append({"step": step, "recon": recon, "l0": own.l0, "penalty": own.penalty, "aux": aux, "loss": recon + own.penalty + aux, "dead": n_dead, "scale": scale, "coef": coef})
+        return own.table().assign(log=[json.dumps(log)] + [None] * (len(own.g) - 1))
+
+    here = rows.select(F.lit(0).alias("chunk"), "step", "slot", "token_id", "x")
+    old = state.select("chunk", "g", "p", "m", "v", "silent")
+    return old.groupBy("chunk").cogroup(here.groupBy("chunk")).applyInPandas(run, STATE + ", log string")
+
+
 def update(state: DataFrame, gated: DataFrame, errs: DataFrame, model: BlockModel, batch: int, t: int, rate: float, scale: float, coef: float, b1: float = 0.9, b2: float = 0.999) -> DataFrame:
     """The next state; ``t`` counts steps from 1."""
     revive = bool(model.alpha) and model.kind != "tied"
 
     def learn(blocks: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        blocks = _ordered(blocks, "g")
-        g, flat = blocks["g"].to_numpy(), _stack(blocks["p"])
-        part = _part(model, flat, scale, coef)
+        own = _Chunk.of(_ordered(blocks, "g"))
+        part = _part(model, own.p, scale, coef)
         is_row = given["g"].to_numpy() < 0
         rows, gate = _ordered(given[is_row], "slot"), given[~is_row]
         x, e = _stack(rows["xin"]), _stack(rows["e"])
         a = part.preact(x)
-        masks = np.zeros((2, len(x), len(g)), dtype=bool)
-        masks[gate["aux"].to_numpy().astype(int), np.searchsorted(rows["slot"].to_numpy(), gate["slot"].to_numpy()), np.searchsorted(g, gate["g"].to_numpy())] = True
+        masks = np.zeros((2, len(x), len(own.g)), dtype=bool)
+        masks[gate["aux"].to_numpy().astype(int), np.searchsorted(rows["slot"].to_numpy(), gate["slot"].to_numpy()), np.searchsorted(own.g, gate["g"].to_numpy())] = True
         on, pick = masks
         has_pick = revive and pick.any()
-        info, grad = part.grad_of(x, a, on, e, batch, pick if has_pick else None, _stack(rows["e2"]) if has_pick else None)
-        n = _norms(a)
-        fired = (_norms(part.code(a, on)) > 1e-6).any(axis=0) if model.kind == "soft" else on.any(axis=0)
-        dp = _flat(grad, model)
-        m = b1 * _stack(blocks["m"]) + (1 - b1) * dp
-        v = b2 * _stack(blocks["v"]) + (1 - b2) * dp * dp
-        part.params = _unflat(flat - rate * (m / (1 - b1**t)) / (np.sqrt(v / (1 - b2**t)) + 1e-8), model)
-        part.renormalise()
-        first = np.arange(len(g)) == 0
-        return pd.DataFrame({
-            "chunk": blocks["chunk"].to_numpy(), "g": g, "p": list(_flat(part.params, model)), "m": list(m), "v": list(v),
-            "silent": np.where(fired, 0, blocks["silent"].to_numpy() + batch), "l0": np.where(first, info["l0"], 0.0), "penalty": np.where(first, info["penalty"], 0.0),
-            "norm_sum": n.sum(axis=0), "window": part.window(n).mean(axis=0) if model.kind == "threshold" else 0.0})
+        own.learn(part, model, x, a, on, e, batch, t, rate, pick if has_pick else None, _stack(rows["e2"]) if has_pick else None, b1, b2)
+        return own.table()
 
     rows = _each_chunk(errs.select("slot", "xin", "e", *(["e2"] if revive else [])), chunks_of(model)[1]).withColumns({"g": F.lit(-1), "aux": F.lit(False)})
     both = rows.unionByName(gated.select("chunk", "slot", "g", "aux"), allowMissingColumns=True)
@@ -276,9 +352,10 @@ class Run:
             raise
         return sorted((json.loads(r["record"]) for r in rows), key=lambda r: r["step"])
 
-    def seal(self, record: dict) -> None:
-        one = self.spark.createDataFrame([(json.dumps(record),)], "record string").coalesce(1)
-        one.write.mode("overwrite").parquet(f"{self.path}/done/step={record['step']}")
+    def seal(self, *records: dict) -> None:
+        """Records of steps that are done in one job, under the last one's number."""
+        made = self.spark.createDataFrame([(json.dumps(r),) for r in records], "record string").coalesce(1)
+        made.write.mode("overwrite").parquet(f"{self.path}/done/step={records[-1]['step']}")
 
     def state(self, step: int) -> DataFrame:
         return self.spark.read.schema(STATE).parquet(f"{self.path}/state-{step % 2}")
@@ -287,6 +364,10 @@ class Run:
         df.write.mode("overwrite").parquet(f"{self.path}/state-{step % 2}")
         return self.state(step)
 
+    def log(self, step: int) -> str:
+        """Records of the run of steps that ended with the state of ``step``."""
+        return self.spark.read.schema("log string").parquet(f"{self.path}/state-{step % 2}").where("log is not null").first()["log"]
+
     def scratch(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.path}/{name}"
         df.write.mode("overwrite").parquet(path)
@@ -301,8 +382,16 @@ class Run:
         return self.spark.read.schema("token_id long, x array<double>, step long, slot int, part int").parquet(path)
 
 
-def _step_rows(rows: DataFrame, step: int) -> DataFrame:
-    return rows.where((F.col("part") == step // PART_STEPS) & (F.col("step") == step))
+def _step_rows(rows: DataFrame, step: int, n: int = 1) -> DataFrame:
+    """Rows of ``n`` steps from ``step`` on."""
+    last = step + n - 1
+    return rows.where(F.col("part").between(step // PART_STEPS, last // PART_STEPS) & F.col("step").between(step, last))
+
+
+def _at_once(model: BlockModel, batch: int, left: int) -> int:
+    """Steps of the next job.  Odd, so that the last one's place is not that of the state it begins with."""
+    n = 1 if chunks_of(model)[1] > 1 else max(1, min(left, PART_STEPS, RUN_NUMBERS // (batch * model.d)))
+    return n - 1 + n % 2
 
 
 def _deviation(acts: DataFrame) -> float:
@@ -380,31 +469,45 @@ def train_blocks(acts: DataFrame, model: BlockModel, path: str, epochs: int = 40
             control(r["l0"])
     done = records[-1]
     stop = epochs * per_epoch if max_steps is None else min(epochs * per_epoch, done["step"] + 1 + max_steps)
-    for step in range(done["step"] + 1, stop):
-        epoch, in_epoch = divmod(step, per_epoch)
+    step = done["step"]
+    while step + 1 < stop:
+        epoch, in_epoch = divmod(step + 1, per_epoch)
         if at != epoch:
             rows, at = run.epoch(acts, batch, seed, epoch), epoch
-        state, scale, coef = run.state(step - 1), done["scale"], done["coef"]
-        given = noisy(_step_rows(rows, in_epoch), snr, std, seed + 7919 * (step + 1))
-        gated = run.scratch(gates(state, given, model, scale, done["dead"]), "gates")
-        errs = run.scratch(errors(state, gated, given, model, batch), "errors")
-        new = run.put_state(update(state, gated, errs, model, batch, step + 1, rate, scale, coef), step)
-        s = new.agg(F.sum("l0").alias("l0"), F.sum("penalty").alias("penalty"), (F.sum("norm_sum") / (batch * model.groups)).alias("norm"),
-                    F.count_if(F.col("silent") > model.dead_after).alias("dead"), F.avg("window").alias("in_window"), F.count_if(F.col("window") < STRANDED).alias("stranded")).first()
-        e = errs.agg((F.sum("err") / (batch * model.d)).alias("recon"), (F.sum("aux") / (batch * model.d)).alias("aux")).first()
-        aux = model.alpha * e["aux"] if model.alpha and model.kind != "tied" and done["dead"] else 0.0
-        if model.kind == "threshold":
-            scale = s["norm"] if step == 0 and target_l0 is None else max(momentum * scale + (1 - momentum) * s["norm"], 1e-6)
-        done = {"step": step, "epoch": epoch, "recon": e["recon"], "l0": s["l0"], "penalty": s["penalty"], "aux": aux, "loss": e["recon"] + s["penalty"] + aux,
-                "dead": s["dead"], "scale": scale, "coef": control(s["l0"]) if control is not None else coef}
+        state, scale, coef = run.state(step), done["scale"], done["coef"]
+        # What is fed every step's L0 is asked between steps.
+        n_steps = _at_once(model, batch, min(stop - 1 - step, per_epoch - in_epoch)) if control is None else 1
+        given = _step_rows(rows, in_epoch, n_steps)
+        step, in_epoch = step + n_steps, in_epoch + n_steps - 1
+        if chunks_of(model)[1] == 1:
+            new = run.put_state(run_of_steps(state, given, model, done, batch, rate, snr, std, seed, target_l0, momentum), step)
+            made = [{**r, "epoch": epoch} for r in json.loads(run.log(step))]
+            if control is not None:
+                made[-1]["coef"] = control(made[-1]["l0"])
+            done, scale = made[-1], made[-1]["scale"]
+        else:
+            made = []
+            given = noisy(given, snr, std, seed + 7919 * (step + 1))
+            gated = run.scratch(gates(state, given, model, scale, done["dead"]), "gates")
+            errs = run.scratch(errors(state, gated, given, model, batch), "errors")
+            new = run.put_state(update(state, gated, errs, model, batch, step + 1, rate, scale, coef), step)
+            s = new.agg(F.sum("l0").alias("l0"), F.sum("penalty").alias("penalty"), (F.sum("norm_sum") / (batch * model.groups)).alias("norm"),
+                        F.count_if(F.col("silent") > model.dead_after).alias("dead")).first()
+            e = errs.agg((F.sum("err") / (batch * model.d)).alias("recon"), (F.sum("aux") / (batch * model.d)).alias("aux")).first()
+            aux = model.alpha * e["aux"] if model.alpha and model.kind != "tied" and done["dead"] else 0.0
+            if model.kind == "threshold":
+                scale = _moved(scale, s["norm"], step, target_l0, momentum)
+            done = {"step": step, "epoch": epoch, "recon": e["recon"], "l0": s["l0"], "penalty": s["penalty"], "aux": aux, "loss": e["recon"] + s["penalty"] + aux,
+                    "dead": s["dead"], "scale": scale, "coef": control(s["l0"]) if control is not None else coef}
+            made.append(done)
         if in_epoch == per_epoch - 1 and (epoch in (0, epochs - 1) or (epoch + 1) % log_every == 0):
             done |= report(run, new, rows, model, batch, min(eval_steps, per_epoch), scale)
             target = target_l0 or (model.l0 if model.kind in ("free", "tied") else None)
             done["off_target"] = bool(target and not target / 2 <= done["eval_l0"] <= 2 * target)
             if model.kind == "threshold":
-                done |= {"in_window": s["in_window"], "stranded": s["stranded"]}
-        run.seal(done)
-        records.append(done)
+                done |= new.agg(F.avg("window").alias("in_window"), F.count_if(F.col("window") < STRANDED).alias("stranded")).first().asDict()
+        run.seal(*made)
+        records += made
     return run.state(done["step"]), records[1:]
 
 

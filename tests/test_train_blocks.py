@@ -100,3 +100,28 @@ def test_sizes_beyond_the_driver_are_not_refused():
 def test_short_table_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="less than one batch"):
         tb.train_blocks(_rows(spark, 20), _model("free"), str(tmp_path / "run"))
+
+
+@pytest.mark.parametrize("kind,more", [("free", {"alpha": 0.3, "k_aux": 1, "dead_after": 40}), ("tied", {}), ("threshold", {}), ("soft", {})])
+def test_a_dictionary_of_one_chunk_takes_many_steps_a_job(spark, tmp_path, kind, more):
+    """The numbers of the driver's form in few jobs, also where a run is stopped between and goes on."""
+    rows, plain = _rows(spark, 176), _model(kind, **more).init(3)
+    blocks = [_model(kind, **more).init(3) for _ in range(2)]
+    if "alpha" in more:
+        for m in (plain, *blocks):
+            m.params["W"][4] *= 1e-3
+    assert tb.chunks_of(plain)[1] == 1
+    log = train.fit(rows, plain, epochs=2, batch=16, rate=0.01, snr=0.1)
+    spark.sparkContext.setJobGroup(f"run-{kind}", kind)
+    state, records = tb.train_blocks(rows, blocks[0], str(tmp_path / "run"), epochs=2, batch=16, rate=0.01, snr=0.1, eval_steps=1)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"run-{kind}")) < 3 * 22  # ten a step before
+    assert [(r["step"], r["epoch"]) for r in records] == [(i, i // 11) for i in range(22)]
+    for a, b in zip(log, records, strict=True):
+        assert {k: b[k] for k in ("recon", "l0", "penalty", "aux", "loss", "dead")} == pytest.approx({k: a[k] for k in ("recon", "l0", "penalty", "aux", "loss", "dead")}, abs=1e-9)
+    np.testing.assert_allclose(_params(state, blocks[0]), tb._flat(plain.params, plain), atol=1e-7)
+    if kind == "free":
+        for n in (4, 9, None):
+            state, again = tb.train_blocks(rows, blocks[1], str(tmp_path / "cut"), epochs=2, batch=16, rate=0.01, snr=0.1, eval_steps=1, max_steps=n)
+        assert [r["recon"] for r in again] == pytest.approx([r["recon"] for r in records], abs=1e-12)
+        assert len(again) == 22 and "r2" in again[10] and "r2" in again[21]

@@ -6,20 +6,39 @@ Pairs are made per token, so their number is bounded by the square of a token's
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Pairs of a task, about, and deals of tokens for each task (many, so that tasks are even).
+TASK_PAIRS, DEALS = 1 << 20, 16
+
 
 def pair_counts(firings: DataFrame) -> DataFrame:
     """(i, j, n_both), i < j: tokens on which both fire.
 
     A token's concepts are gathered once (one shuffle on the token) and paired in place.
+    Tokens are dealt into deals of about ``TASK_PAIRS`` pairs a task, whose counts are
+    combined before the second shuffle; both go to as many tasks as the pairs ask for,
+    so a task's memory does not grow with the table.
     """
-    sets = firings.groupBy("token_id").agg(F.sort_array(F.collect_set("g")).alias("gs")).where(F.size("gs") > 1)
-    first = sets.select("gs", F.posexplode("gs").alias("at", "i"))
-    pairs = first.select("i", F.explode(F.slice("gs", F.col("at") + 2, F.size("gs"))).alias("j"))
-    return pairs.groupBy("i", "j").agg(F.count("*").alias("n_both"))
+    n = _tasks(firings)
+    deal = F.pmod(F.xxhash64("token_id"), F.lit(DEALS * n)).alias("deal")
+    dealt = firings.select(deal, "token_id", "g").repartition(n, "deal")
+    sets = dealt.groupBy("deal", "token_id").agg(F.sort_array(F.collect_set("g")).alias("gs")).where(F.size("gs") > 1)
+    first = sets.select("deal", "gs", F.posexplode("gs").alias("at", "i"))
+    pairs = first.select("deal", "i", F.explode(F.slice("gs", F.col("at") + 2, F.size("gs"))).alias("j"))
+    some = pairs.groupBy("deal", "i", "j").agg(F.count("*").alias("n"))
+    return some.select("i", "j", "n").repartition(n, "i", "j").groupBy("i", "j").agg(F.sum("n").alias("n_both"))
+
+
+def _tasks(firings: DataFrame) -> int:
+    """Tasks that the pairs of ``firings`` are dealt out to, by their number as of tokens of equal size."""
+    one = firings.agg(F.count("*").alias("n"), F.approx_count_distinct("token_id").alias("tokens")).first()
+    pairs = one["n"] * max(1.0, one["n"] / max(1, one["tokens"])) / 2
+    return max(firings.sparkSession.sparkContext.defaultParallelism, math.ceil(pairs / TASK_PAIRS))
 
 
 def jaccard(firings: DataFrame) -> DataFrame:

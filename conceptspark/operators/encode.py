@@ -15,8 +15,10 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FIRES = 1e-6
 #: Numbers of a dictionary that may travel to the driver and the tasks.
@@ -202,8 +204,55 @@ def projections(acts: DataFrame, atoms: DataFrame) -> DataFrame:
     return rows.select("token_id", "unit", "pos", "g", act.alias("act"), "code")
 
 
+#: Numbers that a task decodes at once.
+DECODE_NUMBERS = 2_000_000
+
+
 def decode_table(firings_: DataFrame, atoms: DataFrame) -> DataFrame:
-    """(token_id, dim, value): sums of codes times atoms, as joins."""
+    """(token_id, dim, value): sums of codes times atoms.
+
+    A token's codes are brought together, as many as fire, and multiplied where they lie; what
+    is shuffled are codes, never products.  A dictionary too large to travel, or of uneven
+    blocks, is met by joins.
+    """
+    try:
+        model = Dictionary.of(atoms)
+    except ValueError:
+        return _decode_joined(firings_, atoms)
+    known = np.array([r["g"] for r in atoms.select("g").distinct().orderBy("g").collect()])
+    codes = firings_.groupBy("token_id").agg(F.sort_array(F.collect_list(F.struct("g", F.col("code").cast("array<double>").alias("code")))).alias("codes"))
+    k, d = model.group_size, model.dec.shape[2]
+    at_once = max(1, DECODE_NUMBERS // (k * d))
+
+    def run(batches):
+        for b in batches:
+            sizes = pc.list_value_length(b["codes"]).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            flat = b["codes"].flatten()
+            g, code = flat.field("g").to_numpy(zero_copy_only=False), flat.field("code").flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+            place = np.minimum(np.searchsorted(known, g), len(known) - 1)
+            there = known[place] == g  # codes of blocks that the dictionary lacks count for nothing
+            first = 0
+            while first < b.num_rows:
+                begin = ends[first] - sizes[first]
+                upto = max(first + 1, int(np.searchsorted(ends, begin + at_once, side="right")))
+                part = slice(begin, ends[upto - 1])
+                owner = np.repeat(np.arange(upto - first), sizes[first:upto])
+                keep = there[part]
+                owner = owner[keep]
+                if len(owner):
+                    products = np.einsum("mk,mkd->md", code[part][keep], model.dec[place[part][keep]])
+                    starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+                    sums = np.add.reduceat(products, starts, axis=0)
+                    tokens = b["token_id"].take(pa.array(np.repeat(first + owner[starts], d)))
+                    yield pa.RecordBatch.from_arrays([tokens, pa.array(np.tile(np.arange(d, dtype=np.int32), len(starts))), pa.array(sums.ravel())], names=["token_id", "dim", "value"])
+                first = upto
+
+    return codes.mapInArrow(run, T.StructType([firings_.schema["token_id"], T.StructField("dim", T.IntegerType()), T.StructField("value", T.DoubleType())]))
+
+
+def _decode_joined(firings_: DataFrame, atoms: DataFrame) -> DataFrame:
+    """``decode_table`` of dictionaries of any size, a row for every product."""
     z = firings_.select("token_id", "g", F.posexplode("code").alias("j", "z"))
     parts = z.join(atoms.select("g", "j", F.posexplode("dec").alias("dim", "d")), ["g", "j"])
     return parts.groupBy("token_id", "dim").agg(F.sum(F.col("z") * F.col("d")).alias("value"))

@@ -141,3 +141,42 @@ def test_overlay_is_the_cloud_itself(spark):
     p = np.vstack([r["p"] for r in geometry.overlay(cloud, geometry.main_axes(cloud)).orderBy("pos").collect()])
     q = geometry.pca3(cloud).orderBy("rank").toPandas()[["x", "y", "z"]].to_numpy()
     np.testing.assert_allclose(p, q, atol=1e-9)
+
+
+def test_marks_leave_contexts_alone(spark):
+    """Examples at gaps, at one place twice, past the end and in units without tokens; units few and many."""
+    toks = [(u, 2 * i, f"{u}{i}") for u in "ab" for i in range(30)]
+    ex = [(g, u, p) for g, u, p in ((0, "a", 4), (1, "a", 4), (0, "a", 5), (0, "b", 58), (0, "b", 90), (0, "c", 0))]
+    t, e = spark.createDataFrame(toks, "unit string, pos int, token string").repartition(3), spark.createDataFrame(ex, "g int, unit string, pos int")
+    want = {(0, "a", 4): ("a2", "a0a1", "a3a4a5a6"), (0, "b", 58): ("b29", "b25b26b27b28", "")}
+    want |= {(1, "a", 4): want[0, "a", 4], (0, "a", 5): ("<5>", None, None), (0, "b", 90): ("<90>", None, None), (0, "c", 0): ("<0>", None, None)}
+    keep = tokens.FEW_UNITS
+    for few in (keep, 0):
+        tokens.FEW_UNITS = few
+        got = {(r["g"], r["unit"], r["pos"]): (r["token"], r["context_before"], r["context_after"]) for r in tokens.examples_with_context(e, t).collect()}
+        assert got == want
+    tokens.FEW_UNITS = keep
+    # Contexts of tokens that no example asks for are not shuffled again: only marked ones leave the window.
+    plan = tokens.examples_with_context(e, t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(mark" in plan
+
+
+def test_decoding_shuffles_codes_not_products(spark):
+    from conceptspark.operators import encode
+
+    rng = np.random.default_rng(0)
+    dec = rng.standard_normal((5, 2, 7))
+    atoms = spark.createDataFrame([(2 * g, j, dec[g, j].tolist()) for g in range(5) for j in range(2)], "g int, j int, dec array<double>")
+    rows = [(t, 2 * int(g), rng.standard_normal(2).tolist()) for t in range(50) for g in rng.choice(5, 3, replace=False)] + [(99, 1, [1.0, 1.0])]
+    fr = spark.createDataFrame(rows, "token_id long, g int, code array<double>").repartition(3)
+    keep, encode.DECODE_NUMBERS = encode.DECODE_NUMBERS, 14 * 4
+    got = {(r["token_id"], r["dim"]): r["value"] for r in encode.decode_table(fr, atoms).collect()}
+    encode.DECODE_NUMBERS = keep
+    want = {}
+    for t, g, c in rows[:-1]:
+        for i, v in enumerate(np.array(c) @ dec[g // 2]):
+            want[t, i] = want.get((t, i), 0.0) + v
+    assert got == pytest.approx(want)
+    assert got == pytest.approx({(r["token_id"], r["dim"]): r["value"] for r in encode._decode_joined(fr, atoms).collect()})
+    plan = encode.decode_table(fr, atoms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan

@@ -69,6 +69,8 @@ def build(spark: SparkSession, root: str, layer: int, hook: str, atoms: DataFram
     every = atoms.select("g").distinct()
     if tokens is None:
         tokens = spark.createDataFrame([], "unit string, pos int, token string")
+    # Three tables look tokens up: those of the captured requests are read and split once.
+    tokens = stored(words.of_units(tokens.select("unit", "pos", "token"), firings.select("unit").distinct()), "analysis-tokens")
     narrow = firings.drop("code")
 
     all_edges = stored(cofiring.edges(narrow, threshold), "analysis-edges")

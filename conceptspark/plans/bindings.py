@@ -50,9 +50,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("token_id"), F.col("user_id").alias("unit"), pos.alias("pos"), F.col("event_type").alias("g"), F.col("value").alias("act"), "ts")
 
 
-def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(unit, pos, token): the words of every document."""
+def tokens(spark: SparkSession, sf_dir: str, units: DataFrame | None = None) -> DataFrame:
+    """(unit, pos, token): the words of every document, or of those whose ids are ``units`` (unit, few)."""
     d = table(spark, sf_dir, "documents")
+    if units is not None:
+        d = d.join(F.broadcast(units.select(F.col("unit").cast("long").alias("doc_id")).distinct()), "doc_id", "left_semi")
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     return d.select(F.col("doc_id").alias("unit"), F.posexplode(words).alias("pos", "token"))
 

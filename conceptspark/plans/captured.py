@@ -103,7 +103,8 @@ def _artifact(app: str, sf: str) -> str:
     atoms = b.atoms(spark, sf)
     g = b.N_ATOMS // b.GROUP
     meta = {"kind": "free", "n_groups": g, "group_size": b.GROUP, "d": normalize.infer_d(b.acts(spark, sf)), "l0": b.L0}
-    toks = b.tokens(spark, sf).select(F.concat(F.lit("r"), "unit").alias("unit"), "pos", "token")
+    # A request is a label: texts of other documents are not split into words.
+    toks = b.tokens(spark, sf, b.acts(spark, sf).select("unit")).select(F.concat(F.lit("r"), "unit").alias("unit"), "pos", "token")
     analysis.build(spark, tree(spark, sf), 8, "resid", atoms, meta, path, toks, drop=1)
     return path
 

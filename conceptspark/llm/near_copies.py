@@ -1,9 +1,12 @@
 """Near copies by the Jaccard similarity of word shingles, verified exactly.
 
-Candidates come from MinHash bands: two texts of similarity 0.8 share none of 32 bands of
-5 values with a chance of 3e-6.  Texts with one shingle set are one node.  A bucket links its
-nodes to its smallest one, which is as many rows as it has nodes, and the components of
-these links say which texts may be near copies of each other.
+Candidates come from the generalised pigeonhole search of ``simhash`` over fingerprints of the
+shingle sets, which finds every pair within its radius.  At a similarity of 0.8 about ten bits
+differ, more than a radius can be that is searched in less than a square, so MinHash bands add
+the pairs beyond it: two texts of similarity 0.8 share none of 32 bands of 5 values with a
+chance of 3e-6.  Texts with one shingle set are one node.  A bucket, or a fingerprint, links
+its nodes to its smallest one, which is as many rows as it has nodes, and the components of
+all these links say which texts may be near copies of each other.
 
 Within such a group every node is compared with the group's smallest first.  Those that are
 its near copies are settled, which in a group of copies of one text is nearly all; the others
@@ -178,6 +181,19 @@ def links(sets: DataFrame, similarity: float = SIMILARITY, block_values: int = B
     return found.unionByName(dealt.mapInPandas(meet, "a long, b long"))
 
 
+def candidates(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) whose components hold all pairs of nodes (fp, sim, bands) that may be near: of
+    fingerprints within the radius of the pigeonhole search, or with a band in common."""
+    alike = stored(nodes.groupBy("sim").agg(F.min("fp").alias("least")), "alike")
+    same = nodes.join(alike, "sim").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    near = simhash.links(alike.select(F.col("sim").alias("fp")))
+    near = near.join(alike.select(F.col("sim").alias("a"), F.col("least").alias("x")), "a").join(alike.select(F.col("sim").alias("b"), F.col("least").alias("y")), "b")
+    inside = nodes.select("fp", F.explode("bands").alias("band"))
+    least = inside.groupBy("band").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("band", "a")
+    banded = inside.join(least, "band").where("fp <> a").select("a", F.col("fp").alias("b"))
+    return same.unionByName(near.select(F.col("x").alias("a"), F.col("y").alias("b"))).unionByName(banded).distinct()
+
+
 def first_of_each(docs: DataFrame, key="doc_id", text="text", shingle=SHINGLE, similarity=SIMILARITY, block_values=BLOCK_VALUES) -> DataFrame:
     """One document of every group of near copies: the row with the group's smallest key.
 
@@ -188,11 +204,13 @@ def first_of_each(docs: DataFrame, key="doc_id", text="text", shingle=SHINGLE, s
     """
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
 
-    @F.pandas_udf("fp long, bands array<long>")
+    @F.pandas_udf("fp long, sim long, bands array<long>")
     def signed(s: pd.Series) -> pd.DataFrame:
-        found = [signature(shingles(b, shingle)) for b in s]
+        sets = [shingles(b, shingle) for b in s]
+        found = [signature(own) for own in sets]
         fps = pd.Series([f for f, _ in found], dtype="uint64").astype("int64")
-        return pd.DataFrame({"fp": fps, "bands": [np.array(b, dtype=np.uint64).view(np.int64) for _, b in found]})
+        sims = pd.Series([simhash.majority(own) for own in sets], dtype="uint64").astype("int64")
+        return pd.DataFrame({"fp": fps, "sim": sims, "bands": [np.array(b, dtype=np.uint64).view(np.int64) for _, b in found]})
 
     @F.pandas_udf("array<long>")
     def shingled(s: pd.Series) -> pd.Series:
@@ -202,12 +220,9 @@ def first_of_each(docs: DataFrame, key="doc_id", text="text", shingle=SHINGLE, s
     row = F.xxhash64(F.col(key), F.col(text))
     first = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), row.alias("row"))
     rows = docs.select(first.alias("first"), signed(raw).alias("s"))
-    rows = stored(rows.select("first", "s.fp", "s.bands"), "signatures")
-    nodes = stored(rows.groupBy("fp").agg(F.min("first").alias("first"), F.min("bands").alias("bands")), "nodes")
-    inside = nodes.select("fp", F.explode("bands").alias("band"))
-    least = inside.groupBy("band").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("band", "a")
-    edges = inside.join(least, "band").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
-    maybe = simhash.components(edges).select(F.col("node").alias("fp"), F.col("component").alias("g"))
+    rows = stored(rows.select("first", "s.fp", "s.sim", "s.bands"), "signatures")
+    nodes = stored(rows.groupBy("fp").agg(F.min("first").alias("first"), F.min("sim").alias("sim"), F.min("bands").alias("bands")), "nodes")
+    maybe = simhash.components(candidates(nodes)).select(F.col("node").alias("fp"), F.col("component").alias("g"))
 
     one = W.partitionBy("__row").orderBy("__row")
     asked = nodes.join(maybe, "fp").select("fp", "g", F.col("first.row").alias("__row"))

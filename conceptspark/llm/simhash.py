@@ -46,11 +46,15 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
         return 0
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype="<u8")
+    return majority(np.array([digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 where over half of the hashes have it; 0 without hashes."""
     ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, n, BLOCK):
+    for at in range(0, len(h), BLOCK):
         ones += np.unpackbits(h[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text="text", shingle=SHINGLE) -> DataFrame:

@@ -85,3 +85,11 @@ def test_awkward(spark):
     rows = [r for r in awkward() if r[0] is not None]
     assert sorted(x for x in got if x is not None) == _kept([r[0] for r in rows], [r[1] for r in rows]) and got.count(None) == 1
     assert pipeline.near_dedup(spark, empty_docs(spark), SF).collect() == []
+
+
+def test_candidates_by_fingerprints_and_by_bands(spark):
+    """Fingerprints within four bits meet without a common band, and a common band is enough without them."""
+    far = [0x0F0F0F0F0F0F0F0F, 0x3333333333333333, 0x5555555555555555, 0x00FF00FF00FF00FF]
+    rows = [(1, far[0], [1, 2]), (2, far[0] ^ 0b1111, [3, 4]), (3, far[0] ^ 0b11111 << 40, [5, 6]), (4, far[1], [7, 8]), (5, far[1], [9, 10]), (6, far[2], [11, 12]), (7, far[3], [13, 12])]
+    found = near_copies.candidates(spark.createDataFrame(rows, "fp long, sim long, bands array<long>")).collect()
+    assert sorted(sorted((r["a"], r["b"])) for r in found) == [[1, 2], [4, 5], [6, 7]]
